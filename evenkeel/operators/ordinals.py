@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.search import with_rank_among
 
@@ -36,7 +37,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate; None where the session does not offer one."""
     try:
         plan = df._jdf.queryExecution().optimizedPlan()
-        return int(plan.stats().sizeInBytes().toString())
+        return int(str(plan.stats().sizeInBytes()))
     except (AttributeError, TypeError):
         return None
 
@@ -76,9 +77,14 @@ def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int, at_least: i
     if not sample.num_rows:
         return _Cut(df.withColumn(_BLOCK, F.lit(0)), count)
     bounds = spark.createDataFrame(sample.take(picks), df.select(*columns).schema)
-    value = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
-    rows = with_rank_among(df, _BLOCK, value, _constant_array(bounds), len(picks))
-    return _Cut(rows, count, bounds)
+    rows, value = df, F.col(columns[0])
+    if len(columns) > 1:
+        # Build the compared record once per row, nullable like the bounds, not once per halving step.
+        fields = df.select(*[F.col(c).alias(c) for c in columns]).schema
+        kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+        rows, value = df.withColumn("_probe", F.struct(*columns).cast(kind)), F.col("_probe")
+    rows = with_rank_among(rows, _BLOCK, value, _constant_array(bounds), len(picks))
+    return _Cut(rows.select(*df.columns, _BLOCK), count, bounds)
 
 
 def running_totals(

@@ -69,9 +69,17 @@ _STATE = ["executor_id", "hb_seq", "processed", "remaining", "delta", "avg_rate"
 _STATE_SQL = ", ".join(_STATE)
 
 
-def _progress(t: Tables) -> DataFrame:
+# The `_in_blocks` queries force the cut that large inputs take.
+_BLOCK_ROWS = 1000
+
+
+def _progress(t: Tables, rows_per_block: int | None = None) -> DataFrame:
     return telemetry.heartbeat_progress(
-        t.assigned(), t.completions(), t.heartbeats(), tie_break="event_id"
+        t.assigned(),
+        t.completions(),
+        t.heartbeats(),
+        tie_break="event_id",
+        rows_per_block=rows_per_block,
     )
 
 
@@ -88,6 +96,11 @@ def heartbeat_progress(t: Tables) -> DataFrame:
     return _progress(t).select("event_id", *_STATE)
 
 
+@_query(f"{_FULL_SQL} SELECT event_id, {_STATE_SQL} FROM progress")
+def heartbeat_progress_in_blocks(t: Tables) -> DataFrame:
+    return _progress(t, _BLOCK_ROWS).select("event_id", *_STATE)
+
+
 @_query(
     """
 WITH moved AS (
@@ -309,6 +322,12 @@ def split_head_large_queues(t: Tables) -> DataFrame:
     return _split(t.large_queues())
 
 
+@_query(_split_sql(_LARGE, "quarter"))
+def split_head_in_blocks(t: Tables) -> DataFrame:
+    split = rebalance.split_head(t.large_queues(), rows_per_block=_BLOCK_ROWS)
+    return split.select("item_id", "queue_id", "status", "batch_pos")
+
+
 @_query(_split_sql(_SMALL, "square"))
 def split_head_square(t: Tables) -> DataFrame:
     return _split(t.queues(), "square")
@@ -512,6 +531,12 @@ def steal_move(t: Tables) -> DataFrame:
     return rebalance.steal_move(t.large_queues(), t.moves()).select("item_id", "queue_id", "pos")
 
 
+@_query(f"{_STEAL_ORDERS_SQL} SELECT item_id, queue_id, pos FROM after")
+def steal_move_in_blocks(t: Tables) -> DataFrame:
+    moved = rebalance.steal_move(t.large_queues(), t.moves(), rows_per_block=_BLOCK_ROWS)
+    return moved.select("item_id", "queue_id", "pos")
+
+
 @_query(f"{_STEAL_ORDERS_SQL} SELECT item_id, victim_id, thief_id FROM after WHERE moved")
 def moved_items(t: Tables) -> DataFrame:
     return rebalance.moved_items(t.large_queues(), t.moves())

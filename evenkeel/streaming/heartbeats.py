@@ -15,12 +15,8 @@ from evenkeel.operators.telemetry import latest_heartbeat, refill_due
 # Heartbeats of one executor that share a state entry.
 SEQ_PER_STATE = 1000
 
-_OUT = (
-    "executor_id long, hb_seq long, hb_ts timestamp, processed long, delta long, avg_rate double, gap boolean"
-)
-_STATE = (
-    "emitted long, seqs array<long>, processed array<long>, times array<timestamp>, open array<boolean>"
-)
+_OUT = "executor_id long, hb_seq long, hb_us long, processed long, delta long, avg_rate double, gap boolean"
+_STATE = "emitted long, seqs array<long>, processed array<long>, times array<long>, open array<boolean>"
 
 
 def stream_latest(heartbeats: DataFrame) -> DataFrame:
@@ -55,90 +51,86 @@ def stream_progress(heartbeats: DataFrame, watermark: str | None = None) -> Data
         rows = rows.withWatermark("hb_ts", watermark)
         timeout = GroupStateTimeout.EventTimeTimeout
     copies = F.when(last_of_run, F.array(own, seed)).otherwise(F.array(own))
-    spread = rows.select("*", F.inline(copies))
-    update = _timed_update if watermark is not None else _update
-    return spread.groupBy("executor_id", "run").applyInPandasWithState(
+    spread = rows.select("*", F.unix_micros("hb_ts").alias("hb_us"), F.inline(copies))
+    update = _advance_timed if watermark is not None else _advance
+    reports = spread.groupBy("executor_id", "run").applyInPandasWithState(
         update, _OUT, _STATE, "append", timeout
     )
+    time = F.timestamp_micros("hb_us").alias("hb_ts")
+    return reports.select("executor_id", "hb_seq", time, "processed", "delta", "avg_rate", "gap")
 
 
-def _known(state: GroupState) -> tuple[int, pd.DataFrame]:
-    if not state.exists:
-        return 0, pd.DataFrame(columns=["hb_seq", "processed", "hb_ts", "open"])
-    emitted, seqs, processed, times, still_open = state.get
-    columns = {"hb_seq": seqs, "processed": processed, "hb_ts": times, "open": still_open}
-    return emitted, pd.DataFrame({name: list(values) for name, values in columns.items()})
+_KNOWN = {"hb_seq": "int64", "processed": "int64", "hb_us": "int64", "open": "bool"}
+
+
+def _recall(state: GroupState) -> tuple[int, pd.DataFrame]:
+    emitted, *columns = state.get if state.exists else (0, [], [], [], [])
+    known = {name: np.array(c, kind) for (name, kind), c in zip(_KNOWN.items(), columns)}
+    return emitted, pd.DataFrame(known)
+
+
+def _remember(state: GroupState, emitted: int, rows: pd.DataFrame) -> None:
+    state.update((emitted, *[rows[name].tolist() for name in _KNOWN]))
 
 
 def _report(executor_id: int, rows: pd.DataFrame, delta, gap: bool) -> pd.DataFrame:
-    seq = rows["hb_seq"].astype("int64")
-    processed = rows["processed"].astype("int64")
     return pd.DataFrame(
         {
-            "executor_id": np.full(len(rows), executor_id),
-            "hb_seq": seq,
-            "hb_ts": pd.to_datetime(rows["hb_ts"]),
-            "processed": processed,
+            "executor_id": executor_id,
+            "hb_seq": rows["hb_seq"],
+            "hb_us": rows["hb_us"],
+            "processed": rows["processed"],
             "delta": pd.array(delta, dtype="Int64"),
-            "avg_rate": processed / seq,
+            "avg_rate": rows["processed"] / rows["hb_seq"],
             "gap": gap,
         }
     )
 
 
-def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    return _advance(key, batches, state, timed=False)
-
-
-def _timed_update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        return _give_up(key, state)
-    return _advance(key, batches, state, timed=True)
-
-
-def _advance(key, batches, state: GroupState, timed: bool) -> Iterator[pd.DataFrame]:
-    executor_id, run = key
-    emitted, known = _known(state)
-    new = [batch[["hb_seq", "processed", "hb_ts", "open"]] for batch in batches]
-    parts = [known, *new] if len(known) else new
-    rows = pd.concat(parts).drop_duplicates("hb_seq").sort_values("hb_seq", ignore_index=True)
-    seq = rows["hb_seq"].to_numpy("int64")
-    processed = rows["processed"].to_numpy("int64")
-    is_open = rows["open"].to_numpy("bool")
+def _advance(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timed: bool = False
+) -> Iterator[pd.DataFrame]:
+    """Report rows whose predecessor is in; remember those that are still open or still needed."""
+    emitted, known = _recall(state)
+    rows = pd.concat([known, *[batch[list(_KNOWN)].astype(_KNOWN) for batch in batches]])
+    rows = rows.drop_duplicates("hb_seq").sort_values("hb_seq", ignore_index=True)
+    seq, processed = rows["hb_seq"].to_numpy(), rows["processed"].to_numpy()
     follows = np.r_[False, np.diff(seq) == 1]
-    ready = is_open & (follows | (seq == 1))
+    ready = rows["open"].to_numpy() & (follows | (seq == 1))
     delta = processed - np.where(follows, np.r_[0, processed[:-1]], 0)
     emitted += int(ready.sum())
+    rows["open"] &= ~ready
     if emitted == SEQ_PER_STATE:
         state.remove()
     else:
-        # Still needed: rows not reported yet, and rows whose successor is not in.
-        keep = rows[(is_open & ~ready) | ~np.r_[follows[1:], False]]
-        still_open = (is_open & ~ready)[keep.index]
-        state.update(
-            (
-                emitted,
-                keep["hb_seq"].astype("int64").tolist(),
-                keep["processed"].astype("int64").tolist(),
-                pd.to_datetime(keep["hb_ts"]).dt.to_pydatetime().tolist(),
-                still_open.tolist(),
-            )
-        )
+        followed = np.r_[follows[1:], False]
+        _remember(state, emitted, rows[rows["open"] | ~followed])
         if timed:
-            newest = int(pd.to_datetime(keep["hb_ts"]).max().timestamp() * 1000)
+            newest = int(rows["hb_us"].max()) // 1000
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
     if ready.any():
-        yield _report(executor_id, rows[ready], delta[ready], gap=False)
+        yield _report(key[0], rows[ready], delta[ready], gap=False)
+
 
+def _advance_timed(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    return _close_gaps(key, state) if state.hasTimedOut else _advance(key, batches, state, timed=True)
 
-def _give_up(key, state: GroupState) -> Iterator[pd.DataFrame]:
-    executor_id, _ = key
-    _, rows = _known(state)
-    state.remove()
-    is_open = rows["open"].to_numpy("bool")
+
+def _close_gaps(key: tuple, state: GroupState) -> Iterator[pd.DataFrame]:
+    """Report what waits for a lost predecessor; the newest row stays, for a heartbeat still to come."""
+    emitted, rows = _recall(state)
+    late = rows["open"].to_numpy()
     delta = rows["processed"].astype("Int64").diff()
-    if is_open.any():
-        yield _report(executor_id, rows[is_open], delta[is_open], gap=True)
+    emitted += int(late.sum())
+    newest = rows.tail(1).assign(open=False)
+    if int(newest["hb_seq"].iloc[0]) % SEQ_PER_STATE == 0:
+        state.remove()
+    else:
+        _remember(state, emitted, newest)
+    if late.any():
+        yield _report(key[0], rows[late], delta[late], gap=True)
 
 
 def run_available(stream: DataFrame, path: str) -> DataFrame:
@@ -173,4 +165,5 @@ def latest_table(heartbeats: DataFrame, path: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return latest_heartbeat(spark.read.schema(latest.schema).parquet(rows))
+    batches = spark.read.schema(latest.schema).parquet(rows)
+    return latest_heartbeat(batches.drop("batch"))

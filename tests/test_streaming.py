@@ -1,0 +1,92 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from evenkeel.operators import telemetry
+from evenkeel.session import scratch_dir
+from evenkeel.sources import tables
+from evenkeel.streaming import heartbeats as live
+
+LOG = "executor_id long, hb_ts timestamp, hb_seq long, remaining long, processed long"
+START = dt.datetime(2024, 1, 1)
+
+
+def beat(executor, seq, processed, minute=None):
+    minute = seq if minute is None else minute
+    return (executor, START + dt.timedelta(minutes=minute), seq, 100 - processed, processed)
+
+
+def arrive(spark, path, beats):
+    spark.createDataFrame(beats, LOG).coalesce(1).write.mode("append").parquet(path)
+
+
+def expected(beats):
+    done = {(e, seq): processed for e, _, seq, _, processed in beats}
+    return {
+        (e, seq): (n - done.get((e, seq - 1), 0), n / seq) for (e, seq), n in done.items()
+    }
+
+
+def reported(rows):
+    return {(r.executor_id, r.hb_seq): (r.delta, r.avg_rate) for r in rows}
+
+
+@pytest.mark.parametrize("seq_per_state", [3, 1000])
+@pytest.mark.parametrize("order", ["in order", "mixed", "reversed"])
+def test_progress_is_exact_in_any_order(spark, monkeypatch, order, seq_per_state):
+    monkeypatch.setattr(live, "SEQ_PER_STATE", seq_per_state)
+    beats = [beat(e, seq, seq * seq + e) for e in (1, 2) for seq in range(1, 9)]
+    if order == "mixed":
+        beats = beats[::3] + beats[1::3] + beats[2::3]
+    elif order == "reversed":
+        beats = beats[::-1]
+    source, target = scratch_dir(spark, "in"), scratch_dir(spark, "out")
+    for i in range(0, len(beats), 8):
+        arrive(spark, source, beats[i : i + 8])
+        stream = tables.stream_heartbeats(spark, source, maxFilesPerTrigger=1)
+        rows = live.run_available(live.stream_progress(stream), target)
+    rows = rows.collect()
+    assert len(rows) == len(beats)
+    assert reported(rows) == expected(beats)
+    assert not any(r.gap for r in rows)
+
+
+def test_lost_heartbeat_is_reported_after_the_watermark(spark):
+    source, target = scratch_dir(spark, "in"), scratch_dir(spark, "out")
+
+    def run(beats):
+        arrive(spark, source, beats)
+        stream = tables.stream_heartbeats(spark, source)
+        return live.run_available(live.stream_progress(stream, "5 minutes"), target).collect()
+
+    assert reported(run([beat(1, 1, 4), beat(1, 3, 9)])) == {(1, 1): (4, 4.0)}
+    run([beat(2, 1, 0, minute=60)])
+    rows = run([beat(2, 2, 1, minute=61)])
+    late = [r for r in rows if r.gap]
+    assert [(r.executor_id, r.hb_seq, r.delta) for r in late] == [(1, 3, 5)]
+    rows = run([beat(1, 4, 11, minute=62)])
+    assert reported(rows)[1, 4] == (2, 11 / 4)
+    assert len(rows) == 5
+
+
+def test_latest_table(spark):
+    source = scratch_dir(spark, "in")
+    beats = [beat(1, 2, 5), beat(1, 1, 3), beat(2, 1, 0)]
+    for one in beats:
+        arrive(spark, source, [one])
+    stream = tables.stream_heartbeats(spark, source, maxFilesPerTrigger=1)
+    latest = live.latest_table(stream, scratch_dir(spark, "out"))
+    assert {r.executor_id: r.processed for r in latest.collect()} == {1: 5, 2: 0}
+    batch = telemetry.latest_heartbeat(tables.load_heartbeats(spark, source))
+    assert sorted(map(repr, batch.collect())) == sorted(map(repr, latest.collect()))
+
+
+def test_refill_alerts(spark):
+    source = scratch_dir(spark, "in")
+    arrive(spark, source, [beat(1, 1, 98), beat(2, 1, 20)])
+    stream = tables.stream_heartbeats(spark, source).withColumns(
+        {"batch_size": F.lit(9), "pool_size": F.lit(1)}
+    )
+    alerts = live.run_available(live.stream_refill_alerts(stream), scratch_dir(spark, "out"))
+    assert [r.executor_id for r in alerts.collect()] == [1]
