@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,14 +77,19 @@ def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int, at_least: i
     picks = sorted({i * sample.num_rows // blocks for i in range(1, blocks)})
     if not sample.num_rows:
         return _Cut(df.withColumn(_BLOCK, F.lit(0)), count)
-    bounds = spark.createDataFrame(sample.take(picks), df.select(*columns).schema)
+    sample = sample.take(picks)
+    bounds = spark.createDataFrame(sample, df.select(*columns).schema)
     rows, value = df, F.col(columns[0])
+    if len(columns) == 1 and pa.types.is_int64(sample.field(0).type):
+        constant = F.lit(sample.column(0).to_numpy())
+    else:
+        constant = _constant_array(bounds)
     if len(columns) > 1:
         # Build the compared record once per row, nullable like the bounds, not once per halving step.
         fields = df.select(*[F.col(c).alias(c) for c in columns]).schema
         kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
         rows, value = df.withColumn("_probe", F.struct(*columns).cast(kind)), F.col("_probe")
-    rows = with_rank_among(rows, _BLOCK, value, _constant_array(bounds), len(picks))
+    rows = with_rank_among(rows, _BLOCK, value, constant, len(picks))
     return _Cut(rows.select(*df.columns, _BLOCK), count, bounds)
 
 
@@ -225,8 +231,7 @@ class GlobalOrder:
                 return rows.select(*self._columns, F.lit(0).cast("long").alias(name)).limit(0)
             if len(inside) < len(self._starts):
                 rows = rows.where(F.col(_BLOCK).between(inside[0], inside[-1]))
-            starts = rows.sparkSession.createDataFrame(pa.table({"start": self._starts}))
-            base = F.get(_constant_array(starts), F.col(_BLOCK))
+            base = F.get(F.lit(np.array(self._starts, "int64")), F.col(_BLOCK))
         in_block = Window.partitionBy(_BLOCK).orderBy(*self._order)
         position = F.row_number().over(in_block) - 1 + base
         rows = rows.withColumn(name, position.cast("long"))

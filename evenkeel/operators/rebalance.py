@@ -133,7 +133,7 @@ def deal_initial(
     The pool itself is not shuffled; the dealt items are few and come by a top-n.
     """
     dealt = executors * k
-    to_executor = (F.floor(F.col("_ord") / k) + 1).cast("long")
+    to_executor = F.call_function("div", F.col("_ord"), F.lit(k)) + 1
     if dealt > _SMALL_DEAL:
         numbered = GlobalOrder(pool, ["item_id"], rows_per_block).numbered("_ord")
         executor_id = F.when(F.col("_ord") < dealt, to_executor).alias("executor_id")

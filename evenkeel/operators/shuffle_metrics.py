@@ -30,10 +30,11 @@ def merge_shuffle_reads_nested(task_metrics: DataFrame, deps: str = "deps") -> D
     """The same over an array column of dependency records, row by row without a shuffle."""
 
     def summed(name: str) -> Column:
-        steps = F.transform(deps, lambda dep: F.coalesce(dep[name], F.lit(0)).cast("long"))
-        return F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0))
+        zero = F.lit(0).cast("long")
+        total = F.aggregate(F.col(f"{deps}.{name}"), zero, lambda a, b: a + F.coalesce(b, zero))
+        return F.coalesce(total, zero)
 
-    finish = F.array_max(F.transform(deps, lambda dep: dep["shuffle_finish_ms"]))
+    finish = F.array_max(F.col(f"{deps}.shuffle_finish_ms"))
     return task_metrics.withColumns(
         {name: summed(name) for name in _SUMMED}
         | {"shuffle_finish_ms": F.greatest(F.lit(NOT_FINISHED), finish).cast("long")}

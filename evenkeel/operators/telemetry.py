@@ -122,7 +122,7 @@ def heartbeat_history(
     if page is None:
         return flat
     record = F.struct("history_pos", *[c for c in heartbeats.columns if c != "executor_id"])
-    page_no = F.floor((F.col("history_pos") - 1) / page).alias("page_no")
+    page_no = F.call_function("div", F.col("history_pos") - 1, F.lit(page)).alias("page_no")
     return flat.groupBy("executor_id", page_no).agg(
         F.sort_array(F.collect_list(record)).alias("history")
     )

@@ -21,7 +21,7 @@ def executors_on_host(executors: DataFrame, host: str | None = None, page: int =
         executors = executors.where(F.col("host") == host)
     ids = executors.select("host", "executor_id").distinct()
     numbered = running_totals(ids, ["host"], ["executor_id"], {"n": F.lit(1)})
-    page_no = F.floor((F.col("n") - 1) / page).alias("page_no")
+    page_no = F.call_function("div", F.col("n") - 1, F.lit(page)).alias("page_no")
     return numbered.groupBy("host", page_no).agg(
         F.sort_array(F.collect_list("executor_id")).alias("executor_ids")
     )

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evenkeel.operators.telemetry import latest_heartbeat, refill_due
 
+# The state function travels with the query, so the workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Heartbeats of one executor that share a state entry.
 SEQ_PER_STATE = 1000
 
@@ -41,7 +46,7 @@ def stream_progress(heartbeats: DataFrame, watermark: str | None = None) -> Data
     both in. With a `watermark` delay (e.g. "10 minutes"), one whose predecessor was lost is reported
     when the delay has passed, against the nearest earlier one known, with `gap` true.
     """
-    run = F.floor((F.col("hb_seq") - 1) / SEQ_PER_STATE).cast("long")
+    run = F.call_function("div", F.col("hb_seq") - 1, F.lit(SEQ_PER_STATE))
     own = F.struct(run.alias("run"), F.lit(True).alias("open"))
     seed = F.struct((run + 1).alias("run"), F.lit(False).alias("open"))
     last_of_run = F.col("hb_seq") % SEQ_PER_STATE == 0
