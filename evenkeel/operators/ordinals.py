@@ -28,7 +28,7 @@ from evenkeel.functions.search import with_rank_among
 # An input no larger than what one scan task reads anyway may put any one key into one task.
 ONE_TASK_BYTES = 128 << 20
 ROWS_PER_BLOCK = 1_000_000
-MAX_BLOCKS = 16_384
+MAX_BLOCKS = 65_536
 SAMPLES_PER_BLOCK = 20
 
 _BLOCK = "_block"
@@ -101,6 +101,7 @@ def running_totals(
     at_last: Mapping[str, tuple[str, Column]] | None = None,
     finals: Mapping[str, str] | None = None,
     rows_per_block: int | None = None,
+    no_larger_than: DataFrame | None = None,
 ) -> DataFrame:
     """Running totals per key, in ascending order of the `order` columns.
 
@@ -109,11 +110,12 @@ def running_totals(
     held, null if there is none. `finals` maps a new column to a total whose end value it repeats.
     `order` must be unique within a key for a deterministic result.
 
-    A small input takes one shuffle and one sort. Give `rows_per_block` to force the cut into blocks.
+    A small input takes one shuffle and one sort. `no_larger_than` is a table with at least as many rows,
+    for an input whose own size estimate is poor (joins). Give `rows_per_block` to force the cut.
     """
     at_last, finals = dict(at_last or {}), dict(finals or {})
     if rows_per_block is None:
-        size = estimated_bytes(df)
+        size = estimated_bytes(df if no_larger_than is None else no_larger_than)
         if size is not None and size <= ONE_TASK_BYTES:
             return _windowed(df, keys, order, totals, at_last, finals)
     cut = _cut(df, [*keys, *order], rows_per_block or ROWS_PER_BLOCK)

@@ -7,6 +7,7 @@ from 1 at the item that was taken last.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,13 +112,16 @@ def chunk_starts(count: int) -> list[int]:
     return starts
 
 
-def guided_chunks(pool: DataFrame, rows_per_block: int | None = None) -> DataFrame:
-    """Cut the whole pool into the sequence of quarter draws: `chunk_id` from 1, shrinking sizes."""
+def guided_chunks(pool: DataFrame, skip: int = 0, rows_per_block: int | None = None) -> DataFrame:
+    """Cut the pool into the sequence of quarter draws: `chunk_id` from 1, shrinking sizes.
+
+    The first `skip` items are gone already (dealt) and left out.
+    """
     order = GlobalOrder(pool, ["item_id"], rows_per_block)
-    starts = chunk_starts(order.count)
-    bounds = F.array(*[F.lit(start).cast("long") for start in starts])
+    starts = [skip + start for start in chunk_starts(max(order.count - skip, 0))]
+    bounds = F.lit(np.array(starts, "int64"))
     chunked = with_rank_among(
-        order.numbered("_ord"), "_chunk", F.col("_ord"), bounds, len(starts)
+        order.numbered("_ord", low=skip), "_chunk", F.col("_ord"), bounds, len(starts)
     )
     batch_pos = F.get(bounds, F.col("_chunk")) - F.col("_ord")
     return chunked.select(
@@ -172,7 +176,9 @@ def _grants(work_items: DataFrame, moves: DataFrame, policy: str, max_items: int
     given = pairs.join(sizes.withColumnRenamed("queue_id", "victim_id"), "victim_id").select(
         "victim_id", "thief_id", F.when(k == F.col("size"), 0).otherwise(k).alias("taken")
     )
-    in_line = running_totals(given, ["thief_id"], ["victim_id"], {"_upto": F.col("taken")})
+    in_line = running_totals(
+        given, ["thief_id"], ["victim_id"], {"_upto": F.col("taken")}, no_larger_than=moves
+    )
     thief_size = sizes.select(F.col("queue_id").alias("thief_id"), F.col("size").alias("_size"))
     thief_gave = given.select(F.col("victim_id").alias("thief_id"), F.col("taken").alias("_gave"))
     ahead = (

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from evenkeel.functions.sizing import needs_refill
 from evenkeel.operators.ordinals import running_totals
 
+# Kinds of log steps. At equal times they count in this order.
+_HEARTBEAT, _DONE, _ASSIGNED, _GAINED, _LOST = range(5)
+
 
 def heartbeat_progress(
     assigned: DataFrame,
@@ -31,49 +34,54 @@ def heartbeat_progress(
     since the previous heartbeat), avg_rate (processed per heartbeat), stolen_by, stolen_from.
     """
     extra = [tie_break] if tie_break else []
+    time_type = heartbeats.schema["hb_ts"].dataType
 
-    def steps(log: DataFrame, key: str, time: str | None, **step: Column) -> DataFrame:
-        none = F.lit(None)
-        tie = [(F.col(t) if time else none.cast("long")).alias(t) for t in extra]
-        when = F.col(time) if time else none.cast(heartbeats.schema["hb_ts"].dataType)
-        names = ("is_hb", "got", "done", "gained", "lost")
+    def steps(log: DataFrame, executor: str, kind: int, time: str) -> DataFrame:
         return log.select(
-            F.col(key).alias("executor_id"),
-            when.alias("hb_ts"),
-            *tie,
-            *[step.get(name, F.lit(0)).cast("long").alias(name) for name in names],
+            F.col(executor).alias("executor_id"),
+            F.col(time).cast(time_type).alias("hb_ts"),
+            *extra,
+            F.lit(kind).alias("kind"),
+            F.lit(1).cast("long").alias("amount"),
         )
 
-    one = F.lit(1)
     # Steps without a time share one place in the order, so they are summed before the shuffle.
-    assigned = assigned.groupBy("executor_id").agg(F.sum("assigned").alias("assigned"))
+    given = assigned.groupBy("executor_id").agg(F.sum("assigned").alias("amount"))
+    given = given.select(
+        "executor_id",
+        F.lit(None).cast(time_type).alias("hb_ts"),
+        *[F.lit(None).cast(heartbeats.schema[name].dataType).alias(name) for name in extra],
+        F.lit(_ASSIGNED).alias("kind"),
+        "amount",
+    )
     log = (
-        steps(heartbeats, "executor_id", "hb_ts", is_hb=one)
-        .unionByName(steps(completions, "executor_id", "finish_ts", done=one))
-        .unionByName(steps(assigned, "executor_id", None, got=F.col("assigned")))
+        steps(heartbeats, "executor_id", _HEARTBEAT, "hb_ts")
+        .unionByName(steps(completions, "executor_id", _DONE, "finish_ts"))
+        .unionByName(given)
     )
+    counters = {"hb_seq": _HEARTBEAT, "processed": _DONE, "assigned": _ASSIGNED}
     if moves is not None:
-        log = log.unionByName(steps(moves, "thief_id", "move_ts", gained=one)).unionByName(
-            steps(moves, "victim_id", "move_ts", lost=one)
+        log = log.unionByName(steps(moves, "thief_id", _GAINED, "move_ts")).unionByName(
+            steps(moves, "victim_id", _LOST, "move_ts")
         )
-    log = log.withColumn("after_hb", 1 - F.col("is_hb"))
+        counters |= {"stolen_by": _GAINED, "stolen_from": _LOST}
     counted = running_totals(
         log,
         ["executor_id"],
-        ["hb_ts", *extra, "after_hb"],
+        ["hb_ts", *extra, "kind"],
         totals={
-            "hb_seq": F.col("is_hb"),
-            "processed": F.col("done"),
-            "assigned": F.col("got"),
-            "stolen_by": F.col("gained"),
-            "stolen_from": F.col("lost"),
+            name: F.when(F.col("kind") == kind, F.col("amount")).otherwise(0)
+            for name, kind in counters.items()
         },
-        at_last={"processed_before": ("processed", F.col("is_hb") == 1)},
+        at_last={"processed_before": ("processed", F.col("kind") == _HEARTBEAT)},
         rows_per_block=rows_per_block,
-    )
+    ).where(F.col("kind") == _HEARTBEAT)
+    if moves is None:
+        none = F.lit(0).cast("long")
+        counted = counted.withColumns({"stolen_by": none, "stolen_from": none})
     delta = F.col("processed") - F.coalesce("processed_before", F.lit(0))
     held = F.col("assigned") + F.col("stolen_by") - F.col("stolen_from")
-    return counted.where("is_hb = 1").select(
+    return counted.select(
         "executor_id",
         "hb_ts",
         *extra,
@@ -87,22 +95,33 @@ def heartbeat_progress(
     )
 
 
-def _pick(heartbeats: DataFrame, pick, order: Sequence[str]) -> DataFrame:
-    others = [name for name in heartbeats.columns if name != "executor_id"]
+def _pick(heartbeats: DataFrame, pick, order: Sequence[str], columns: Sequence[str] | None) -> DataFrame:
+    kept = [c for c in heartbeats.columns if c != "executor_id" and (columns is None or c in columns)]
     chosen = heartbeats.groupBy("executor_id").agg(
-        pick(F.struct(*others), F.struct(*order)).alias("chosen")
+        pick(F.struct(*kept), F.struct(*order)).alias("chosen")
     )
-    return chosen.select("executor_id", "chosen.*").select(*heartbeats.columns)
+    return chosen.select("executor_id", "chosen.*")
+
 
+def latest_heartbeat(
+    heartbeats: DataFrame,
+    order: Sequence[str] = ("hb_ts", "hb_seq"),
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """The last record per executor; a late older record does not win.
 
-def latest_heartbeat(heartbeats: DataFrame, order: Sequence[str] = ("hb_ts", "hb_seq")) -> DataFrame:
-    """The last record per executor; a late older record does not win."""
-    return _pick(heartbeats, F.max_by, order)
+    Name the `columns` that are needed, and only those and `order` are read from the log.
+    """
+    return _pick(heartbeats, F.max_by, order, columns)
 
 
-def first_heartbeat(heartbeats: DataFrame, order: Sequence[str] = ("hb_ts", "hb_seq")) -> DataFrame:
-    """The first record per executor."""
-    return _pick(heartbeats, F.min_by, order)
+def first_heartbeat(
+    heartbeats: DataFrame,
+    order: Sequence[str] = ("hb_ts", "hb_seq"),
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """The first record per executor; `columns` as in `latest_heartbeat`."""
+    return _pick(heartbeats, F.min_by, order, columns)
 
 
 def heartbeat_history(

@@ -29,7 +29,7 @@ def _query(sql: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tabl
     return register
 
 
-def _stored(t: Tables, df: DataFrame, label: str) -> str:
+def _written(t: Tables, df: DataFrame, label: str) -> str:
     """Write a table derived from the test tables, so that it can be loaded or streamed."""
     path = scratch_dir(t.spark, label)
     df.write.parquet(path)
@@ -83,11 +83,15 @@ def _progress(t: Tables, rows_per_block: int | None = None) -> DataFrame:
     )
 
 
-def _latest(t: Tables) -> DataFrame:
+def _latest(t: Tables, *columns: str) -> DataFrame:
     """The state at the middle of the log; the log is cut before anything is shuffled."""
     seen = F.col("event_id") < t.half()
     return flows.current_state(
-        t.assigned(), t.completions().where(seen), t.heartbeats().where(seen), tie_break="event_id"
+        t.assigned(),
+        t.completions().where(seen),
+        t.heartbeats().where(seen),
+        tie_break="event_id",
+        columns=columns or None,
     )
 
 
@@ -220,7 +224,7 @@ def refill_due(t: Tables) -> DataFrame:
 
 @_query(f"{_SNAPSHOT_SQL} SELECT executor_id, remaining FROM latest WHERE remaining > 0")
 def with_work_left(t: Tables) -> DataFrame:
-    return ranking.with_work_left(_latest(t)).select("executor_id", "remaining")
+    return ranking.with_work_left(_latest(t, "remaining")).select("executor_id", "remaining")
 
 
 @_query(
@@ -229,7 +233,7 @@ SELECT executor_id, remaining FROM latest WHERE remaining > 0
 ORDER BY remaining DESC, executor_id LIMIT 2"""
 )
 def top_remaining(t: Tables) -> DataFrame:
-    return ranking.top_remaining(_latest(t))
+    return ranking.top_remaining(_latest(t, "remaining"))
 
 
 @_query(
@@ -238,7 +242,7 @@ SELECT max(executor_id) AS executor_id, avg_rate FROM latest WHERE remaining > 0
 GROUP BY avg_rate ORDER BY avg_rate DESC LIMIT 2"""
 )
 def top_rate(t: Tables) -> DataFrame:
-    return ranking.top_rate(_latest(t))
+    return ranking.top_rate(_latest(t, "remaining", "avg_rate"))
 
 
 _PICKED_SQL = """,
@@ -253,7 +257,7 @@ picked AS (
 
 @_query(f"{_SNAPSHOT_SQL}{_PICKED_SQL} SELECT executor_id, remaining, victim FROM picked")
 def pick_victim(t: Tables) -> DataFrame:
-    return ranking.pick_victim(_latest(t))
+    return ranking.pick_victim(_latest(t, "remaining"))
 
 
 # Redistribution --------------------------------------------------------------------------------------
@@ -747,7 +751,7 @@ def steal_round(t: Tables) -> DataFrame:
         .where(F.col("event_id") >= t.half())
         .select("item_id", F.col("executor_id").alias("queue_id"), F.col("event_id").alias("pos"))
     )
-    return flows.steal_round(_latest(t), open_items).select("item_id", "queue_id", "pos")
+    return flows.steal_round(_latest(t, "remaining"), open_items).select("item_id", "queue_id", "pos")
 
 
 # Sources ---------------------------------------------------------------------------------------------
@@ -775,18 +779,18 @@ def gen_work_items(t: Tables) -> DataFrame:
 
 @_query("SELECT o_orderkey AS item_id, o_custkey AS queue_id, o_orderkey AS pos FROM orders")
 def load_work_items(t: Tables) -> DataFrame:
-    loaded = tables.load_work_items(t.spark, _stored(t, t.queues(), "work-items"))
+    loaded = tables.load_work_items(t.spark, _written(t, t.queues(), "work-items"))
     return loaded.select("item_id", "queue_id", "pos")
 
 
 @_query(f"{_FULL_SQL} SELECT {_STATE_SQL} FROM progress")
 def load_heartbeats(t: Tables) -> DataFrame:
-    return tables.load_heartbeats(t.spark, _stored(t, _progress(t), "heartbeats")).select(*_STATE)
+    return tables.load_heartbeats(t.spark, _written(t, _progress(t), "heartbeats")).select(*_STATE)
 
 
 @_query("SELECT event_id AS item_id, user_id AS executor_id FROM events WHERE event_type <> 'view'")
 def load_completions(t: Tables) -> DataFrame:
-    path = _stored(t, t.completions(), "completions")
+    path = _written(t, t.completions(), "completions")
     return tables.load_completions(t.spark, path).select("item_id", "executor_id")
 
 
@@ -801,7 +805,7 @@ FROM orders
 """
 )
 def load_task_metrics(t: Tables) -> DataFrame:
-    loaded = tables.load_task_metrics(t.spark, _stored(t, t.task_metrics(), "task-metrics"))
+    loaded = tables.load_task_metrics(t.spark, _written(t, t.task_metrics(), "task-metrics"))
     return loaded.select(
         "task_id",
         "hostname",
@@ -814,17 +818,17 @@ def load_task_metrics(t: Tables) -> DataFrame:
 
 @_query(f"WITH {_DEPS_SQL} SELECT * FROM deps")
 def load_shuffle_deps(t: Tables) -> DataFrame:
-    return tables.load_shuffle_deps(t.spark, _stored(t, t.shuffle_deps(), "shuffle-deps"))
+    return tables.load_shuffle_deps(t.spark, _written(t, t.shuffle_deps(), "shuffle-deps"))
 
 
 @_query(f"{_EXECUTORS_SQL} SELECT executor_id, host, rack, s_acctbal > 5000 AS active FROM executors")
 def load_executors(t: Tables) -> DataFrame:
-    return tables.load_executors(t.spark, _stored(t, t.executors(), "executors"))
+    return tables.load_executors(t.spark, _written(t, t.executors(), "executors"))
 
 
 @_query("SELECT o_orderkey AS task_id, o_custkey AS task_set_id FROM orders")
 def load_tasks(t: Tables) -> DataFrame:
-    return tables.load_tasks(t.spark, _stored(t, t.tasks(), "tasks")).select("task_id", "task_set_id")
+    return tables.load_tasks(t.spark, _written(t, t.tasks(), "tasks")).select("task_id", "task_set_id")
 
 
 @_query(
@@ -834,7 +838,7 @@ WHERE o_custkey % 8 < 4
 """
 )
 def load_moves(t: Tables) -> DataFrame:
-    return tables.load_moves(t.spark, _stored(t, t.moves(), "moves"))
+    return tables.load_moves(t.spark, _written(t, t.moves(), "moves"))
 
 
 # Streams ---------------------------------------------------------------------------------------------
@@ -845,7 +849,7 @@ def load_moves(t: Tables) -> DataFrame:
 SELECT {_STATE_SQL} FROM progress QUALIFY row_number() OVER (PARTITION BY executor_id ORDER BY hb_seq DESC) = 1"""
 )
 def stream_latest(t: Tables) -> DataFrame:
-    stream = tables.stream_heartbeats(t.spark, _stored(t, _progress(t), "heartbeats"))
+    stream = tables.stream_heartbeats(t.spark, _written(t, _progress(t), "heartbeats"))
     return live.latest_table(stream, scratch_dir(t.spark, "latest")).select(*_STATE)
 
 
@@ -855,7 +859,7 @@ SELECT executor_id, hb_seq, processed, delta, avg_rate, FALSE AS gap FROM progre
 )
 def stream_progress(t: Tables) -> DataFrame:
     stream = tables.stream_heartbeats(
-        t.spark, _stored(t, _progress(t), "heartbeats"), maxFilesPerTrigger=4
+        t.spark, _written(t, _progress(t), "heartbeats"), maxFilesPerTrigger=4
     )
     path = scratch_dir(t.spark, "progress")
     return live.run_available(live.stream_progress(stream), path).drop("hb_ts")
@@ -867,7 +871,7 @@ SELECT executor_id, hb_seq, remaining FROM progress
 WHERE remaining <= sqrt(processed + remaining) AND hb_seq % 3 > 0"""
 )
 def stream_refill_alerts(t: Tables) -> DataFrame:
-    stream = tables.stream_heartbeats(t.spark, _stored(t, _progress(t), "heartbeats")).withColumns(
+    stream = tables.stream_heartbeats(t.spark, _written(t, _progress(t), "heartbeats")).withColumns(
         {
             "batch_size": F.col("processed") + F.col("remaining"),
             "pool_size": F.col("hb_seq") % 3,

@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.operators.ranking import pick_victim
 from evenkeel.operators.rebalance import deal_initial, guided_chunks, steal_move
 from evenkeel.operators.telemetry import heartbeat_progress, latest_heartbeat
+from evenkeel.session import stored
 
 
 def current_state(
-    assigned: DataFrame, completions: DataFrame, heartbeats: DataFrame, tie_break: str | None = None
+    assigned: DataFrame,
+    completions: DataFrame,
+    heartbeats: DataFrame,
+    tie_break: str | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Logs to the latest state of each executor."""
-    return latest_heartbeat(heartbeat_progress(assigned, completions, heartbeats, tie_break=tie_break))
+    """Logs to the latest state of each executor, all of it or just the named `columns`."""
+    progress = heartbeat_progress(assigned, completions, heartbeats, tie_break=tie_break)
+    return latest_heartbeat(progress, columns=columns)
 
 
 def pool_schedule(pool: DataFrame, executors: int = 3, k: int = 3) -> DataFrame:
     """A shared pool to batches: the first items dealt (`chunk_id` 0), the rest in guided chunks."""
-    dealt = deal_initial(pool, executors, k)
-    rest = guided_chunks(dealt.where("executor_id IS NULL"))
-    first = dealt.where("executor_id IS NOT NULL")
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    return first.select("*", zero.alias("chunk_id"), none.alias("batch_pos")).unionByName(rest)
+    dealt = deal_initial(pool, executors, k).where("executor_id IS NOT NULL")
+    rest = guided_chunks(pool, skip=executors * k)
+    none = F.lit(None).cast("long")
+    return dealt.withColumns({"chunk_id": F.lit(0).cast("long"), "batch_pos": none}).unionByName(
+        rest.withColumn("executor_id", none)
+    )
 
 
 def steal_round(latest: DataFrame, work_items: DataFrame, k: int = 2, policy: str = "quarter") -> DataFrame:
-    """The queues after every executor asked its best victim for work once."""
+    """The queues after every executor asked its best victim for work once.
+
+    The decisions, a row per executor, are written out first: the items are moved by a small table, and
+    the heartbeat log behind `latest` is read only once.
+    """
     picked = pick_victim(latest, k).where("victim IS NOT NULL")
     moves = picked.select(F.col("victim").alias("victim_id"), F.col("executor_id").alias("thief_id"))
-    return steal_move(work_items, moves, policy)
+    return steal_move(work_items, stored(moves, "moves"), policy)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         _local_base = _local_base or tempfile.mkdtemp(prefix="evenkeel-")
         base = _local_base
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` to a new shared folder and read it back.
+
+    For a small result of a long computation that is used several times: it is computed once, survives
+    lost executors, and has a known size.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

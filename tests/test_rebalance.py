@@ -82,7 +82,7 @@ def test_split_head(spark, rows_per_block):
 @pytest.mark.parametrize("rows_per_block", [None, 7])
 def test_guided_chunks(spark, n, sizes, rows_per_block):
     pool = spark.range(n).select((F.col("id") * 3).alias("item_id"), F.lit(5).alias("cost_ms"))
-    rows = rebalance.guided_chunks(pool, rows_per_block).collect()
+    rows = rebalance.guided_chunks(pool, rows_per_block=rows_per_block).collect()
     chunks = {}
     for r in sorted(rows, key=lambda r: r.item_id):
         chunks.setdefault(r.chunk_id, []).append(r.batch_pos)
