@@ -9,7 +9,8 @@ input is not known to be small, the rows are cut into blocks along `(key, order)
 3. only keys that a bound falls into can reach over more than one block. There are at most as many as
    bounds, so their totals before each block are a broadcast table of proven size.
 
-The cut decides only where the work runs. Results are exact whatever the sample was.
+If the bounds show no key of many blocks, a plain window per key does. The sample decides only where the
+work runs; results are exact whatever it was.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ONE_TASK_BYTES = 128 << 20
 ROWS_PER_BLOCK = 1_000_000
 MAX_BLOCKS = 65_536
 SAMPLES_PER_BLOCK = 20
+# A key in at most this many bounds (that is, of about as many blocks) is left to one task.
+COOL_BOUNDS = 4
 
 _BLOCK = "_block"
 
@@ -55,11 +58,22 @@ def _constant_array(table: DataFrame) -> Column:
 
 @dataclass(frozen=True)
 class _Cut:
-    """Rows with their block; `bounds` is None if everything is in one block."""
+    """Rows with their block. Without `bounds` everything is in one block.
+
+    `value` is what the entries of the array `constant`, the bounds, are compared with: block b has the
+    rows from bound b-1 on and below bound b.
+    """
 
     rows: DataFrame
     count: int
     bounds: DataFrame | None = None
+    constant: Column | None = None
+    value: Column | None = None
+
+    def has_hot_key(self, keys: Sequence[str]) -> bool:
+        if self.bounds is None:
+            return False
+        return not self.bounds.groupBy(*keys).count().where(F.col("count") > COOL_BOUNDS).isEmpty()
 
 
 def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int, at_least: int = 1) -> _Cut:
@@ -84,13 +98,15 @@ def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int, at_least: i
         constant = F.lit(sample.column(0).to_numpy())
     else:
         constant = _constant_array(bounds)
+    probe = value
     if len(columns) > 1:
         # Build the compared record once per row, nullable like the bounds, not once per halving step.
-        fields = df.select(*[F.col(c).alias(c) for c in columns]).schema
+        fields = df.select(*columns).schema
         kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-        rows, value = df.withColumn("_probe", F.struct(*columns).cast(kind)), F.col("_probe")
+        probe = F.struct(*columns).cast(kind)
+        rows, value = df.withColumn("_probe", probe), F.col("_probe")
     rows = with_rank_among(rows, _BLOCK, value, constant, len(picks))
-    return _Cut(rows.select(*df.columns, _BLOCK), count, bounds)
+    return _Cut(rows.select(*df.columns, _BLOCK), count, bounds, constant, probe)
 
 
 def running_totals(
@@ -119,7 +135,7 @@ def running_totals(
         if size is not None and size <= ONE_TASK_BYTES:
             return _windowed(df, keys, order, totals, at_last, finals)
     cut = _cut(df, [*keys, *order], rows_per_block or ROWS_PER_BLOCK)
-    if cut.bounds is None:
+    if cut.bounds is None or not (rows_per_block or cut.has_hot_key(keys)):
         return _windowed(df, keys, order, totals, at_last, finals)
     local = _windowed(cut.rows, [_BLOCK, *keys], order, totals, at_last, finals)
     carried = _carried(cut, keys, order, totals, at_last, finals)
@@ -205,34 +221,25 @@ class GlobalOrder:
     """
 
     def __init__(self, df: DataFrame, order: Sequence[str], rows_per_block: int | None = None):
-        spark = df.sparkSession
         if rows_per_block:
-            cut = _cut(df, order, rows_per_block)
+            self._cut = _cut(df, order, rows_per_block)
         else:
-            cut = _cut(df, order, ROWS_PER_BLOCK, spark.sparkContext.defaultParallelism)
-        self.count = cut.count
+            parallelism = df.sparkSession.sparkContext.defaultParallelism
+            self._cut = _cut(df, order, ROWS_PER_BLOCK, parallelism)
+        self.count = self._cut.count
         self._columns = df.columns
         self._order = list(order)
-        self._rows = cut.rows
-        self._starts = None
-        if cut.bounds is not None:
-            per_block = dict(cut.rows.groupBy(_BLOCK).count().collect())
-            self._starts, start = [], 0
-            for block in range(max(per_block) + 1):
-                self._starts.append(start)
-                start += per_block.get(block, 0)
+        self._starts = [0]
+        if self._cut.bounds is not None:
+            per_block = dict(self._cut.rows.groupBy(_BLOCK).count().collect())
+            for block in range(max(per_block)):
+                self._starts.append(self._starts[-1] + per_block.get(block, 0))
 
     def numbered(self, name: str, low: int = 0, high: int | None = None) -> DataFrame:
-        """The rows with positions in `[low, high)`; blocks outside are left out before the shuffle."""
+        """The rows with positions in `[low, high)`; blocks outside are left out at the scan."""
         high = self.count if high is None else high
-        rows, base = self._rows, F.lit(0)
-        if self._starts is not None:
-            ends = [*self._starts[1:], self.count]
-            inside = [b for b, (s, e) in enumerate(zip(self._starts, ends)) if s < high and e > low]
-            if not inside:
-                return rows.select(*self._columns, F.lit(0).cast("long").alias(name)).limit(0)
-            if len(inside) < len(self._starts):
-                rows = rows.where(F.col(_BLOCK).between(inside[0], inside[-1]))
+        rows, base = self._within(low, high), F.lit(0)
+        if len(self._starts) > 1:
             base = F.get(F.lit(np.array(self._starts, "int64")), F.col(_BLOCK))
         in_block = Window.partitionBy(_BLOCK).orderBy(*self._order)
         position = F.row_number().over(in_block) - 1 + base
@@ -241,6 +248,23 @@ class GlobalOrder:
             rows = rows.where((F.col(name) >= low) & (F.col(name) < high))
         return rows.select(*self._columns, name)
 
+    def _within(self, low: int, high: int) -> DataFrame:
+        """The blocks with positions in `[low, high)`, by comparing the order columns with two bounds.
+
+        A filter on the block itself would be pushed below the search and repeat all of it.
+        """
+        rows, ends = self._cut.rows, [*self._starts[1:], self.count]
+        inside = [b for b, (s, e) in enumerate(zip(self._starts, ends)) if s < high and e > low]
+        if not inside:
+            return rows.limit(0)
+        first, last = inside[0], inside[-1]
+        if first > 0:
+            rows = rows.where(self._cut.value >= F.get(self._cut.constant, F.lit(first - 1)))
+        if last < len(self._starts) - 1:
+            below = self._cut.value < F.get(self._cut.constant, F.lit(last))
+            rows = rows.where(below if first > 0 else below | self._cut.value.isNull())
+        return rows
+
 
 def assign_ids(
     df: DataFrame, order: Sequence[str], start: int = 0, name: str = "id", rows_per_block: int | None = None

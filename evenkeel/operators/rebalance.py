@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.functions.search import with_rank_among
+from evenkeel.functions.search import rank_among
 from evenkeel.functions.sizing import split_size
 from evenkeel.operators.ordinals import GlobalOrder, running_totals
 
@@ -119,14 +119,10 @@ def guided_chunks(pool: DataFrame, skip: int = 0, rows_per_block: int | None = N
     """
     order = GlobalOrder(pool, ["item_id"], rows_per_block)
     starts = [skip + start for start in chunk_starts(max(order.count - skip, 0))]
-    bounds = F.lit(np.array(starts, "int64"))
-    chunked = with_rank_among(
-        order.numbered("_ord", low=skip), "_chunk", F.col("_ord"), bounds, len(starts)
-    )
-    batch_pos = F.get(bounds, F.col("_chunk")) - F.col("_ord")
-    return chunked.select(
-        *pool.columns, F.col("_chunk").cast("long").alias("chunk_id"), batch_pos.alias("batch_pos")
-    )
+    chunk_id = rank_among(F.col("_ord"), starts)
+    chunked = order.numbered("_ord", low=skip).withColumn("chunk_id", chunk_id)
+    batch_pos = F.get(F.lit(np.array(starts, "int64")), F.col("chunk_id").cast("int")) - F.col("_ord")
+    return chunked.select(*pool.columns, "chunk_id", batch_pos.alias("batch_pos"))
 
 
 def deal_initial(

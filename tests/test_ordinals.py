@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evenkeel.functions.search import with_rank_among
+from evenkeel.functions.search import rank_among, with_rank_among
 from evenkeel.operators import ordinals
 
 SCHEMA = "key long, name string, time timestamp, seq long, step long, mark boolean"
@@ -118,3 +118,32 @@ def test_rank_among(spark, size):
 def test_size_estimate_is_there(spark):
     path = "/root/testdata/sf0.001/orders.parquet"
     assert 0 < ordinals.estimated_bytes(spark.read.parquet(path)) < ordinals.ONE_TASK_BYTES
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 5, 8, 13])
+def test_rank_by_tree(spark, size):
+    bounds = [10 * i for i in range(1, size + 1)]
+    df = spark.range(0, 160).select("id", rank_among(F.col("id"), bounds).alias("rank"))
+    assert all(r["rank"] == sum(b <= r.id for b in bounds) for r in df.collect())
+
+
+def test_draw_is_a_range_of_the_scan(spark):
+    """Only the blocks that are needed are read: the bound reaches the scan as a simple comparison."""
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey")
+    part = ordinals.GlobalOrder(orders, ["o_orderkey"], rows_per_block=1000).numbered("ord", 0, 1500)
+    assert sorted(r.ord for r in part.collect()) == list(range(1500))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(o_orderkey" in plan
+
+
+@pytest.mark.parametrize("hot, blocks", [(0.0, False), (0.5, True)])
+def test_only_a_hot_key_is_cut(spark, monkeypatch, hot, blocks):
+    """Where no key is hot, a large input takes the plain window; either way the result is the same."""
+    monkeypatch.setattr(ordinals, "ROWS_PER_BLOCK", 100)
+    monkeypatch.setattr(ordinals, "ONE_TASK_BYTES", 0)
+    data = table(2000, hot=hot)
+    df = spark.createDataFrame(data, SCHEMA)
+    result = ordinals.running_totals(df, ["key"], ["time", "seq"], {"count": F.lit(1)})
+    assert ("_block" in result._jdf.queryExecution().analyzed().toString()) == blocks
+    expected = {seq: v[0] for seq, v in reference(data, ["key"]).items()}
+    assert {r.seq: r["count"] for r in result.collect()} == expected
