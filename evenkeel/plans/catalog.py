@@ -765,13 +765,15 @@ def read_costs(t: Tables) -> DataFrame:
 
 
 @_query(
-    "SELECT count(*) AS items, count(*) AS ids, TRUE AS in_range, TRUE AS spread FROM orders"
+    "SELECT count(*) AS items, count(DISTINCT o_orderkey) AS orders, TRUE AS in_range, TRUE AS spread FROM orders"
 )
 def gen_work_items(t: Tables) -> DataFrame:
-    items = costs.gen_work_items(t.spark, t.table("orders").count(), bound=200, seed=7)
-    return items.agg(
+    """A drawn cost for every order; the values are random, so their range and mean are checked."""
+    keys = ordinals.assign_ids(t.table("orders").select("o_orderkey"), ["o_orderkey"])
+    drawn = costs.gen_work_items(t.spark, t.table("orders").count(), bound=200, seed=7)
+    return drawn.join(keys, F.col("item_id") == F.col("id")).agg(
         F.count(F.lit(1)).alias("items"),
-        F.count_distinct("item_id").alias("ids"),
+        F.count_distinct("o_orderkey").alias("orders"),
         ((F.min("cost_ms") >= 0) & (F.max("cost_ms") < 200)).alias("in_range"),
         F.avg("cost_ms").between(90, 109).alias("spread"),
     )
