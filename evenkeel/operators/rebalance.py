@@ -96,8 +96,11 @@ def draw_from_pool(
     """
     if policy not in ("quarter", "one"):
         raise ValueError(f"policy must be quarter or one: {policy!r}")
+    if policy == "one":
+        first = pool.orderBy(F.desc("item_id") if from_tail else F.asc("item_id")).limit(1)
+        return first.withColumn("batch_pos", F.lit(1).cast("long"))
     order = GlobalOrder(pool, ["item_id"], rows_per_block)
-    size = min(order.count, order.count // 4 + 1 if policy == "quarter" else 1)
+    size = min(order.count, order.count // 4 + 1)
     low = order.count - size if from_tail else 0
     drawn = order.numbered("_ord", low, low + size)
     batch_pos = F.col("_ord") - low + 1 if from_tail else size - F.col("_ord")

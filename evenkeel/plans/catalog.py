@@ -83,7 +83,7 @@ def _progress(t: Tables, rows_per_block: int | None = None) -> DataFrame:
     )
 
 
-def _latest(t: Tables, *columns: str) -> DataFrame:
+def _latest(t: Tables, *columns: str, store: bool = False) -> DataFrame:
     """The state at the middle of the log; the log is cut before anything is shuffled."""
     seen = F.col("event_id") < t.half()
     return flows.current_state(
@@ -92,6 +92,7 @@ def _latest(t: Tables, *columns: str) -> DataFrame:
         t.heartbeats().where(seen),
         tie_break="event_id",
         columns=columns or None,
+        store=store,
     )
 
 
@@ -257,7 +258,7 @@ picked AS (
 
 @_query(f"{_SNAPSHOT_SQL}{_PICKED_SQL} SELECT executor_id, remaining, victim FROM picked")
 def pick_victim(t: Tables) -> DataFrame:
-    return ranking.pick_victim(_latest(t, "remaining"))
+    return ranking.pick_victim(_latest(t, "remaining", store=True))
 
 
 # Redistribution --------------------------------------------------------------------------------------
@@ -751,7 +752,7 @@ def steal_round(t: Tables) -> DataFrame:
         .where(F.col("event_id") >= t.half())
         .select("item_id", F.col("executor_id").alias("queue_id"), F.col("event_id").alias("pos"))
     )
-    return flows.steal_round(_latest(t, "remaining"), open_items).select("item_id", "queue_id", "pos")
+    return flows.steal_round(_latest(t, "remaining", store=True), open_items).select("item_id", "queue_id", "pos")
 
 
 # Sources ---------------------------------------------------------------------------------------------

@@ -19,10 +19,16 @@ def current_state(
     heartbeats: DataFrame,
     tie_break: str | None = None,
     columns: Sequence[str] | None = None,
+    store: bool = False,
 ) -> DataFrame:
-    """Logs to the latest state of each executor, all of it or just the named `columns`."""
+    """Logs to the latest state of each executor, all of it or just the named `columns`.
+
+    With `store` the state, a row per executor, is computed now and written out. Use it where the state is
+    read more than once, as `pick_victim` does: the log is sorted once then, not once per use.
+    """
     progress = heartbeat_progress(assigned, completions, heartbeats, tie_break=tie_break)
-    return latest_heartbeat(progress, columns=columns)
+    latest = latest_heartbeat(progress, columns=columns)
+    return stored(latest, "latest") if store else latest
 
 
 def pool_schedule(pool: DataFrame, executors: int = 3, k: int = 3) -> DataFrame:
