@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontamination
+from evenkeel.llm import decontamination, quality
 from evenkeel.llm._frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,3 +24,11 @@ def query(build: Query) -> Query:
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return decontamination.digest(found)
+
+
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.digest(read(spark, folder, "documents"))
+
+
+SQL["op6_quality_rules"] = quality.SQL
