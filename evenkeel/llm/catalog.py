@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontamination, quality
+from evenkeel.llm import decontamination, near_duplicates, quality
 from evenkeel.llm._frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,8 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op6_quality_rules"] = quality.SQL
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, folder, "documents"))
