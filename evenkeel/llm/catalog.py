@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontamination, near_duplicates, quality
+from evenkeel.llm import decontamination, near_duplicates, quality, substring_dedup
 from evenkeel.llm._frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,8 @@ SQL["op6_quality_rules"] = quality.SQL
 @query
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, folder, "documents"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(read(spark, folder, "documents")))
