@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontamination, near_duplicates, quality, substring_dedup
+from evenkeel.llm import decontamination, near_duplicates, packing, quality, sharding, substring_dedup
 from evenkeel.llm._frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,13 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(read(spark, folder, "documents")))
+
+
+@query
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.digest(sharding.assign(read(spark, folder, "documents")))
+
+
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"))
