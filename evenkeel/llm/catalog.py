@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontamination, near_duplicates, packing, quality, sharding, substring_dedup
+from evenkeel.llm import decontamination, near_duplicates, packing, quality, sharding, substring_dedup, toxicity
 from evenkeel.llm._frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,9 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, read(spark, folder, "labels"))))
