@@ -11,11 +11,11 @@ in how many sets each word occurs. A set's words are then put in order of that n
 must share one of their first D + 1, so only these are joined, and words of common passages are hardly
 ever among them. A set with D + 1 words of its own has no similar set and leaves at this point.
 
-Sets that share such a word are candidates. Groups are not expanded into pairs: each set is first tested
-against the smallest one that it shares a word with; groups whose sets are then in one component are
-done, the others go on with more pivots a round until every two sets of different components have been
-tested. Tests first compare 1,024-bit parity sketches (their Hamming distance bounds the symmetric
-difference from below), then the sets.
+Sets that share such a word are candidates. Groups are not expanded into pairs: in the first rounds each
+set is tested against one set that it shares a word with; groups whose sets are then in one component are
+done. Of the others, blocks of sets are compared by 1,024-bit parity sketches, whose Hamming distance
+bounds the symmetric difference from below; only pairs of different components that pass become rows.
+All pairs are verified on the sets themselves.
 
 Shingles are 64-bit hashes, sets of equal hashes are one set. Documents without words have an empty set
 and are linked with nothing. Rows with the same id stay separate rows; a null id is never a
@@ -47,6 +47,10 @@ _FLUSH = 1 << 20
 #: Ratio of the bounds of a size band. Similar sets are in the same or in neighbouring bands.
 _BAND_RATIO = 1.6
 _PARITY_WORDS = 16
+#: Sets in a block of a group, about.
+_BLOCK_SETS = 128
+#: Rounds in which each set is tested once.
+_TURNS = (0, 1)
 
 
 class Bands:
@@ -320,40 +324,107 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     return map_arrow(close.select("a", "b", "of_a", "of_b"), work, "a long, b long")
 
 
+def _open_groups(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The groups whose sets are in two or more components, with the component of each set as `label`."""
+    named = groups.withColumn("label", F.col("sid"))
+    if labels is not None:
+        known = labels.select(F.col("node").alias("sid"), F.col("label").alias("known"))
+        named = named.join(known, "sid", "left").withColumn("label", F.coalesce("known", "label")).drop("known")
+    split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    return stored(named.join(split.where("x <> y").select("key"), "key", "left_semi"), "open-groups")
+
+
+def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """One pair for each set: with the first set of its groups.
+
+    First come sets with many keys. They have few words of their own, so they are close to what the group
+    has in common. The next turn passes over the sets that were first before.
+    """
+    keys = members.groupBy("sid").agg(F.count("*").alias("n_keys"))
+    ordered = members.join(keys, "sid").withColumn("place", F.struct(-F.col("n_keys"), "sid", "label"))
+    for _ in range(turn):
+        first = ordered.groupBy("key").agg(F.min("place").alias("first"))
+        ordered = ordered.join(first, "key").withColumn("later", F.col("place") > F.col("first")).drop("first")
+        ordered = ordered.withColumn("place", F.when(F.col("later"), F.col("place"))).drop("later")
+    first = ordered.groupBy("key").agg(F.min("place").alias("first")).where("first IS NOT NULL")
+    mine = members.join(first, "key").groupBy("sid", "label").agg(F.min("first").alias("first"))
+    pairs = mine.select("sid", "label", F.col("first.sid").alias("pivot"), F.col("first.label").alias("other"))
+    pairs = pairs.where("label <> other")
+    return pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+
+
+def _block_pairs(members: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of sets of one group and different components that their sketches let pass.
+
+    Sets of a group are packed into blocks, and blocks are joined; only the pairs that pass become rows.
+    With `best`, a set gives one pair at most with each component of the other block.
+    """
+    blocks = F.ceil(F.col("size") / _BLOCK_SETS)
+    packed = (
+        members.withColumn("block", F.pmod(F.xxhash64("sid"), blocks))
+        .join(sets.select("sid", "n", "parity"), "sid")
+        .groupBy("key", "block")
+        .agg(F.collect_list(F.struct("sid", "n", "label", "parity")).alias("of"))
+    )
+    left, right = (packed.select("key", F.col("block").alias(x), F.col("of").alias(f"of_{x}")) for x in "xy")
+    both = left.join(right, "key").where("x <= y").select(F.expr("x = y").alias("same"), "of_x", "of_y")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def columns(block: list[dict]) -> tuple[np.ndarray, ...]:
+        sid, n, label = (np.array([r[c] for r in block], dtype=np.int64) for c in ("sid", "n", "label"))
+        return sid, n, label, np.array([r["parity"] for r in block], dtype=np.int64).view(np.uint64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same, of_x, of_y = (c[i].as_py() for c in batch.columns)
+                (sid, n, label, bits), (sid_y, n_y, label_y, bits_y) = columns(of_x), columns(of_y)
+                apart = label[:, None] != label_y[None, :]
+                if same:
+                    apart &= np.arange(len(sid))[:, None] < np.arange(len(sid))[None, :]
+                total = n[:, None] + n_y[None, :]
+                apart &= np.minimum(n[:, None], n_y[None, :]) * 100 >= np.maximum(n[:, None], n_y[None, :]) * percent
+                if not apart.any():
+                    continue
+                distance = np.zeros(apart.shape, dtype=np.int64)
+                for k in range(bits.shape[1]):
+                    distance += np.bitwise_count(bits[:, k, None] ^ bits_y[None, :, k])
+                at, at_y = np.nonzero(apart & (distance * (100 + percent) <= total * (100 - percent)))
+                if best and len(at):
+                    order = np.lexsort((distance[at, at_y], label_y[at_y], at))
+                    at, at_y = at[order], at_y[order]
+                    new = (np.diff(at, prepend=-1) != 0) | (np.diff(label_y[at_y], prepend=~label_y[at_y[:1]]) != 0)
+                    at, at_y = at[new], at_y[new]
+                pair = np.sort(np.stack([sid[at], sid_y[at_y]]), axis=0)
+                yield to_batch(schema, [pair[0], pair[1]])
+
+    return map_arrow(both, work, "a long, b long").distinct()
+
+
 def link_sets(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, label): the component of every set that is linked with another."""
-    # First each set against the smallest one that it shares a key with.
-    smallest = groups.groupBy("key").agg(F.min("sid").alias("pivot"))
-    pairs = groups.join(smallest, "key").groupBy("sid").agg(F.min("pivot").alias("a"))
-    pairs = pairs.where("a < sid").select("a", F.col("sid").alias("b"))
-    links = stored(similar_pairs(pairs, sets, percent), "links")
-    labels = stored(connected(links), "components")
-    low, high = 0, 4
-    while True:
-        # Of a group, so many sets are pivots in this round; a hash of the set says which.
-        named = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select(
-            "key", "sid", "size", F.coalesce("label", "sid").alias("label")
-        )
-        named = named.withColumn("turn", F.pmod(F.xxhash64("sid"), F.col("size")))
-        split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-        open_keys = split.where("x <> y").select("key")
-        members = stored(named.join(open_keys, "key", "left_semi"), "open-groups")
-        if members.where(F.col("size") > low).isEmpty():
-            return labels
-        pivots = members.where((F.col("turn") >= low) & (F.col("turn") < high))
-        p = pivots.select("key", F.col("sid").alias("p"), F.col("label").alias("p_label"))
-        others = members.where(F.col("turn") >= low)
-        pairs = (
-            p.join(others, "key")
-            .where((F.col("p_label") != F.col("label")) & ((F.col("p") < F.col("sid")) | (F.col("turn") >= high)))
-            .select(F.least("p", "sid").alias("a"), F.greatest("p", "sid").alias("b"))
-            .distinct()
-        )
+    """(node, label): the component of every set that is linked with another.
+
+    Groups whose sets are all in one component need no more tests. First a few rounds in which each set is
+    tested once, which unite most copies; then, for the groups still open, the most alike pairs of every
+    two components; last all pairs of different components that the sketches let pass.
+    """
+    links, labels = None, None
+    for turn in (*_TURNS, "best", "all"):
+        members = _open_groups(groups, labels)
+        if members.isEmpty():
+            break
+        if isinstance(turn, int):
+            pairs = _star_pairs(members, turn)
+        else:
+            pairs = _block_pairs(members, sets, percent, turn == "best")
         found = stored(similar_pairs(pairs, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.union(found)
+        if labels is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
             labels = stored(connected(links), "components")
-        low, high = high, high * 8
+    if labels is None:
+        empty = groups.select(F.col("sid").alias("node"), F.col("sid").alias("label"))
+        return empty.limit(0)
+    return labels
 
 
 def near_duplicates(
