@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontamination, near_duplicates, packing, quality, sharding, substring_dedup, toxicity
+import corpus_pipeline
+from evenkeel.llm import (
+    decontamination,
+    licenses,
+    line_dedup,
+    near_duplicates,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    substring_dedup,
+    toxicity,
+)
 from evenkeel.llm._frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +70,29 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, read(spark, folder, "labels"))))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(read(spark, folder, "documents"))
+
+
+SQL["op3_line_dedup"] = line_dedup.SQL
+
+
+@query
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(read(spark, folder, "documents")))
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(read(spark, folder, "documents"))
+
+
+SQL["op8_license_scan"] = licenses.SQL
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
