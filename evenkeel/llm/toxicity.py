@@ -34,7 +34,7 @@ MAX_LABELLED = 200_000
 #: Labelled toxic documents that a feature needs, its z-score and its log-odds. Smaller log-odds come from
 #: languages and topics that are unevenly labelled.
 MIN_COUNT = 5
-MIN_Z = 4.0
+MIN_Z = 2.0
 MIN_ODDS = 3.0
 #: Score of a token without significant log-odds.
 BACKGROUND = -0.1
