@@ -15,10 +15,14 @@ def read_costs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gen_work_items(spark: SparkSession, n: int, bound: int = 200, seed: int = 0) -> DataFrame:
-    """n pool items with costs uniform over the integers `[0, bound)`."""
+    """n pool items with costs spread evenly over the integers `[0, bound)`.
+
+    A cost depends on the seed and the item alone, on no partition: the same on every cluster.
+    """
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 12)
     return spark.range(n).select(
         F.col("id").alias("item_id"),
         F.lit(None).cast("long").alias("queue_id"),
         (F.col("id") + 1).alias("pos"),
-        F.floor(F.rand(seed) * bound).cast("long").alias("cost_ms"),
+        (F.conv(digits, 16, 10).cast("long") % bound).alias("cost_ms"),
     )

@@ -9,10 +9,24 @@ from pyspark.sql.types import StructType
 from evenkeel import schemas
 
 
+# Columns that a file may leave out; they are null then.
+_OPTIONAL = {"remaining_ids", "processed_ids"}
+
+
 def _load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Read with the fixed schema, after checking that the files have its columns."""
+    there = {c.lower() for c in spark.read.parquet(path).columns}
+    missing = [c for c in schema.fieldNames() if c not in there and c not in _OPTIONAL]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
     return spark.read.schema(schema).parquet(path)
 
 
+def _stream(spark: SparkSession, path: str, schema: StructType, options: dict) -> DataFrame:
+    """Files as they arrive in a folder, e.g. with `maxFilesPerTrigger=100`."""
+    return spark.readStream.schema(schema).options(**options).parquet(path)
+
+
 def load_heartbeats(spark: SparkSession, path: str) -> DataFrame:
     return _load(spark, path, schemas.HEARTBEATS)
 
@@ -48,17 +62,35 @@ def load_moves(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_heartbeats(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """Heartbeat files as they arrive in a folder, e.g. `maxFilesPerTrigger=100`."""
-    return spark.readStream.schema(schemas.HEARTBEATS).options(**options).parquet(path)
+    return _stream(spark, path, schemas.HEARTBEATS, options)
+
+
+def stream_work_items(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    return _stream(spark, path, schemas.WORK_ITEMS, options)
 
 
 def stream_completions(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    return spark.readStream.schema(schemas.COMPLETIONS).options(**options).parquet(path)
+    return _stream(spark, path, schemas.COMPLETIONS, options)
+
+
+def stream_shuffle_deps(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    return _stream(spark, path, schemas.SHUFFLE_DEPS, options)
+
+
+def stream_executors(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    return _stream(spark, path, schemas.EXECUTORS, options)
+
+
+def stream_tasks(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    return _stream(spark, path, schemas.TASKS, options)
+
+
+def stream_moves(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    return _stream(spark, path, schemas.MOVES, options)
 
 
 def stream_task_metrics(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    metrics = spark.readStream.schema(schemas.TASK_METRICS).options(**options).parquet(path)
-    return metrics.withColumn("input", _checked_input())
+    return _stream(spark, path, schemas.TASK_METRICS, options).withColumn("input", _checked_input())
 
 
 def _checked_input():

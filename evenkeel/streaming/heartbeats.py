@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,9 +19,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Heartbeats of one executor that share a state entry.
 SEQ_PER_STATE = 1000
+# So many heartbeats at the edge of a run are also sent to its neighbour, where gaps are closed.
+EDGE = 100
 
 _OUT = "executor_id long, hb_seq long, hb_us long, processed long, delta long, avg_rate double, gap boolean"
-_STATE = "emitted long, seqs array<long>, processed array<long>, times array<long>, open array<boolean>"
+_STATE = (
+    "done string, next_begun boolean, "
+    "seqs array<long>, processed array<long>, times array<long>, open array<boolean>"
+)
+# What a row is to the run that gets it.
+_OWN, _SEED, _NOTICE = range(3)
 
 
 def stream_latest(heartbeats: DataFrame) -> DataFrame:
@@ -42,21 +49,32 @@ def stream_progress(heartbeats: DataFrame, watermark: str | None = None) -> Data
     spread over many groups and no group grows with the log. The last heartbeat of a run also goes to the
     next one, as its predecessor.
 
-    Heartbeats may come late or out of order: each is reported, exactly, once it and its predecessor are
-    both in. With a `watermark` delay (e.g. "10 minutes"), one whose predecessor was lost is reported
-    when the delay has passed, against the nearest earlier one known, with `gap` true.
+    Heartbeats may come late, out of order and repeatedly: each is reported once, when it and its
+    predecessor are both in. The state has a bit for each number of its run that was reported; when all
+    are set, only a finished mark stays.
+
+    With a `watermark` delay (e.g. "10 minutes"), a heartbeat whose predecessor was lost is reported when
+    the delay has passed, against the nearest earlier one known among the EDGE last ones of the run before
+    (else with a null `delta`), with `gap` true. Finished runs are forgotten then, and so are runs with
+    lost heartbeats once the next run has begun.
     """
     run = F.call_function("div", F.col("hb_seq") - 1, F.lit(SEQ_PER_STATE))
-    own = F.struct(run.alias("run"), F.lit(True).alias("open"))
-    seed = F.struct((run + 1).alias("run"), F.lit(False).alias("open"))
-    last_of_run = F.col("hb_seq") % SEQ_PER_STATE == 0
+    place = F.col("hb_seq") - run * SEQ_PER_STATE
+
+    def copy(to: Column, part: int) -> Column:
+        return F.struct(to.alias("run"), F.lit(part).alias("part"))
+
     rows = heartbeats.select("executor_id", "hb_seq", "hb_ts", "processed")
-    timeout = GroupStateTimeout.NoTimeout
+    timeout, edge = GroupStateTimeout.NoTimeout, 1
     if watermark is not None:
         rows = rows.withWatermark("hb_ts", watermark)
-        timeout = GroupStateTimeout.EventTimeTimeout
-    copies = F.when(last_of_run, F.array(own, seed)).otherwise(F.array(own))
-    spread = rows.select("*", F.unix_micros("hb_ts").alias("hb_us"), F.inline(copies))
+        timeout, edge = GroupStateTimeout.EventTimeTimeout, min(EDGE, SEQ_PER_STATE)
+    seed = F.when(place > SEQ_PER_STATE - edge, copy(run + 1, _SEED))
+    copies = [copy(run, _OWN), seed]
+    if watermark is not None:
+        copies.append(F.when((place <= edge) & (run > 0), copy(run - 1, _NOTICE)))
+    to = F.filter(F.array(*copies), lambda x: x.isNotNull())
+    spread = rows.select("*", F.unix_micros("hb_ts").alias("hb_us"), F.inline(to))
     update = _advance_timed if watermark is not None else _advance
     reports = spread.groupBy("executor_id", "run").applyInPandasWithState(
         update, _OUT, _STATE, "append", timeout
@@ -68,14 +86,22 @@ def stream_progress(heartbeats: DataFrame, watermark: str | None = None) -> Data
 _KNOWN = {"hb_seq": "int64", "processed": "int64", "hb_us": "int64", "open": "bool"}
 
 
-def _recall(state: GroupState) -> tuple[int, pd.DataFrame]:
-    emitted, *columns = state.get if state.exists else (0, [], [], [], [])
+def _recall(state: GroupState) -> tuple[int, bool, pd.DataFrame]:
+    """Bits of the reported numbers, whether the next run has begun, and the rows still needed."""
+    done, begun, *columns = state.get if state.exists else ("0", False, [], [], [], [])
     known = {name: np.array(c, kind) for (name, kind), c in zip(_KNOWN.items(), columns)}
-    return emitted, pd.DataFrame(known)
+    return int(done, 16), bool(begun), pd.DataFrame(known)
+
 
+def _remember(state: GroupState, done: int, begun: bool, rows: pd.DataFrame) -> None:
+    state.update((f"{done:x}", begun, *[rows[name].tolist() for name in _KNOWN]))
 
-def _remember(state: GroupState, emitted: int, rows: pd.DataFrame) -> None:
-    state.update((emitted, *[rows[name].tolist() for name in _KNOWN]))
+
+def _bits(seqs, first: int) -> int:
+    bits = 0
+    for seq in seqs:
+        bits |= 1 << int(seq - first)
+    return bits
 
 
 def _report(executor_id: int, rows: pd.DataFrame, delta, gap: bool) -> pd.DataFrame:
@@ -96,23 +122,34 @@ def _advance(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timed: bool = False
 ) -> Iterator[pd.DataFrame]:
     """Report rows whose predecessor is in; remember those that are still open or still needed."""
-    emitted, known = _recall(state)
-    rows = pd.concat([known, *[batch[list(_KNOWN)].astype(_KNOWN) for batch in batches]])
+    done, begun, known = _recall(state)
+    first, finished = key[1] * SEQ_PER_STATE + 1, (1 << SEQ_PER_STATE) - 1
+    came = pd.concat(batches)
+    begun = begun or bool((came["part"] == _NOTICE).any())
+    came = came[came["part"] != _NOTICE]
+    came = came.assign(open=came["part"] == _OWN)
+    newest = int(came["hb_us"].max()) if len(came) else 0
+    # Numbers reported before are repeats; what comes before the run is needed for its first number only.
+    new = [not done >> max(int(seq - first), 0) & 1 for seq in came["hb_seq"]]
+    came = came[np.array(new, dtype=bool)]
+    rows = pd.concat([known, came[list(_KNOWN)].astype(_KNOWN)]) if len(came) else known
     rows = rows.drop_duplicates("hb_seq").sort_values("hb_seq", ignore_index=True)
+    before = int((rows["hb_seq"] < first).sum())
+    rows = rows[max(before - 1, 0) :].reset_index(drop=True)  # the nearest earlier one is enough
     seq, processed = rows["hb_seq"].to_numpy(), rows["processed"].to_numpy()
-    follows = np.r_[False, np.diff(seq) == 1]
-    ready = rows["open"].to_numpy() & (follows | (seq == 1))
-    delta = processed - np.where(follows, np.r_[0, processed[:-1]], 0)
-    emitted += int(ready.sum())
+    follows = np.r_[False, np.diff(seq) == 1][: len(seq)]
+    ready = rows["open"].to_numpy(dtype=bool) & (follows | (seq == 1))
+    delta = processed - np.where(follows, np.r_[0, processed[:-1]][: len(seq)], 0)
+    done |= _bits(seq[ready], first)
     rows["open"] &= ~ready
-    if emitted == SEQ_PER_STATE:
-        state.remove()
-    else:
-        followed = np.r_[follows[1:], False]
-        _remember(state, emitted, rows[rows["open"] | ~followed])
+    followed = np.r_[follows[1:], False][: len(seq)]
+    needed = rows["open"] | ~followed
+    if done == finished:
+        needed &= False
+    if state.exists or len(rows) or done:
+        _remember(state, done, begun, rows[needed])
         if timed:
-            newest = int(rows["hb_us"].max()) // 1000
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs() + 1))
     if ready.any():
         yield _report(key[0], rows[ready], delta[ready], gap=False)
 
@@ -124,16 +161,19 @@ def _advance_timed(
 
 
 def _close_gaps(key: tuple, state: GroupState) -> Iterator[pd.DataFrame]:
-    """Report what waits for a lost predecessor; the newest row stays, for a heartbeat still to come."""
-    emitted, rows = _recall(state)
-    late = rows["open"].to_numpy()
+    """Report what waits for a lost predecessor; the newest row stays, for a heartbeat still to come.
+
+    Repeats of what was reported are older than the watermark now and do not come through.
+    """
+    done, begun, rows = _recall(state)
+    late = rows["open"].to_numpy(dtype=bool)
     delta = rows["processed"].astype("Int64").diff()
-    emitted += int(late.sum())
-    newest = rows.tail(1).assign(open=False)
-    if int(newest["hb_seq"].iloc[0]) % SEQ_PER_STATE == 0:
+    first = key[1] * SEQ_PER_STATE + 1
+    done |= _bits(rows["hb_seq"][late], first)
+    if begun or done == (1 << SEQ_PER_STATE) - 1:
         state.remove()
     else:
-        _remember(state, emitted, newest)
+        _remember(state, done, begun, rows.tail(1).assign(open=False))
     if late.any():
         yield _report(key[0], rows[late], delta[late], gap=True)
 
@@ -154,7 +194,8 @@ def latest_table(heartbeats: DataFrame, path: str) -> DataFrame:
     """Run `stream_latest` over what is available now into files under `path`, and read the latest state.
 
     Each micro-batch overwrites its own folder, so a batch that is run again after a failure is not
-    counted twice.
+    counted twice. At the end of the run the batches are merged into one table with a row per executor,
+    which the next run's batches are added to. A source without rows gives an empty table.
     """
     spark, rows = heartbeats.sparkSession, f"{path}/rows"
     latest = stream_latest(heartbeats)
@@ -170,5 +211,28 @@ def latest_table(heartbeats: DataFrame, path: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    batches = spark.read.schema(latest.schema).parquet(rows)
-    return latest_heartbeat(batches.drop("batch"))
+    last = query.lastProgress["batchId"] if query.lastProgress else -1
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def there(name: str) -> list[int]:
+        """Numbers of the folders `name=<number>`."""
+        if not files.exists(folder):
+            return []
+        parent = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}s" if name == "merged" else rows)
+        if not files.exists(parent):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(parent)]
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{name}="))
+
+    merged, batches = there("merged"), there("batch")
+    known = merged[-1] if merged else -1
+    new = [b for b in batches if b > known]
+    parts = [f"{rows}/batch={b}" for b in new] + ([f"{path}/mergeds/merged={known}"] if merged else [])
+    if not parts:
+        return spark.createDataFrame([], latest.schema)
+    if new:
+        known = max(new[-1], last)
+        table = latest_heartbeat(spark.read.schema(latest.schema).parquet(*parts))
+        table.write.mode("overwrite").parquet(f"{path}/mergeds/merged={known}")
+    return spark.read.schema(latest.schema).parquet(f"{path}/mergeds/merged={known}")

@@ -97,7 +97,17 @@ def test_gen_work_items(spark):
     assert items.dtypes == [(f.name, "bigint") for f in schemas.WORK_ITEMS]
     values = [r.cost_ms for r in items.collect()]
     assert len(values) == 1500 and min(values) >= 0 and max(values) == 199
-    assert values == [r.cost_ms for r in costs.gen_work_items(spark, 1500, seed=3).collect()]
+    again = costs.gen_work_items(spark, 1500, seed=3).repartition(7)
+    assert sorted((r.item_id, r.cost_ms) for r in again.collect()) == list(enumerate(values))
+    counts = costs.gen_work_items(spark, 20_000, bound=10).groupBy("cost_ms").count().collect()
+    assert len(counts) == 10 and all(1800 < r["count"] < 2200 for r in counts)
+
+
+def test_misnamed_columns_are_an_error(spark):
+    path = scratch_dir(spark, "items")
+    spark.createDataFrame([(1, 2, 3, 4)], "id long, queue_id long, pos long, cost_ms long").write.parquet(path)
+    with pytest.raises(ValueError, match="item_id"):
+        tables.load_work_items(spark, path)
 
 
 def test_read_method_domain(spark):
@@ -105,6 +115,8 @@ def test_read_method_domain(spark):
     metrics = spark.range(3).select(
         F.col("id").alias("task_id"), F.struct(method.alias("read_method"), F.col("id").alias("bytes_read")).alias("input")
     )
+    missing = [f for f in schemas.TASK_METRICS if f.name not in metrics.columns]
+    metrics = metrics.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
     path = scratch_dir(spark, "metrics")
     metrics.write.parquet(path)
     loaded = tables.load_task_metrics(spark, path)

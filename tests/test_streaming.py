@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel import schemas
 from evenkeel.operators import telemetry
 from evenkeel.session import scratch_dir
 from evenkeel.sources import tables
@@ -78,7 +79,7 @@ def test_latest_table(spark):
     stream = tables.stream_heartbeats(spark, source, maxFilesPerTrigger=1)
     latest = live.latest_table(stream, scratch_dir(spark, "out"))
     assert {r.executor_id: r.processed for r in latest.collect()} == {1: 5, 2: 0}
-    batch = telemetry.latest_heartbeat(tables.load_heartbeats(spark, source))
+    batch = telemetry.latest_heartbeat(spark.read.schema(schemas.HEARTBEATS).parquet(source))
     assert sorted(map(repr, batch.collect())) == sorted(map(repr, latest.collect()))
 
 
@@ -90,3 +91,73 @@ def test_refill_alerts(spark):
     )
     alerts = live.run_available(live.stream_refill_alerts(stream), scratch_dir(spark, "out"))
     assert [r.executor_id for r in alerts.collect()] == [1]
+
+
+def progress_of(spark, *batches, watermark=None):
+    source, target = scratch_dir(spark, "in"), scratch_dir(spark, "out")
+    for beats in batches:
+        arrive(spark, source, beats)
+        stream = tables.stream_heartbeats(spark, source, maxFilesPerTrigger=1)
+        rows = live.run_available(live.stream_progress(stream, watermark), target)
+    return rows.collect()
+
+
+def test_repeated_heartbeats_are_reported_once(spark):
+    beats = [beat(1, seq, 2 * seq) for seq in (1, 2, 3)]
+    rows = progress_of(spark, beats, beats, [beat(1, 4, 9), *beats])
+    assert len(rows) == 4 and reported(rows) == expected([*beats, beat(1, 4, 9)])
+
+
+def test_repeats_do_not_finish_a_run(spark):
+    beats = [beat(1, seq, 3 * seq) for seq in range(1, 1001)]
+    rows = progress_of(spark, beats[:998], beats[:2], beats[998:], beats[400:420], [beat(1, 1001, 3003)])
+    assert len(rows) == 1001 and reported(rows) == expected([*beats, beat(1, 1001, 3003)])
+    assert not any(r.gap for r in rows)
+
+
+def test_lost_end_of_a_run(spark, monkeypatch):
+    monkeypatch.setattr(live, "SEQ_PER_STATE", 4)
+    beats = [beat(1, seq, 10 * seq) for seq in (1, 2, 3, 5, 6)]
+    rows = progress_of(
+        spark,
+        beats,
+        [beat(2, 1, 0, minute=60)],
+        [beat(2, 2, 0, minute=61)],
+        [beat(2, 3, 0, minute=62), beat(1, 7, 70, minute=62)],
+        watermark="5 minutes",
+    )
+    got = {(r.executor_id, r.hb_seq): (r.delta, r.gap) for r in rows if r.executor_id == 1}
+    assert len(rows) == len(got) + 3
+    assert got == {
+        (1, 1): (10, False), (1, 2): (10, False), (1, 3): (10, False),
+        (1, 5): (20, True), (1, 6): (10, False), (1, 7): (10, False),
+    }
+
+
+def test_latest_table_of_nothing_and_over_runs(spark):
+    source, target = scratch_dir(spark, "in"), scratch_dir(spark, "out")
+    spark.createDataFrame([], LOG).write.parquet(source)
+    latest = live.latest_table(tables.stream_heartbeats(spark, source), target)
+    assert latest.count() == 0
+    for one in (beat(1, 2, 5), beat(1, 1, 3), beat(2, 1, 0)):
+        arrive(spark, source, [one])
+        latest = live.latest_table(tables.stream_heartbeats(spark, source), target)
+    assert {r.executor_id: r.processed for r in latest.collect()} == {1: 5, 2: 0}
+    assert len(latest.inputFiles()) <= 4 and "merged=" in latest.inputFiles()[0]
+
+
+def test_every_load_has_a_stream(spark):
+    loads = [name for name in dir(tables) if name.startswith("load_")]
+    assert len(loads) == 8 and all(hasattr(tables, name.replace("load_", "stream_")) for name in loads)
+    source = scratch_dir(spark, "completions")
+    log = spark.createDataFrame([(5, 1, START), (6, 2, START)], "item_id long, executor_id long, finish_ts timestamp")
+    log.write.parquet(source)
+    got = live.run_available(tables.stream_completions(spark, source), scratch_dir(spark, "out"))
+    assert sorted(r.item_id for r in got.collect()) == [5, 6]
+    source = scratch_dir(spark, "task-metrics")
+    metrics = spark.range(3).select(
+        F.col("id").alias("task_id"), F.struct(F.lit("Disk").alias("read_method"), F.col("id").alias("bytes_read")).alias("input")
+    )
+    metrics.write.parquet(source)
+    got = live.run_available(tables.stream_task_metrics(spark, source), scratch_dir(spark, "out"))
+    assert sorted(r.input.bytes_read for r in got.collect()) == [0, 1, 2]
