@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +60,7 @@ class _Cut:
     """Rows with their block. Without `bounds` everything is in one block.
 
     `value` is what the entries of the array `constant`, the bounds, are compared with: block b has the
-    rows from bound b-1 on and below bound b.
+    rows from bound b-1 on and below bound b. `numbers` are the bounds where they are whole numbers.
     """
 
     rows: DataFrame
@@ -69,6 +68,11 @@ class _Cut:
     bounds: DataFrame | None = None
     constant: Column | None = None
     value: Column | None = None
+    numbers: list[int] | None = None
+
+    def bound(self, i: int) -> Column:
+        """One bound; a plain number reaches the scan as a filter."""
+        return F.lit(self.numbers[i]) if self.numbers else F.get(self.constant, F.lit(i))
 
     def has_hot_key(self, keys: Sequence[str]) -> bool:
         if self.bounds is None:
@@ -94,10 +98,7 @@ def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int, at_least: i
     sample = sample.take(picks)
     bounds = spark.createDataFrame(sample, df.select(*columns).schema)
     rows, value = df, F.col(columns[0])
-    if len(columns) == 1 and pa.types.is_int64(sample.field(0).type):
-        constant = F.lit(sample.column(0).to_numpy())
-    else:
-        constant = _constant_array(bounds)
+    constant = _constant_array(bounds)
     probe = value
     if len(columns) > 1:
         # Build the compared record once per row, nullable like the bounds, not once per halving step.
@@ -106,7 +107,10 @@ def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int, at_least: i
         probe = F.struct(*columns).cast(kind)
         rows, value = df.withColumn("_probe", probe), F.col("_probe")
     rows = with_rank_among(rows, _BLOCK, value, constant, len(picks))
-    return _Cut(rows.select(*df.columns, _BLOCK), count, bounds, constant, probe)
+    numbers = None
+    if len(columns) == 1 and pa.types.is_int64(sample.field(0).type):
+        numbers = sample.column(0).to_pylist()
+    return _Cut(rows.select(*df.columns, _BLOCK), count, bounds, constant, probe, numbers)
 
 
 def running_totals(
@@ -240,7 +244,10 @@ class GlobalOrder:
         high = self.count if high is None else high
         rows, base = self._within(low, high), F.lit(0)
         if len(self._starts) > 1:
-            base = F.get(F.lit(np.array(self._starts, "int64")), F.col(_BLOCK))
+            starts = rows.sparkSession.createDataFrame(
+                pa.table({"start": pa.array(self._starts, pa.int64())}), "start long"
+            )
+            base = F.get(_constant_array(starts), F.col(_BLOCK))
         in_block = Window.partitionBy(_BLOCK).orderBy(*self._order)
         position = F.row_number().over(in_block) - 1 + base
         rows = rows.withColumn(name, position.cast("long"))
@@ -259,9 +266,9 @@ class GlobalOrder:
             return rows.limit(0)
         first, last = inside[0], inside[-1]
         if first > 0:
-            rows = rows.where(self._cut.value >= F.get(self._cut.constant, F.lit(first - 1)))
+            rows = rows.where(self._cut.value >= self._cut.bound(first - 1))
         if last < len(self._starts) - 1:
-            below = self._cut.value < F.get(self._cut.constant, F.lit(last))
+            below = self._cut.value < self._cut.bound(last)
             rows = rows.where(below if first > 0 else below | self._cut.value.isNull())
         return rows
 

@@ -1,14 +1,15 @@
 """Splitting, drawing, dealing and moving ordered work items.
 
 `work_items(item_id, queue_id, pos, cost_ms)`: rows sharing `queue_id` are a queue in order of `pos`; a
-pool is a table of items in order of `item_id`. A batch is handed over newest first: `batch_pos` counts
+pool is a table of items in order of `item_id`. Rows with a null `queue_id` are a pool among queues: they are
+in no queue, so splits and sizes leave them out, and moves leave them where they are. A batch is handed over newest first: `batch_pos` counts
 from 1 at the item that was taken last.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.search import rank_among
@@ -16,12 +17,16 @@ from evenkeel.functions.sizing import split_size
 from evenkeel.operators.ordinals import GlobalOrder, running_totals
 
 _IN_QUEUE = ["pos", "item_id"]
-# Up to here the dealt items are looked up by a broadcast of exactly that many rows.
-_SMALL_DEAL = 100_000
+
+
+def _queued(work_items: DataFrame) -> DataFrame:
+    """Items in a queue: rows without a `queue_id` are the pool."""
+    return work_items.where(F.col("queue_id").isNotNull())
 
 
 def queue_sizes(work_items: DataFrame) -> DataFrame:
-    return work_items.groupBy("queue_id").agg(F.count(F.lit(1)).alias("size"))
+    """Items per queue; the pool is not a queue."""
+    return _queued(work_items).groupBy("queue_id").agg(F.count(F.lit(1)).alias("size"))
 
 
 def lookup_executor(work_items: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -31,17 +36,19 @@ def lookup_executor(work_items: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def queue_heads(work_items: DataFrame) -> DataFrame:
-    """The next item of each queue; an empty queue gives no row."""
-    others = [name for name in work_items.columns if name not in ("queue_id", "pos")]
-    return work_items.groupBy("queue_id").agg(
-        F.min("pos").alias("pos"), *[F.min_by(name, "pos").alias(name) for name in others]
-    )
+    """The next item of each queue, in order of `(pos, item_id)`; an empty queue gives no row.
+
+    Like everywhere here, items without a queue (the pool) are not a queue.
+    """
+    others = [name for name in work_items.columns if name not in ("queue_id", *_IN_QUEUE)]
+    first = F.min(F.struct(*_IN_QUEUE, *others)).alias("first")
+    return _queued(work_items).groupBy("queue_id").agg(first).select("queue_id", "first.*")
 
 
 def _ranked(work_items: DataFrame, rows_per_block: int | None) -> DataFrame:
-    """Add `_r`, the place in the queue from 1, and `_n`, the size of the queue."""
+    """Items in queues with `_r`, the place in the queue from 1, and `_n`, the size of the queue."""
     return running_totals(
-        work_items,
+        _queued(work_items),
         ["queue_id"],
         _IN_QUEUE,
         totals={"_r": F.lit(1)},
@@ -75,36 +82,55 @@ def take_fraction(
     frac: float = 0.5,
     mode: str = "documented",
     rows_per_block: int | None = None,
+    keep_rest: bool = False,
 ) -> DataFrame:
     """The first `floor(frac * n)` items of each queue of n.
 
-    With `mode='as_coded'` the whole queue goes as soon as that number is at least one.
+    With `mode='as_coded'` the whole queue goes as soon as that number is at least one. With `keep_rest`
+    all items come, with `status` `taken` or `left`.
     """
     if mode not in ("documented", "as_coded"):
         raise ValueError(f"mode must be documented or as_coded: {mode!r}")
     share = F.floor(frac * F.col("_n"))
     take = F.col("_r") <= share if mode == "documented" else share >= 1
-    return _ranked(work_items, rows_per_block).where(take).select(*work_items.columns)
+    ranked = _ranked(work_items, rows_per_block)
+    if keep_rest:
+        status = F.when(take, "taken").otherwise("left").alias("status")
+        return ranked.select(*work_items.columns, status)
+    return ranked.where(take).select(*work_items.columns)
 
 
 def draw_from_pool(
-    pool: DataFrame, policy: str = "quarter", from_tail: bool = False, rows_per_block: int | None = None
+    pool: DataFrame,
+    policy: str = "quarter",
+    from_tail: bool = False,
+    rows_per_block: int | None = None,
+    keep_rest: bool = False,
 ) -> DataFrame:
     """One draw from the pool: a `quarter` of it or just `one` item, from the head or the tail.
 
-    Blocks of the pool that the draw does not reach are left out before the shuffle.
+    The drawn items come with `batch_pos`; blocks of the pool that the draw does not reach are left out
+    before the shuffle. With `keep_rest` all items come, with `status` `taken` or `left`: what is left is
+    the pool after the draw.
     """
     if policy not in ("quarter", "one"):
         raise ValueError(f"policy must be quarter or one: {policy!r}")
-    if policy == "one":
+    if policy == "one" and not keep_rest:
         first = pool.orderBy(F.desc("item_id") if from_tail else F.asc("item_id")).limit(1)
         return first.withColumn("batch_pos", F.lit(1).cast("long"))
     order = GlobalOrder(pool, ["item_id"], rows_per_block)
-    size = min(order.count, order.count // 4 + 1)
+    size = min(order.count, 1 if policy == "one" else order.count // 4 + 1)
     low = order.count - size if from_tail else 0
-    drawn = order.numbered("_ord", low, low + size)
-    batch_pos = F.col("_ord") - low + 1 if from_tail else size - F.col("_ord")
-    return drawn.select(*pool.columns, batch_pos.cast("long").alias("batch_pos"))
+    batch_pos = (F.col("_ord") - low + 1 if from_tail else size - F.col("_ord")).cast("long")
+    if not keep_rest:
+        drawn = order.numbered("_ord", low, low + size)
+        return drawn.select(*pool.columns, batch_pos.alias("batch_pos"))
+    taken = (F.col("_ord") >= low) & (F.col("_ord") < low + size)
+    return order.numbered("_ord").select(
+        *pool.columns,
+        F.when(taken, "taken").otherwise("left").alias("status"),
+        F.when(taken, batch_pos).alias("batch_pos"),
+    )
 
 
 def chunk_starts(count: int) -> list[int]:
@@ -121,11 +147,16 @@ def guided_chunks(pool: DataFrame, skip: int = 0, rows_per_block: int | None = N
     The first `skip` items are gone already (dealt) and left out.
     """
     order = GlobalOrder(pool, ["item_id"], rows_per_block)
+    return _chunked(order, skip, skip).select(*pool.columns, "chunk_id", "batch_pos")
+
+
+def _chunked(order: GlobalOrder, skip: int, low: int) -> DataFrame:
+    """Items from position `low` on with their chunk; those before `skip` are in chunk 0."""
     starts = [skip + start for start in chunk_starts(max(order.count - skip, 0))]
-    chunk_id = rank_among(F.col("_ord"), starts)
-    chunked = order.numbered("_ord", low=skip).withColumn("chunk_id", chunk_id)
-    batch_pos = F.get(F.lit(np.array(starts, "int64")), F.col("chunk_id").cast("int")) - F.col("_ord")
-    return chunked.select(*pool.columns, "chunk_id", batch_pos.alias("batch_pos"))
+    chunk_id = F.when(F.col("_ord") < skip, F.lit(0)).otherwise(rank_among(F.col("_ord"), starts))
+    chunked = order.numbered("_ord", low=low).withColumn("chunk_id", chunk_id.cast("long"))
+    end = F.get(F.lit(np.array(starts, "int64")), F.col("chunk_id").cast("int"))
+    return chunked.withColumn("batch_pos", F.when(F.col("chunk_id") > 0, end - F.col("_ord")))
 
 
 def deal_initial(
@@ -133,18 +164,27 @@ def deal_initial(
 ) -> DataFrame:
     """Deal the first `executors * k` items in blocks of k: `executor_id` from 1, null for the rest.
 
-    The pool itself is not shuffled; the dealt items are few and come by a top-n.
+    Items are dealt by place, so items with equal ids stay separate items.
     """
-    dealt = executors * k
-    to_executor = F.call_function("div", F.col("_ord"), F.lit(k)) + 1
-    if dealt > _SMALL_DEAL:
-        numbered = GlobalOrder(pool, ["item_id"], rows_per_block).numbered("_ord")
-        executor_id = F.when(F.col("_ord") < dealt, to_executor).alias("executor_id")
-        return numbered.select(*pool.columns, executor_id)
-    first = pool.select("item_id").orderBy("item_id").limit(dealt)
-    ranked = first.withColumn("_ord", F.row_number().over(Window.orderBy("item_id")) - 1)
-    owners = ranked.select("item_id", to_executor.alias("executor_id"))
-    return pool.join(F.broadcast(owners), "item_id", "left").select(*pool.columns, "executor_id")
+    numbered = GlobalOrder(pool, ["item_id"], rows_per_block).numbered("_ord")
+    return numbered.select(*pool.columns, _dealt_to(executors, k).alias("executor_id"))
+
+
+def _dealt_to(executors: int, k: int) -> Column:
+    return F.when(F.col("_ord") < executors * k, F.call_function("div", F.col("_ord"), F.lit(k)) + 1)
+
+
+def deal_and_chunk(
+    pool: DataFrame, executors: int = 3, k: int = 3, rows_per_block: int | None = None
+) -> DataFrame:
+    """`deal_initial`, and the rest in `guided_chunks`, from one numbering of the pool.
+
+    Dealt items have `chunk_id` 0 and no `batch_pos`.
+    """
+    order = GlobalOrder(pool, ["item_id"], rows_per_block)
+    return _chunked(order, executors * k, 0).select(
+        *pool.columns, _dealt_to(executors, k).alias("executor_id"), "chunk_id", "batch_pos"
+    )
 
 
 def append_items(
@@ -217,7 +257,7 @@ def steal_move(
     """
     items = _with_grants(work_items, moves, policy, max_items, rows_per_block)
     arrival = F.col("ahead") + F.col("taken") - F.col("_r") + 1
-    stay = F.col("_r") - F.coalesce("taken", F.lit(0))
+    stay = F.when(F.col("queue_id").isNull(), F.col("pos")).otherwise(F.col("_r") - F.coalesce("taken", F.lit(0)))
     changed = {
         "queue_id": F.when(_is_moved(), F.col("thief_id")).otherwise(F.col("queue_id")),
         "pos": F.when(_is_moved(), arrival).otherwise(stay),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.sizing import needs_refill
 from evenkeel.operators.ordinals import running_totals
@@ -95,11 +96,31 @@ def heartbeat_progress(
     )
 
 
+# Numbers and times are kept in place while a hash aggregation runs.
+_FIXED_WIDTH = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)
+
+
+def _place(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order columns as one value; for a time and a sequence number a decimal.
+
+    With a decimal, Spark takes the extreme by a hash aggregation. Records would be sorted on the map side.
+    """
+    kinds = [df.schema[c].dataType for c in order]
+    times = (T.TimestampType, T.TimestampNTZType)
+    if len(order) == 2 and isinstance(kinds[0], times) and isinstance(kinds[1], T.LongType):
+        micros = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(19,0)")
+        whole = micros * F.lit(10**18).cast("decimal(19,0)") + F.col(order[1])
+        return whole.cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def _pick(heartbeats: DataFrame, pick, order: Sequence[str], columns: Sequence[str] | None) -> DataFrame:
     kept = [c for c in heartbeats.columns if c != "executor_id" and (columns is None or c in columns)]
-    chosen = heartbeats.groupBy("executor_id").agg(
-        pick(F.struct(*kept), F.struct(*order)).alias("chosen")
-    )
+    rows = heartbeats.withColumn("_place", _place(heartbeats, order))
+    fixed = all(isinstance(heartbeats.schema[c].dataType, _FIXED_WIDTH) for c in kept)
+    if fixed and isinstance(rows.schema["_place"].dataType, T.DecimalType):
+        return rows.groupBy("executor_id").agg(*[pick(c, "_place").alias(c) for c in kept])
+    chosen = rows.groupBy("executor_id").agg(pick(F.struct(*kept), "_place").alias("chosen"))
     return chosen.select("executor_id", "chosen.*")
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.schemas import READ_METHODS
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -22,10 +24,6 @@ class Tables:
 
     # Logs ------------------------------------------------------------------------------------------
 
-    def half(self) -> Column:
-        count = self.table("events").agg(F.count(F.lit(1)).alias("n"))
-        return count.select(F.call_function("div", "n", F.lit(2)).alias("half")).scalar()
-
     def heartbeats(self) -> DataFrame:
         return (
             self.table("events")
@@ -48,7 +46,20 @@ class Tables:
         )
 
     def assigned(self) -> DataFrame:
-        return self.completions().groupBy("executor_id").agg(F.count(F.lit(1)).alias("assigned"))
+        """Every event of a user is an item; those that were only viewed are still open at the end."""
+        items = self.table("events").groupBy(F.col("user_id").alias("executor_id"))
+        return items.agg(F.count(F.lit(1)).alias("assigned"))
+
+    def open_items(self) -> DataFrame:
+        return (
+            self.table("events")
+            .where("event_type = 'view'")
+            .select(
+                F.col("event_id").alias("item_id"),
+                F.col("user_id").alias("queue_id"),
+                F.col("event_id").alias("pos"),
+            )
+        )
 
     def timed_moves(self) -> DataFrame:
         """A move log on the time line of `events`: signups hand an item to another user."""
@@ -131,7 +142,7 @@ class Tables:
         """Orders as task records with nested parts."""
         price = F.floor("o_totalprice").cast("long")
         method = F.element_at(
-            F.array(*[F.lit(name) for name in ("Memory", "Disk", "Hadoop", "Network")]),
+            F.array(*[F.lit(name) for name in READ_METHODS]),
             (F.col("o_orderkey") % 4 + 1).cast("int"),
         )
         zero = F.lit(0).cast("long")

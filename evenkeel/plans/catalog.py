@@ -38,13 +38,11 @@ def _written(t: Tables, df: DataFrame, label: str) -> str:
 
 # Telemetry -------------------------------------------------------------------------------------------
 
-# {before} limits the log; assigned items are those of the whole table.
 _PROGRESS_SQL = """
 log AS (
   SELECT user_id, event_id, ts, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS hb
-  FROM events WHERE {before}),
-assigned AS (
-  SELECT user_id, count(*) AS assigned FROM events WHERE event_type <> 'view' GROUP BY user_id),
+  FROM events),
+assigned AS (SELECT user_id, count(*) AS assigned FROM events GROUP BY user_id),
 counted AS (
   SELECT user_id, event_id, ts, hb,
     CAST(sum(hb) OVER w AS BIGINT) AS hb_seq, CAST(sum(1 - hb) OVER w AS BIGINT) AS processed
@@ -55,10 +53,9 @@ progress AS (
     processed - lag(processed, 1, 0) OVER (PARTITION BY c.user_id ORDER BY event_id) AS delta,
     CAST(processed AS DOUBLE) / hb_seq AS avg_rate
   FROM counted c LEFT JOIN assigned a ON a.user_id = c.user_id WHERE hb = 1)"""
-_FULL_SQL = "WITH " + _PROGRESS_SQL.format(before="TRUE")
+_FULL_SQL = "WITH " + _PROGRESS_SQL
 _SNAPSHOT_SQL = (
-    "WITH "
-    + _PROGRESS_SQL.format(before="event_id < (SELECT count(*) // 2 FROM events)")
+    _FULL_SQL
     + """,
 latest AS (
   SELECT * FROM (
@@ -84,12 +81,10 @@ def _progress(t: Tables, rows_per_block: int | None = None) -> DataFrame:
 
 
 def _latest(t: Tables, *columns: str, store: bool = False) -> DataFrame:
-    """The state at the middle of the log; the log is cut before anything is shuffled."""
-    seen = F.col("event_id") < t.half()
     return flows.current_state(
         t.assigned(),
-        t.completions().where(seen),
-        t.heartbeats().where(seen),
+        t.completions(),
+        t.heartbeats(),
         tie_break="event_id",
         columns=columns or None,
         store=store,
@@ -111,8 +106,7 @@ def heartbeat_progress_in_blocks(t: Tables) -> DataFrame:
 WITH moved AS (
   SELECT event_id, user_id AS thief_id, event_id % 150 AS victim_id FROM events
   WHERE event_type = 'signup' AND user_id <> event_id % 150),
-assigned AS (
-  SELECT user_id, count(*) AS assigned FROM events WHERE event_type <> 'view' GROUP BY user_id),
+assigned AS (SELECT user_id, count(*) AS assigned FROM events GROUP BY user_id),
 log AS (
   SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS hb,
     CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS done, 0 AS gained, 0 AS lost FROM events
@@ -124,7 +118,9 @@ counted AS (
     CAST(sum(lost) OVER w AS BIGINT) AS stolen_from
   FROM log WINDOW w AS (PARTITION BY user_id ORDER BY event_id, 1 - hb ROWS UNBOUNDED PRECEDING))
 SELECT c.user_id AS executor_id, hb_seq, processed,
-  coalesce(assigned, 0) + stolen_by - stolen_from - processed AS remaining, stolen_by, stolen_from
+  coalesce(assigned, 0) + stolen_by - stolen_from - processed AS remaining,
+  processed - lag(processed, 1, 0) OVER (PARTITION BY c.user_id ORDER BY hb_seq) AS delta,
+  CAST(processed AS DOUBLE) / hb_seq AS avg_rate, stolen_by, stolen_from
 FROM counted c LEFT JOIN assigned a ON a.user_id = c.user_id WHERE hb = 1
 """
 )
@@ -132,7 +128,7 @@ def heartbeat_progress_with_moves(t: Tables) -> DataFrame:
     progress = telemetry.heartbeat_progress(
         t.assigned(), t.completions(), t.heartbeats(), t.timed_moves(), tie_break="event_id"
     )
-    return progress.select("executor_id", "hb_seq", "processed", "remaining", "stolen_by", "stolen_from")
+    return progress.select(*_STATE, "stolen_by", "stolen_from")
 
 
 @_query(f"{_SNAPSHOT_SQL} SELECT event_id, {_STATE_SQL} FROM latest")
@@ -396,6 +392,16 @@ def deal_initial(t: Tables) -> DataFrame:
     return rebalance.deal_initial(t.pool()).select("item_id", "executor_id")
 
 
+@_query(
+    f"""WITH {_POOL_SQL}
+SELECT item_id, CASE WHEN ord < n // 4 + 1 THEN 'taken' ELSE 'left' END AS status,
+  CASE WHEN ord < n // 4 + 1 THEN n // 4 + 1 - ord END AS batch_pos FROM pool"""
+)
+def draw_and_rest(t: Tables) -> DataFrame:
+    drawn = rebalance.draw_from_pool(t.pool(), keep_rest=True)
+    return drawn.select("item_id", "status", "batch_pos")
+
+
 _TAKE_SQL = f"""
 WITH items AS ({_SMALL}),
 ranked AS (
@@ -647,13 +653,14 @@ WITH executors AS (
 
 @_query(
     f"""{_EXECUTORS_SQL}
-SELECT host, CAST(0 AS BIGINT) AS page_no,
+SELECT host, (n - 1) // 3 AS page_no,
   string_agg(CAST(executor_id AS VARCHAR), ',' ORDER BY executor_id) AS executor_ids
-FROM executors GROUP BY host"""
+FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY executor_id) AS n FROM executors) x
+GROUP BY host, page_no"""
 )
 def executors_on_host(t: Tables) -> DataFrame:
     ids = F.concat_ws(",", F.col("executor_ids").cast("array<string>"))
-    return topology.executors_on_host(t.executors()).withColumn("executor_ids", ids)
+    return topology.executors_on_host(t.executors(), page=3).withColumn("executor_ids", ids)
 
 
 @_query(
@@ -736,23 +743,69 @@ def pool_schedule(t: Tables) -> DataFrame:
     return schedule.select("item_id", "executor_id", "chunk_id", "batch_pos")
 
 
+# Ten executors. Every third has many open orders; the others have urgent ones only and are due.
+_REFILL_SQL = f"""
+WITH RECURSIVE queue AS (
+  SELECT o_orderkey AS item_id, o_custkey % 10 AS queue_id, o_orderkey AS pos FROM orders
+  WHERE (o_orderstatus = 'O' AND o_custkey % 10 % 3 = 0)
+    OR (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')),
+pool AS (
+  SELECT o_orderkey AS item_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord
+  FROM orders WHERE o_orderstatus = 'F'),
+{_chunk_sql("SELECT count(*) AS n FROM pool")},
+state AS (SELECT o_custkey % 10 AS executor_id, count(*) AS batch_size FROM orders GROUP BY 1),
+due AS (
+  SELECT executor_id, row_number() OVER (ORDER BY executor_id) AS turn
+  FROM state LEFT JOIN (SELECT queue_id, count(*) AS n FROM queue GROUP BY queue_id) q ON queue_id = executor_id
+  WHERE coalesce(n, 0) <= sqrt(batch_size) AND (SELECT count(*) FROM pool) > 0),
+tails AS (SELECT queue_id, max(pos) AS tail FROM queue GROUP BY queue_id)"""
+
+
+def _refill(t: Tables) -> tuple[DataFrame, DataFrame]:
+    owner = F.col("o_custkey") % 10
+    orders = t.table("orders").withColumn("owner", owner)
+    is_open = (F.col("o_orderstatus") == "O") & (F.col("owner") % 3 == 0)
+    is_queued = is_open | ((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
+    state = orders.groupBy(F.col("owner").alias("executor_id")).agg(
+        F.count_if(is_queued).alias("remaining"), F.count(F.lit(1)).alias("batch_size")
+    )
+    key = F.col("o_orderkey")
+    queues = orders.where(is_queued).select(key.alias("item_id"), F.col("owner").alias("queue_id"), key.alias("pos"))
+    pool = orders.where("o_orderstatus = 'F'").select(key.alias("item_id"))
+    return flows.refill_round(state, queues, pool)
+
+
+@_query(
+    f"""{_REFILL_SQL}
+SELECT item_id, queue_id, pos FROM queue
+UNION ALL
+SELECT item_id, executor_id, coalesce(tail, 0) + hi - ord FROM pool JOIN chunks ON ord >= lo AND ord < hi
+JOIN due ON turn = chunk_id LEFT JOIN tails ON queue_id = executor_id"""
+)
+def refill_round(t: Tables) -> DataFrame:
+    return _refill(t)[0]
+
+
+@_query(
+    f"""{_REFILL_SQL}
+SELECT item_id FROM pool JOIN chunks ON ord >= lo AND ord < hi WHERE chunk_id > (SELECT count(*) FROM due)"""
+)
+def refill_round_rest(t: Tables) -> DataFrame:
+    return _refill(t)[1]
+
+
 @_query(
     f"""{_SNAPSHOT_SQL}{_PICKED_SQL},
 items AS (
-  SELECT event_id AS item_id, user_id AS queue_id FROM events
-  WHERE event_type <> 'view' AND event_id >= (SELECT count(*) // 2 FROM events)),
+  SELECT event_id AS item_id, user_id AS queue_id FROM events WHERE event_type = 'view'),
 moves AS (SELECT victim AS victim_id, executor_id AS thief_id FROM picked WHERE victim IS NOT NULL){_STEAL_SQL}
 SELECT item_id, queue_id, pos FROM after
 """
 )
 def steal_round(t: Tables) -> DataFrame:
-    """The items still open at the middle of the log, after one round of stealing."""
-    open_items = (
-        t.completions()
-        .where(F.col("event_id") >= t.half())
-        .select("item_id", F.col("executor_id").alias("queue_id"), F.col("event_id").alias("pos"))
-    )
-    return flows.steal_round(_latest(t, "remaining", store=True), open_items).select("item_id", "queue_id", "pos")
+    """The items open at the end of the log, after one round of stealing."""
+    queues = flows.steal_round(_latest(t, "remaining", store=True), t.open_items())
+    return queues.select("item_id", "queue_id", "pos")
 
 
 # Sources ---------------------------------------------------------------------------------------------
@@ -766,41 +819,61 @@ def read_costs(t: Tables) -> DataFrame:
 
 
 @_query(
-    "SELECT count(*) AS items, count(DISTINCT o_orderkey) AS orders, TRUE AS in_range, TRUE AS spread FROM orders"
+    """
+WITH numbered AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS item_id FROM orders)
+SELECT o_orderkey, item_id, item_id + 1 AS pos,
+  CAST('0x' || substr(md5('7:' || CAST(item_id AS VARCHAR)), 1, 12) AS BIGINT) % 200 AS cost_ms
+FROM numbered
+"""
 )
 def gen_work_items(t: Tables) -> DataFrame:
-    """A drawn cost for every order; the values are random, so their range and mean are checked."""
+    """A drawn cost for every order, in key order."""
     keys = ordinals.assign_ids(t.table("orders").select("o_orderkey"), ["o_orderkey"])
     drawn = costs.gen_work_items(t.spark, t.table("orders").count(), bound=200, seed=7)
-    return drawn.join(keys, F.col("item_id") == F.col("id")).agg(
-        F.count(F.lit(1)).alias("items"),
-        F.count_distinct("o_orderkey").alias("orders"),
-        ((F.min("cost_ms") >= 0) & (F.max("cost_ms") < 200)).alias("in_range"),
-        F.avg("cost_ms").between(90, 109).alias("spread"),
-    )
+    return drawn.join(keys, F.col("item_id") == F.col("id")).select("o_orderkey", "item_id", "pos", "cost_ms")
 
 
-@_query("SELECT o_orderkey AS item_id, o_custkey AS queue_id, o_orderkey AS pos FROM orders")
+@_query(
+    """
+SELECT o_orderkey AS item_id, o_custkey AS queue_id, o_orderkey AS pos,
+  CAST(floor(o_totalprice) AS BIGINT) AS cost_ms
+FROM orders
+"""
+)
 def load_work_items(t: Tables) -> DataFrame:
-    loaded = tables.load_work_items(t.spark, _written(t, t.queues(), "work-items"))
-    return loaded.select("item_id", "queue_id", "pos")
+    return tables.load_work_items(t.spark, _written(t, t.queues(), "work-items"))
 
 
-@_query(f"{_FULL_SQL} SELECT {_STATE_SQL} FROM progress")
+@_query(
+    f"""{_FULL_SQL}
+SELECT {_STATE_SQL}, epoch_us(ts) AS hb_us, CAST(0 AS BIGINT) AS stolen_by, CAST(0 AS BIGINT) AS stolen_from
+FROM progress"""
+)
 def load_heartbeats(t: Tables) -> DataFrame:
-    return tables.load_heartbeats(t.spark, _written(t, _progress(t), "heartbeats")).select(*_STATE)
+    loaded = tables.load_heartbeats(t.spark, _written(t, _progress(t), "heartbeats"))
+    return loaded.select(*_STATE, F.unix_micros("hb_ts").alias("hb_us"), "stolen_by", "stolen_from")
 
 
-@_query("SELECT event_id AS item_id, user_id AS executor_id FROM events WHERE event_type <> 'view'")
+@_query(
+    """
+SELECT event_id AS item_id, user_id AS executor_id, epoch_us(ts) AS finish_us FROM events
+WHERE event_type <> 'view'
+"""
+)
 def load_completions(t: Tables) -> DataFrame:
-    path = _written(t, t.completions(), "completions")
-    return tables.load_completions(t.spark, path).select("item_id", "executor_id")
+    loaded = tables.load_completions(t.spark, _written(t, t.completions(), "completions"))
+    return loaded.select("item_id", "executor_id", F.unix_micros("finish_ts").alias("finish_us"))
 
 
 @_query(
     """
 SELECT o_orderkey AS task_id, 'host' || CAST(o_custkey % 25 AS VARCHAR) AS hostname,
+  CAST(floor(o_totalprice) AS BIGINT) % 7 AS executor_deserialize_ms,
   CAST(floor(o_totalprice) AS BIGINT) AS executor_run_ms,
+  CAST(floor(o_totalprice) AS BIGINT) * 3 AS result_size_bytes,
+  CAST(floor(o_totalprice) AS BIGINT) % 11 AS jvm_gc_ms, CAST(0 AS BIGINT) AS result_serialization_ms,
+  CAST(0 AS BIGINT) AS memory_bytes_spilled, CAST(0 AS BIGINT) AS disk_bytes_spilled,
+  CAST(0 AS BIGINT) AS remote_blocks, CAST(floor(o_totalprice) AS BIGINT) AS bytes,
   CASE o_orderkey % 4 WHEN 0 THEN 'Memory' WHEN 1 THEN 'Disk' WHEN 2 THEN 'Hadoop' ELSE 'Network' END
     AS read_method,
   CAST(floor(o_totalprice) AS BIGINT) AS bytes_read, CAST(floor(o_totalprice) AS BIGINT) * 1000 AS write_ns
@@ -812,7 +885,15 @@ def load_task_metrics(t: Tables) -> DataFrame:
     return loaded.select(
         "task_id",
         "hostname",
+        "executor_deserialize_ms",
         "executor_run_ms",
+        "result_size_bytes",
+        "jvm_gc_ms",
+        "result_serialization_ms",
+        "memory_bytes_spilled",
+        "disk_bytes_spilled",
+        "shuffle_read.remote_blocks",
+        "shuffle_write.bytes",
         "input.read_method",
         "input.bytes_read",
         "shuffle_write.write_ns",
@@ -829,9 +910,10 @@ def load_executors(t: Tables) -> DataFrame:
     return tables.load_executors(t.spark, _written(t, t.executors(), "executors"))
 
 
-@_query("SELECT o_orderkey AS task_id, o_custkey AS task_set_id FROM orders")
+@_query("SELECT o_orderkey AS task_id, o_custkey AS task_set_id, o_orderkey % 100 AS executor_id FROM orders")
 def load_tasks(t: Tables) -> DataFrame:
-    return tables.load_tasks(t.spark, _written(t, t.tasks(), "tasks")).select("task_id", "task_set_id")
+    owned = t.tasks().withColumn("executor_id", F.col("task_id") % 100)
+    return tables.load_tasks(t.spark, _written(t, owned, "tasks"))
 
 
 @_query(
@@ -861,9 +943,10 @@ def stream_latest(t: Tables) -> DataFrame:
 SELECT executor_id, hb_seq, processed, delta, avg_rate, FALSE AS gap FROM progress"""
 )
 def stream_progress(t: Tables) -> DataFrame:
-    stream = tables.stream_heartbeats(
-        t.spark, _written(t, _progress(t), "heartbeats"), maxFilesPerTrigger=4
-    )
+    """Over a log in which every third heartbeat comes twice."""
+    twice = F.explode(F.sequence(F.lit(1), F.when(F.col("hb_seq") % 3 == 0, 2).otherwise(1)))
+    log = _progress(t).select("*", twice.alias("_copy")).drop("_copy")
+    stream = tables.stream_heartbeats(t.spark, _written(t, log, "heartbeats"), maxFilesPerTrigger=4)
     path = scratch_dir(t.spark, "progress")
     return live.run_available(live.stream_progress(stream), path).drop("hb_ts")
 

@@ -1,4 +1,4 @@
-"""The three flows from logs to decisions."""
+"""The flows from logs to decisions."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.operators.ordinals import assign_ids
 from evenkeel.operators.ranking import pick_victim
-from evenkeel.operators.rebalance import deal_initial, guided_chunks, steal_move
-from evenkeel.operators.telemetry import heartbeat_progress, latest_heartbeat
+from evenkeel.operators.rebalance import append_items, deal_and_chunk, guided_chunks, steal_move
+from evenkeel.operators.telemetry import heartbeat_progress, latest_heartbeat, refill_due
 from evenkeel.session import stored
 
 
@@ -33,12 +34,31 @@ def current_state(
 
 def pool_schedule(pool: DataFrame, executors: int = 3, k: int = 3) -> DataFrame:
     """A shared pool to batches: the first items dealt (`chunk_id` 0), the rest in guided chunks."""
-    dealt = deal_initial(pool, executors, k).where("executor_id IS NOT NULL")
-    rest = guided_chunks(pool, skip=executors * k)
-    none = F.lit(None).cast("long")
-    return dealt.withColumns({"chunk_id": F.lit(0).cast("long"), "batch_pos": none}).unionByName(
-        rest.withColumn("executor_id", none)
+    return deal_and_chunk(pool, executors, k)
+
+
+def refill_round(state: DataFrame, work_items: DataFrame, pool: DataFrame, rule: str = "sqrt") -> tuple:
+    """Every executor whose queue is due draws once from the shared pool, in order of its id.
+
+    `state(executor_id, remaining, batch_size)`; `work_items` and `pool` as everywhere. The first executor
+    due gets the first chunk of the pool, the next one the second, and so on while there are chunks; a
+    chunk goes to the tail of its queue, newest item first. Returns the queues and the pool after it.
+
+    The round is one join: chunks and executors are both numbered.
+    """
+    chunks = guided_chunks(pool)
+    size = F.lit(pool.count())
+    due = refill_due(state.withColumn("pool_size", size), rule, "_due").where("_due").select("executor_id")
+    takers = assign_ids(due.distinct(), ["executor_id"], start=1, name="_turn")
+    matched = stored(chunks.join(takers, F.col("chunk_id") == F.col("_turn"), "left"), "refill")
+    given = matched.where("executor_id IS NOT NULL")
+    new = given.select(
+        *[
+            {"queue_id": F.col("executor_id"), "pos": F.col("batch_pos")}.get(c, F.col(c)).alias(c)
+            for c in work_items.columns
+        ]
     )
+    return append_items(work_items, new), matched.where("executor_id IS NULL").select(*pool.columns)
 
 
 def steal_round(latest: DataFrame, work_items: DataFrame, k: int = 2, policy: str = "quarter") -> DataFrame:

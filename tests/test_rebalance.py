@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.sizing import split_size
 from evenkeel.operators import rebalance
+from evenkeel.plans import flows
 
 ITEMS = "item_id long, queue_id long, pos long, cost_ms long"
 
@@ -17,7 +18,7 @@ def queue(spark, *queues):
 
 def contents(df):
     queues = {}
-    for r in sorted(df.collect(), key=lambda r: (r.queue_id, r.pos)):
+    for r in sorted(df.collect(), key=lambda r: (r.queue_id is None, r.queue_id, r.pos)):
         queues.setdefault(r.queue_id, []).append((r.pos, r.item_id))
     for items in queues.values():
         assert [pos for pos, _ in items] == list(range(1, len(items) + 1))
@@ -114,15 +115,62 @@ def test_draw_from_pool(spark, rows_per_block):
     assert rebalance.draw_from_pool(pool.where("item_id < 0")).count() == 0
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_deal_initial(spark, small, monkeypatch):
-    if not small:
-        monkeypatch.setattr(rebalance, "_SMALL_DEAL", 0)
+def test_draw_keeps_the_rest(spark):
+    pool = spark.range(100).select(F.col("id").alias("item_id"))
+    for policy, tail, taken in (("quarter", False, range(26)), ("one", True, [99]), ("quarter", True, range(74, 100))):
+        rows = rebalance.draw_from_pool(pool, policy, tail, keep_rest=True).collect()
+        assert sorted(r.item_id for r in rows) == list(range(100))
+        assert sorted(r.item_id for r in rows if r.status == "taken") == list(taken)
+        assert all((r.batch_pos is None) == (r.status == "left") for r in rows)
+
+
+@pytest.mark.parametrize("rows_per_block", [None, 4])
+def test_deal_initial(spark, rows_per_block):
     pool = spark.range(20).select((F.col("id") * 2).alias("item_id"))
-    dealt = {r.item_id: r.executor_id for r in rebalance.deal_initial(pool, 3, 3).collect()}
+    rows = rebalance.deal_initial(pool, 3, 3, rows_per_block).collect()
+    dealt = {r.item_id: r.executor_id for r in rows}
     assert [dealt[2 * i] for i in range(20)] == [1, 1, 1, 2, 2, 2, 3, 3, 3] + [None] * 11
 
 
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_deal_keeps_equal_ids_apart(spark, k):
+    pool = spark.createDataFrame([(1,), (1,), (2,), (3,)], "item_id long")
+    for dealt in (rebalance.deal_initial(pool, 1, k), rebalance.deal_and_chunk(pool, 1, k)):
+        rows = dealt.collect()
+        assert sorted(r.item_id for r in rows) == [1, 1, 2, 3]
+        assert [r.executor_id for r in sorted(rows, key=lambda r: r.item_id)].count(1) == min(k, 4)
+
+
+def test_pool_rows_are_in_no_queue(spark):
+    items = queue(spark, (1, [9, 8, 7]), (None, [3, 4, 5]))
+    assert {r.queue_id for r in rebalance.queue_sizes(items).collect()} == {1}
+    assert {r.queue_id for r in rebalance.queue_heads(items).collect()} == {1}
+    assert {r.queue_id for r in rebalance.split_head(items).collect()} == {1}
+    kept = rebalance.take_fraction(items, keep_rest=True).collect()
+    assert sorted((r.item_id, r.status) for r in kept) == [(7, "left"), (8, "left"), (9, "taken")]
+    moves = spark.createDataFrame([(1, 2)], "victim_id long, thief_id long")
+    after = contents(rebalance.steal_move(items, moves))
+    assert after == {1: [8, 7], 2: [9], None: [3, 4, 5]}
+
+
+def test_heads_of_equal_places(spark):
+    items = spark.createDataFrame([(5, 1, 1, 50), (4, 1, 1, 40), (6, 1, 2, 60)], ITEMS)
+    head = rebalance.queue_heads(items).first()
+    split = rebalance.split_head(items).where("status = 'moved'").first()
+    assert head.item_id == split.item_id == 4 and head.cost_ms == 40
+
+
+def test_refill_round(spark):
+    items = queue(spark, (1, [100, 101]), (2, [102]), (3, [103] + list(range(110, 120))))
+    pool = spark.range(10).select(F.col("id").alias("item_id"), F.lit(1).cast("long").alias("cost_ms"))
+    state = spark.createDataFrame([(1, 2, 9), (2, 1, 4), (3, 11, 12), (4, 0, 5)], "executor_id long, remaining long, batch_size long")
+    queues, rest = flows.refill_round(state, items, pool)
+    after = contents(queues)
+    assert after[1] == [100, 101, 2, 1, 0] and after[2] == [102, 4, 3] and after[4] == [6, 5]
+    assert after[3] == [103, *range(110, 120)]
+    assert sorted(r.item_id for r in rest.collect()) == [7, 8, 9]
+
+
 def test_take_fraction(spark):
     items = queue(spark, (1, [1]), (2, [2, 3]), (5, [4, 5, 6, 7, 8]))
     for mode, expected in (("documented", [0, 1, 2]), ("as_coded", [0, 2, 5])):

@@ -135,3 +135,18 @@ def test_ties_by_id(spark):
     )
     assert [r.executor_id for r in ranking.top_remaining(latest).collect()] == [1, 2]
     assert [r.executor_id for r in ranking.top_rate(latest).collect()] == [3]
+
+
+def test_raw_logs_are_not_sorted_for_their_extremes(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame(
+        [(1, t0, 1, 5), (1, t0, 2, 6), (1, t0 - dt.timedelta(days=1), 9, 7), (2, dt.datetime(1960, 1, 1), 3, 8), (2, None, 4, 9)],
+        "executor_id long, hb_ts timestamp, hb_seq long, remaining long",
+    )
+    for pick, expected in ((telemetry.latest_heartbeat, {1: 6, 2: 8}), (telemetry.first_heartbeat, {1: 7, 2: 8})):
+        chosen = pick(log)
+        assert {r.executor_id: r.remaining for r in chosen.collect()} == expected
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
