@@ -5,6 +5,9 @@ aggregation, so that a line on every page costs a sketch per task and not a row
 estimate is near the threshold get an exact distinct count, so the sketch decides only where its error
 cannot matter.
 
+Occurrences are then looked up in the table of boilerplate lines. A line may stand in a third of all
+documents, so both sides of that join are spread over `SALTS` parts of each line.
+
 A line is told by a 64-bit hash of its exact text; lines without a word are never boilerplate. A document
 whose boilerplate would be more than `max_share` of its text (hundredths of the characters in lines with
 words) is a copy of others rather than a page with boilerplate; it stays whole, for the near-duplicate
@@ -24,6 +27,8 @@ MAX_SHARE = 50
 #: Estimates within so many hundredths of the threshold are counted exactly; about eight standard errors.
 NEAR = 25
 _LG_K = 10
+#: Parts that the occurrences of a line are dealt into where they are joined.
+SALTS = 32
 _HAS_WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -51,7 +56,8 @@ def widespread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     low, high = min_sites * (100 - NEAR) / 100, min_sites * (100 + NEAR) / 100
     near = sketched.where(F.col("sites").between(low, high)).select("line")
     exact = (
-        lines.join(near, "line", "left_semi")
+        # A row for each line and site and task at most is shuffled.
+        lines.select("line", "site").distinct().join(near, "line", "left_semi")
         .groupBy("line")
         .agg(F.count_distinct("site").alias("sites"))
         .where(F.col("sites") >= min_sites)
@@ -69,8 +75,11 @@ def remove_boilerplate(
     """`docs` with cleaned texts, and `n_lines` (with a word) and `n_removed`, under free names."""
     n_lines, n_removed, key, hits, kept = fresh(docs, "n_lines", "n_removed", "key", "hits", "kept")
     lines = site_lines(docs, text, site)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    wide = widespread(lines, min_sites).select("line", salts.alias("salt"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
     found = (
-        lines.join(widespread(lines, min_sites), "line", "left_semi")
+        salted.join(wide, ["line", "salt"], "left_semi")
         .groupBy(F.col("key").alias(key))
         .agg(F.collect_set("pos").alias(hits))
     )
