@@ -116,29 +116,48 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums of the values times powers, from which each range's polynomial is a difference."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _power_table(_BASE, len(values)), dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def _from_sums(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    found = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(sums))[starts]
+    return mix(found ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of values[start:end] for each range; ranges may overlap."""
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _power_table(_BASE, len(values)), dtype=np.uint64, out=sums[1:])
-    found = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(values) + 1)[starts]
-    return mix(found ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return _from_sums(_sums(values), starts, ends)
 
 
-def word_hashes(w: Words) -> np.ndarray:
-    """A hash of each word. The power tables stay small, however long a text is."""
-    out = np.empty(len(w.starts), dtype=np.uint64)
+def beginning_hashes(w: Words, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length, a hash of each word's first so many bytes; 0 is the whole word.
+
+    The power tables stay small, however long a text is.
+    """
+    out = [np.empty(len(w.starts), dtype=np.uint64) for _ in lengths]
     i = 0
-    while i < len(out):
+    while i < len(w.starts):
         base = w.starts[i]
         j = max(i + 1, int(np.searchsorted(w.ends, base + _BLOCK_BYTES, side="right")))
-        piece = w.data[base : w.ends[j - 1]].astype(np.uint64) + np.uint64(1)
-        out[i:j] = range_hashes(piece, w.starts[i:j] - base, w.ends[i:j] - base)
+        starts, ends = w.starts[i:j] - base, w.ends[i:j] - base
+        sums = _sums(w.data[base : w.ends[j - 1]].astype(np.uint64) + np.uint64(1))
+        for hashes, length in zip(out, lengths):
+            hashes[i:j] = _from_sums(sums, starts, np.minimum(starts + length, ends) if length else ends)
         i = j
     return out
 
 
+def word_hashes(w: Words) -> np.ndarray:
+    """A hash of each word."""
+    return beginning_hashes(w, (0,))[0]
+
+
 def ngram_ranges(first: np.ndarray, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every run of `n` words inside one text.
 

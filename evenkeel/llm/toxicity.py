@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm._frames import map_arrow, stored
-from evenkeel.llm._text import LETTER_OR_DIGIT, Words, chunks, mix, to_batch, word_hashes, words
+from evenkeel.llm._text import LETTER_OR_DIGIT, Words, beginning_hashes, chunks, mix, to_batch, words
 
 #: Labelled rows that a model is fitted on, about.
 MAX_LABELLED = 200_000
@@ -50,11 +50,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def features(w: Words) -> list[np.ndarray]:
     """Hashes of each word's beginnings and of the word, shortest first."""
-    out = []
-    for length in _BEGINNINGS:
-        ends = np.minimum(w.starts + length, w.ends) if length else w.ends
-        out.append(mix(word_hashes(Words(w.data, w.starts, ends, w.first)) ^ np.uint64(length + 1)))
-    return out
+    return [mix(h ^ np.uint64(n + 1)) for n, h in zip(_BEGINNINGS, beginning_hashes(w, _BEGINNINGS))]
 
 
 def _find(known: np.ndarray, hashes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
