@@ -9,9 +9,11 @@ Occurrences are then looked up in the table of boilerplate lines. A line may sta
 documents, so both sides of that join are spread over `SALTS` parts of each line.
 
 A line is told by a 64-bit hash of its exact text; lines without a word are never boilerplate. A document
-whose boilerplate would be more than `max_share` of its text (hundredths of the characters in lines with
-words) is a copy of others rather than a page with boilerplate; it stays whole, for the near-duplicate
-step. A null site counts as none, a null text has no lines. Repeated rows are each cleaned alike.
+with no line of its own (every line with a word is boilerplate) is a copy of others rather than a page; it
+stays whole, for the near-duplicate step. Every other document loses its boilerplate, however much of it
+that is. With `max_share`, documents of which it would be more than so many hundredths (of the characters in
+lines with words) stay whole instead; the query's SQL fixes that rule, so `digest` asks for it. A null site
+counts as none, a null text has no lines. Repeated rows are each cleaned alike.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from evenkeel.llm._frames import fresh, row_key
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
+#: The rule of `SQL` only; see above.
 MAX_SHARE = 50
 #: Estimates within so many hundredths of the threshold are counted exactly; about eight standard errors.
 NEAR = 25
@@ -68,7 +71,7 @@ def widespread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def remove_boilerplate(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    max_share: int = MAX_SHARE,
+    max_share: int | None = None,
     text: str = "text",
     site: str = "source",
 ) -> DataFrame:
@@ -92,7 +95,10 @@ def remove_boilerplate(
         here = F.coalesce(F.col(hits), F.array().cast("array<int>"))
         places = F.sequence(F.lit(0), F.size(every) - 1)
         worded = F.filter(places, lambda i: F.get(every, i).rlike(_HAS_WORD))
-        takes = characters(here, every) * 100 <= characters(worded, every) * max_share
+        if max_share is None:
+            takes = F.size(here) < F.size(worded)
+        else:
+            takes = characters(here, every) * 100 <= characters(worded, every) * max_share
         rest = F.transform(F.array_except(places, here), lambda i: F.get(every, i))
         return F.struct(
             F.size(worded).cast("long").alias("n_lines"),
@@ -106,7 +112,7 @@ def remove_boilerplate(
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    rows = remove_boilerplate(docs.select("doc_id", "text", "source"))
+    rows = remove_boilerplate(docs.select("doc_id", "text", "source"), max_share=MAX_SHARE)
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

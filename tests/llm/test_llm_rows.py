@@ -74,6 +74,19 @@ def test_line_dedup_keeps_columns_and_copies(docs, rows_in):
     assert cleaned.count() == len(rows_in)
 
 
+def test_line_dedup_cleans_short_pages_and_keeps_copies(spark):
+    """Pages that are mostly boilerplate lose it, in the operator and the stage; documents without an own line stay."""
+    menu = [f"home | about | contact | section {k} of the site" for k in range(6)]
+    rows = [(i, "\n".join([*menu[: i % 7], f"own {i}", "All rights reserved."]), f"site{i % 12}") for i in range(84)]
+    rows += [(100 + i, "a copied text\nof two lines", f"site{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned = {r.doc_id: r for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert all(cleaned[i].text == f"own {i}" and cleaned[i].n_removed == i % 7 + 1 for i in range(84))
+    assert all(cleaned[100 + i].text == "a copied text\nof two lines" and cleaned[100 + i].n_removed == 0 for i in range(12))
+    stage = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, SMALL).collect()}
+    assert stage == {i: r.text for i, r in cleaned.items()}
+
+
 def test_quality_keeps_columns(docs, rows_in):
     assessed = quality.assess(docs)
     assert assessed.columns == [*docs.columns, "quality_"]
