@@ -36,6 +36,9 @@ MAX_LABELLED = 200_000
 MIN_COUNT = 5
 MIN_Z = 2.0
 MIN_ODDS = 3.0
+#: The prior caps log-odds, the more so the more documents are toxic. So this share of what a feature would
+#: have without harmless documents is enough, where that is less than `MIN_ODDS`.
+REACH = 0.8
 #: Score of a token without significant log-odds.
 BACKGROUND = -0.1
 #: Chance passages in a text of this length, at most, for a passage to count as toxic.
@@ -143,7 +146,9 @@ def log_odds(toxic: DataFrame, harmless: DataFrame, docs: DataFrame) -> Model:
     prior = strength * np.maximum(c, 1) / total
     odds = np.log((a + prior) / (n1 + strength - a - prior)) - np.log((b + prior) / (n0 + strength - b - prior))
     z = odds / np.sqrt(1 / (a + prior) + 1 / (b + prior))
-    return Model(known, np.where((z >= MIN_Z) & (odds >= MIN_ODDS), odds, BACKGROUND))
+    reachable = np.log((a + prior) / (n1 + strength - a - prior)) - np.log(prior / (n0 + strength - prior))
+    floor = np.minimum(MIN_ODDS, REACH * reachable)
+    return Model(known, np.where((z >= MIN_Z) & (odds >= floor), odds, BACKGROUND))
 
 
 # Scoring -------------------------------------------------------------------------------------------

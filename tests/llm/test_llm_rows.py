@@ -224,6 +224,29 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(toxic) >= 0.9 * len(toxic) and sum(harmless) <= 0.02 * len(harmless)
 
 
+@pytest.mark.parametrize("share, copied", [(0.4, False), (0.5, False), (0.5, True)])
+def test_toxicity_with_many_toxic_labels(spark, share, copied):
+    """Balanced labels, and a third of all rows as copies of one toxic text."""
+    rng = random.Random(11)
+    plain, telling = [f"plain{rng.randrange(10**6)}" for _ in range(2000)], [f"{c}{d}oxic" for c in "abcdefgh" for d in "vwxyz"]
+
+    def text(toxic: bool) -> str:
+        w = rng.choices(plain, k=80)
+        return " ".join(w[:40] + (rng.choices(telling, k=6) if toxic else []) + w[40:])
+
+    one, rows = text(True), []
+    for i in range(900):
+        copy = copied and i % 3 == 0
+        toxic = copy or rng.random() < ((share - 1 / 3) * 1.5 if copied else share)
+        rows.append((i, one if copy else text(toxic), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scored = toxicity.digest(toxicity.score(table, toxicity.fit(table, table))).where("held_out").collect()
+    right = {i: (kind, t == one) for i, t, kind in rows}
+    for kind, copy in set(right.values()):
+        flags = [r.predicted for r in scored if right[r.doc_id] == (kind, copy)]
+        assert len(flags) > 20 and (sum(flags) >= 0.9 * len(flags) if kind else sum(flags) <= 0.02 * len(flags))
+
+
 def test_toxicity_without_labels_and_on_messy_rows(spark, docs, no_docs, rows_in):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, none)
