@@ -1,16 +1,19 @@
 """License scan by sentence rules.
 
 Texts are cut into sentences; a normalised sentence (lower case, only letters and digits, single spaces)
-that is known has an identifier. The identifiers of a text, in order, are matched against rules: a rule is
+that is known has an identifier. A sentence may stand on one line or be wrapped over several, with comment
+leaders before each and blank lines between: it is told by its words, from the beginning of a line or
+sentence to the end of one. Of known sentences that share words the earliest counts, then the longest. The identifiers of a text, in order, are matched against rules: a rule is
 an ordered run of identifiers that must follow each other, with nothing known in between. Longer rules
 come first and a rule inside a matched longer one does not count by itself.
 
-Only known sentences leave the scan, so little is shuffled. The known sentences are a fixed small table.
+Only known sentences leave the scan, so little is shuffled. The known sentences are one fixed pattern.
 A null or empty text has no sentences. Repeated rows are matched each.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -70,8 +73,8 @@ RULES = (
     Rule("CC-BY-NC-4.0", (10,)),
 )
 
-# A sentence ends at a mark before white space, or at a line's end.
-_ENDS = "[.!?]+[\\x20\\x09-\\x0D]+|\\n"
+# A sentence ends at a mark before white space; it may begin and end at a line's end.
+_MARKS = "[.!?]+[\\x20\\x09-\\x0D]+"
 _OTHER = "[^a-z0-9]+"
 
 
@@ -79,14 +82,29 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), _OTHER, " "))
 
 
+def _content(sentence: str) -> str:
+    return re.sub(_OTHER, " ", sentence.lower()).strip()
+
+
+def _pattern() -> str:
+    """Any known sentence between ends, its words on one line or several; longer ones first."""
+    known = sorted(map(_content, SENTENCES.values()), key=len, reverse=True)
+    return "(?<=[S\\n])(?:" + "|".join(x.replace(" ", "[\\x20\\n]") for x in known) + ")(?=[S\\n])"
+
+
+def _prepared(text: Column) -> Column:
+    """Words with one space, line end or mark between them; a mark is an S, which lower case leaves free."""
+    out = F.regexp_replace(F.lower(text), _MARKS, "S")
+    out = F.regexp_replace(F.concat(F.lit("\n"), out, F.lit("\n")), "[^a-z0-9S\\n]+", " ")
+    return F.regexp_replace(out, " ?([S\\n])[\\x20\\n]*", "$1")
+
+
 def known_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, pos, sentence): identifiers of the known sentences of each row, a hash of the row's values."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame(list(SENTENCES.items()), "sentence int, content string")
-    table = F.broadcast(table.select("sentence", normalised(F.col("content")).alias("known")))  # a fixed table
-    rows = docs.select(row_key(*docs.columns).alias("row"), F.split(F.col(text), _ENDS).alias("sentences"))
-    each = rows.select("row", F.posexplode("sentences").alias("pos", "content"))
-    return each.join(table, normalised(F.col("content")) == F.col("known")).select("row", "pos", "sentence")
+    ids = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (_content(v), k)])
+    found = F.regexp_extract_all(_prepared(F.col(text)), F.lit(_pattern()), F.lit(0))
+    each = docs.select(row_key(*docs.columns).alias("row"), F.posexplode(found).alias("pos", "content"))
+    return each.select("row", "pos", F.element_at(ids, normalised(F.col("content"))).alias("sentence"))
 
 
 def match_rules(sequence: Column, rules: tuple[Rule, ...] = RULES) -> Column:

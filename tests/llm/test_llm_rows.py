@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -189,6 +190,31 @@ def test_licence_rules(spark):
     ]
 
 
+@pytest.mark.parametrize("leader", ["", " * ", "# ", "// ", "    "])
+def test_wrapped_licences(spark, leader):
+    """Texts as they stand in files: wrapped, with comment leaders, list items and blank lines."""
+    bsd = ["Copyright (c) 2020, A. Holder. All rights reserved.", licenses.SENTENCES[11]]
+    bsd += [f"{k}. {licenses.SENTENCES[n]}." for k, n in enumerate((12, 13, 14), 1)]
+    apache = [licenses.SENTENCES[5] + ". You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0",
+              "Unless required by applicable law or agreed to in writing, software is distributed on an AS IS basis."]
+    cases = {
+        "MIT": ["The MIT License", licenses.SENTENCES[2], licenses.SENTENCES[3] + ".", 'THE SOFTWARE IS PROVIDED "AS IS".'],
+        "BSD-3-Clause": bsd,
+        "BSD-2-Clause": bsd[:-1],
+        "GPL-3.0-or-later": [f"{licenses.SENTENCES[8]}.", f"{licenses.SENTENCES[9]}.  See the GNU General Public License for more."],
+        "Apache-2.0": apache,
+        "": ["Licensed under CC BY-NC. 4.0", "It was not released under the MIT License.", "Released under. The MIT License"],
+    }
+    rows = []
+    for width in (50, 72, 80):
+        for name, paragraphs in cases.items():
+            lines = [x for p in paragraphs for x in [*textwrap.wrap(p, width, break_on_hyphens=False), ""]]
+            rows.append((len(rows), "first line\n" + "".join(f"{leader}{x}\n" for x in lines) + "int main() {}", name))
+    rows.append((len(rows), f"{leader}Licensed under the Apache License, Version 2.0\n{leader}and more", "Apache-2.0"))
+    got = licenses.digest(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {r[0]: r[2] for r in rows}
+
+
 def test_maximal_segments_against_all_segments():
     rng = random.Random(7)
 
