@@ -169,22 +169,22 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
     Each positive score starts as a segment of its own. A segment looks back for the nearest one that
     begins at a lower running total; if that one ends below the present total, all between are merged and
-    the merged segment looks back again. Runs of negative scores only move the total.
+    the merged segment looks back again. Runs of negative scores only move the total. Each segment keeps
+    where its nearest one is, so that looking back skips what earlier segments have passed over.
     """
     totals = np.concatenate([[0.0], np.cumsum(scores)])
-    stack: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, nearest lower
     for i in np.flatnonzero(scores > 0).tolist():
         start, end, low, high = i, i + 1, float(totals[i]), float(totals[i + 1])
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= low:
-                j -= 1
-            if j < 0 or stack[j][3] >= high:
-                break
-            start, low = stack[j][0], stack[j][2]
+        j = len(stack) - 1
+        while j >= 0 and stack[j][2] >= low:
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < high:
+            start, low, nearest = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-        stack.append((start, end, low, high))
-    return [(s, e, high - low) for s, e, low, high in stack]
+            j = nearest
+        stack.append((start, end, low, high, j))
+    return [(s, e, high - low) for s, e, low, high, _ in stack]
 
 
 _SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -250,6 +251,14 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(toxic) >= 0.9 * len(toxic) and sum(harmless) <= 0.02 * len(harmless)
 
 
+def test_maximal_segments_of_scattered_words_in_linear_time():
+    scores = np.full(40 * 20_000, -0.1)
+    scores[::40] = 3.0
+    started = time.process_time()
+    assert len(toxicity.maximal_segments(scores)) == 20_000
+    assert time.process_time() - started < 5
+
+
 @pytest.mark.parametrize("share, copied", [(0.4, False), (0.5, False), (0.5, True)])
 def test_toxicity_with_many_toxic_labels(spark, share, copied):
     """Balanced labels, and a third of all rows as copies of one toxic text."""
