@@ -13,9 +13,12 @@ from evenkeel.llm import (
     line_dedup,
     near_duplicates,
     packing,
+    periodic_runs,
     quality,
     secrets,
     sharding,
+    simhash,
+    spelling_variants,
     substring_dedup,
     toxicity,
 )
@@ -93,6 +96,22 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op8_license_scan"] = licenses.SQL
 
 
+@query
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(read(spark, folder, "documents")))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.word_counts(read(spark, folder, "documents"), slips=True))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.periodic_texts(read(spark, folder, "documents"))
+    return periodic_runs.digest(periodic_runs.find_runs(docs))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
