@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evenkeel.operators import ordinals, ranking, rebalance, shuffle_metrics, telemetry, topology
 from evenkeel.plans import flows
 from evenkeel.plans.bindings import Tables
-from evenkeel.session import scratch_dir
+from evenkeel.session import scratch_dir, stored
 from evenkeel.sources import costs, tables
 from evenkeel.streaming import heartbeats as live
 
@@ -131,6 +131,97 @@ def heartbeat_progress_with_moves(t: Tables) -> DataFrame:
     return progress.select(*_STATE, "stolen_by", "stolen_from")
 
 
+@_query(f"{_FULL_SQL} SELECT event_id, {_STATE_SQL} FROM progress")
+def heartbeat_progress_carried(t: Tables) -> DataFrame:
+    """The log in two parts: the second one starts from the saved totals of the first."""
+    middle = t.table("events").agg((F.max("event_id") / 2).alias("m")).scalar()
+    done, beats = t.completions(), t.heartbeats()
+    old = (t.assigned(), done.where(F.col("event_id") <= middle), beats.where(F.col("event_id") <= middle))
+    new = (t.assigned().limit(0), done.where(F.col("event_id") > middle), beats.where(F.col("event_id") > middle))
+    first = telemetry.heartbeat_progress(*old, tie_break="event_id")
+    totals = stored(telemetry.progress_totals(*old, tie_break="event_id"), "totals")
+    second = telemetry.heartbeat_progress(*new, tie_break="event_id", carried=totals)
+    return first.unionByName(second).select("event_id", *_STATE)
+
+
+@_query(
+    f"""{_FULL_SQL},
+beats AS (SELECT executor_id, max(hb_seq) AS last FROM progress GROUP BY executor_id)
+SELECT user_id AS executor_id, last AS hb_seq, processed, coalesce(reported, 0) AS processed_reported, assigned
+FROM (SELECT user_id, count(*) AS assigned, count(*) FILTER (event_type <> 'view') AS processed
+  FROM events GROUP BY user_id) a
+LEFT JOIN beats ON beats.executor_id = user_id
+LEFT JOIN (SELECT executor_id, max(processed) AS reported FROM progress GROUP BY executor_id) r
+  ON r.executor_id = user_id"""
+)
+def progress_totals(t: Tables) -> DataFrame:
+    totals = telemetry.progress_totals(t.assigned(), t.completions(), t.heartbeats(), tie_break="event_id")
+    return totals.drop("stolen_by", "stolen_from")
+
+
+# Each completion with the number of the next heartbeat; null after the last one.
+_REPORTED_SQL = """
+WITH log AS (
+  SELECT user_id AS executor_id, event_id AS item_id, event_type <> 'view' AS is_done,
+    sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id
+      ROWS UNBOUNDED PRECEDING) + 1 AS next,
+    sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS n
+  FROM events),
+reported AS (
+  SELECT executor_id, item_id, CAST(CASE WHEN next <= n THEN next END AS BIGINT) AS hb_seq,
+    row_number() OVER (PARTITION BY executor_id, next ORDER BY item_id) AS place
+  FROM log WHERE is_done)"""
+
+
+def _reported(t: Tables, rows_per_block: int | None = None) -> DataFrame:
+    return telemetry.reported_items(t.completions(), t.heartbeats(), "event_id", rows_per_block)
+
+
+@_query(f"{_REPORTED_SQL} SELECT * FROM reported")
+def reported_items(t: Tables) -> DataFrame:
+    return _reported(t).drop("finish_ts")
+
+
+@_query(f"{_REPORTED_SQL} SELECT * FROM reported")
+def reported_items_in_blocks(t: Tables) -> DataFrame:
+    return _reported(t, _BLOCK_ROWS).drop("finish_ts")
+
+
+@_query(
+    f"""{_REPORTED_SQL}
+SELECT executor_id, hb_seq, (place - 1) // 3 AS page_no,
+  string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY place) AS processed_ids
+FROM reported GROUP BY ALL"""
+)
+def processed_ids(t: Tables) -> DataFrame:
+    ids = F.concat_ws(",", F.col("processed_ids").cast("array<string>"))
+    return telemetry.processed_ids(_reported(t), page=3).withColumn("processed_ids", ids)
+
+
+@_query(
+    f"""{_REPORTED_SQL},
+asked AS (
+  SELECT DISTINCT executor_id, unnest([1, (n + 1) // 2, n]) AS hb_seq FROM log WHERE n > 0),
+still AS (
+  SELECT a.executor_id, CAST(a.hb_seq AS BIGINT) AS hb_seq, l.item_id,
+    row_number() OVER (PARTITION BY a.executor_id, a.hb_seq ORDER BY l.item_id) AS place
+  FROM asked a JOIN log l ON l.executor_id = a.executor_id
+  LEFT JOIN reported r ON r.item_id = l.item_id
+  WHERE r.item_id IS NULL OR r.hb_seq IS NULL OR r.hb_seq > a.hb_seq)
+SELECT executor_id, hb_seq, (place - 1) // 20 AS page_no,
+  string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY place) AS remaining_ids
+FROM still GROUP BY ALL"""
+)
+def remaining_ids(t: Tables) -> DataFrame:
+    """Open items at the first, the middle and the last heartbeat of each executor."""
+    items = t.table("events").select(F.col("event_id").alias("item_id"), F.col("user_id").alias("executor_id"))
+    beats = t.heartbeats().groupBy("executor_id").agg(F.count("*").alias("n"))
+    wanted = F.array(F.lit(1).cast("long"), F.expr("(n + 1) div 2"), F.col("n"))
+    at = beats.select("executor_id", F.explode(F.array_distinct(wanted)).alias("hb_seq"))
+    ids = F.concat_ws(",", F.col("remaining_ids").cast("array<string>"))
+    return telemetry.remaining_ids(items, _reported(t), at, page=20).withColumn("remaining_ids", ids)
+
+
 @_query(f"{_SNAPSHOT_SQL} SELECT event_id, {_STATE_SQL} FROM latest")
 def latest_heartbeat(t: Tables) -> DataFrame:
     return _latest(t).select("event_id", *_STATE)
@@ -938,6 +1029,63 @@ def stream_latest(t: Tables) -> DataFrame:
     return live.latest_table(stream, scratch_dir(t.spark, "latest")).select(*_STATE)
 
 
+@_query(
+    f"""{_SNAPSHOT_SQL}
+SELECT executor_id, remaining FROM latest WHERE remaining > 0
+ORDER BY remaining DESC, executor_id LIMIT 5"""
+)
+def stream_top(t: Tables) -> DataFrame:
+    """The executors with most work left, from candidates kept up to date over several batches."""
+    log = _progress(t).select("executor_id", "hb_ts", "hb_seq", "remaining")
+    path = _written(t, log.repartition(3, "hb_seq"), "heartbeats")
+    stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return live.top_table(stream, scratch_dir(t.spark, "top"), k=5, buckets=8)[0]
+
+
+@_query(
+    """
+SELECT DISTINCT user_id AS executor_id FROM events
+WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)
+"""
+)
+def stream_unknown_senders(t: Tables) -> DataFrame:
+    beats = t.heartbeats().union(t.completions().select("executor_id", "finish_ts", "event_id"))
+    path = _written(t, beats.select("executor_id", "event_id").repartition(3, "event_id"), "senders")
+    stream = t.spark.readStream.schema("executor_id long, event_id long").option("maxFilesPerTrigger", 2).parquet(path)
+    # Opened once for each batch.
+    registered = lambda: t.spark.read.parquet(f"{t.folder}/supplier.parquet").select(F.col("s_suppkey").alias("executor_id"))
+    return live.unknown_senders(stream, registered, scratch_dir(t.spark, "unknown")).select("executor_id").distinct()
+
+
+@_query(
+    f"""
+WITH {_DEPS_SQL}
+SELECT task_id, dep_id, remote_bytes, o_custkey AS task_set_id, c_custkey % 10 AS stage_id,
+  CAST(0 AS BIGINT) AS attempt
+FROM deps JOIN orders ON o_orderkey = task_id JOIN customer ON c_custkey = o_custkey
+WHERE c_mktsegment = 'BUILDING'
+"""
+)
+def stream_enriched_metrics(t: Tables) -> DataFrame:
+    metrics = t.shuffle_deps().select("task_id", "dep_id", "remote_bytes")
+    path = _written(t, metrics.repartition(2, "dep_id"), "metrics")
+    stream = t.spark.readStream.schema(metrics.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    target = scratch_dir(t.spark, "enriched")
+    return live.enriched_metrics(stream, t.tasks, t.task_sets, target).drop("batch")
+
+
+@_query(f"WITH {_DEPS_SQL}, {_MERGED_SQL} SELECT * FROM merged")
+def stream_merged_reads(t: Tables) -> DataFrame:
+    """Every third record comes with wrong counters first and is corrected later, or before."""
+    deps = t.shuffle_deps().withColumn("update_seq", F.lit(2).cast("long"))
+    wrong = deps.where("(task_id + dep_id) % 3 = 0").withColumns(
+        {"remote_bytes": F.lit(10**9).cast("long"), "update_seq": F.lit(1).cast("long")}
+    )
+    path = _written(t, deps.unionByName(wrong).repartition(3, "task_id", "dep_id", "update_seq"), "deps")
+    stream = t.spark.readStream.schema(deps.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return live.merged_reads_table(stream, scratch_dir(t.spark, "merged"), buckets=8)
+
+
 @_query(
     f"""{_FULL_SQL}
 SELECT executor_id, hb_seq, processed, delta, avg_rate, FALSE AS gap FROM progress"""

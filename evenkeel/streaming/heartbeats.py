@@ -1,18 +1,22 @@
-"""Heartbeats as a stream: latest state, progress, and refill alerts."""
+"""Streams of heartbeats and metrics: latest state, progress, alerts, and tables kept up to date."""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from evenkeel.operators.ranking import top_remaining, with_work_left
+from evenkeel.operators.shuffle_metrics import enrich_task_metrics, merge_shuffle_reads
 from evenkeel.operators.telemetry import latest_heartbeat, refill_due
+from evenkeel.operators.topology import unknown_executors
+from evenkeel.streaming.keyed_table import Folder, KeyedTable
 
 # The state function travels with the query, so the workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -190,49 +194,120 @@ def run_available(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def latest_table(heartbeats: DataFrame, path: str) -> DataFrame:
-    """Run `stream_latest` over what is available now into files under `path`, and read the latest state.
+def latest_table(heartbeats: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """Take in what the stream has now, and read the latest record per executor so far.
 
-    Each micro-batch overwrites its own folder, so a batch that is run again after a failure is not
-    counted twice. At the end of the run the batches are merged into one table with a row per executor,
-    which the next run's batches are added to. A source without rows gives an empty table.
+    The records are a `KeyedTable` under `path`: a batch rewrites only the buckets of its executors, and a
+    run that breaks off at any point loses nothing and counts nothing twice.
     """
-    spark, rows = heartbeats.sparkSession, f"{path}/rows"
-    latest = stream_latest(heartbeats)
+    table = KeyedTable(
+        heartbeats.sparkSession, f"{path}/table", heartbeats.schema, ["executor_id"], ["hb_ts", "hb_seq"], buckets
+    )
+    run_batches(heartbeats, table.merge, path)
+    return table.read()
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{rows}/batch={batch_id}")
 
-    query = (
-        latest.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{path}/progress")
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
+def candidates(k: int) -> Callable[[DataFrame], DataFrame]:
+    """The k executors of each bucket with most work left; whoever is `gone` is not among them."""
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("remaining"), "executor_id"))
+
+    def derive(latest: DataFrame) -> DataFrame:
+        here = latest.where("NOT coalesce(gone, false)") if "gone" in latest.columns else latest
+        left = with_work_left(here).select("executor_id", "remaining", "bucket")
+        return left.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+    return derive
+
+
+def top_table(heartbeats: DataFrame, path: str, k: int = 2, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Take in what the stream has now; the k executors with most work left, and the latest records.
+
+    `heartbeats(executor_id, hb_ts, hb_seq, remaining, …)`; a record with a true `gone`, if there is such a
+    column, takes its executor out. Each bucket of the latest records has its k best beside it, made again
+    only when the bucket changes, so the best of all are found among `k * buckets` rows, whatever the number
+    of executors, and whether work grew, fell or left.
+    """
+    table = KeyedTable(
+        heartbeats.sparkSession,
+        f"{path}/table",
+        heartbeats.schema,
+        ["executor_id"],
+        ["hb_ts", "hb_seq"],
+        buckets,
+        derive=candidates(k),
     )
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else -1
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def there(name: str) -> list[int]:
-        """Numbers of the folders `name=<number>`."""
-        if not files.exists(folder):
-            return []
-        parent = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}s" if name == "merged" else rows)
-        if not files.exists(parent):
-            return []
-        names = [f.getPath().getName() for f in files.listStatus(parent)]
-        return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{name}="))
-
-    merged, batches = there("merged"), there("batch")
-    known = merged[-1] if merged else -1
-    new = [b for b in batches if b > known]
-    parts = [f"{rows}/batch={b}" for b in new] + ([f"{path}/mergeds/merged={known}"] if merged else [])
-    if not parts:
-        return spark.createDataFrame([], latest.schema)
-    if new:
-        known = max(new[-1], last)
-        table = latest_heartbeat(spark.read.schema(latest.schema).parquet(*parts))
-        table.write.mode("overwrite").parquet(f"{path}/mergeds/merged={known}")
-    return spark.read.schema(latest.schema).parquet(f"{path}/mergeds/merged={known}")
+    run_batches(heartbeats, table.merge, path)
+    return top_remaining(table.read_derived(), k), table.read()
+
+
+def unknown_senders(heartbeats: DataFrame, executors: Callable[[], DataFrame], path: str) -> DataFrame:
+    """Per batch, the senders that are not registered when it is read: (executor_id, batch).
+
+    `executors` opens the registered executors; it is called for each batch, so whoever registers meanwhile
+    is not reported again.
+    """
+    return per_batch(heartbeats, lambda batch: unknown_executors(batch, executors()), path)
+
+
+def enriched_metrics(
+    metrics: DataFrame, tasks: Callable[[], DataFrame], task_sets: Callable[[], DataFrame], path: str
+) -> DataFrame:
+    """Task metrics with their task set, stage and attempt, as these tables are when each batch is read.
+
+    Metrics of tasks that are not known then, or of a task set that is not active, go. Adds `batch`.
+    """
+    return per_batch(metrics, lambda batch: enrich_task_metrics(batch, tasks(), task_sets()), path)
+
+
+def merged_reads_table(deps: DataFrame, path: str, order: Sequence[str] = ("update_seq",), buckets: int = 64) -> DataFrame:
+    """Take in what a stream of shuffle reads has now, and read the merged record of each task so far.
+
+    `deps(task_id, dep_id, …, update_seq)`: later records of a dependency correct earlier ones, late and
+    repeated ones count once. The newest record of each (task, dependency) is kept in buckets by task; the
+    sums of a bucket are made again from them when it changes.
+    """
+
+    def sums(newest: DataFrame) -> DataFrame:
+        # A task has one bucket, so the bucket is that of its records.
+        return merge_shuffle_reads(newest).withColumn("bucket", table.bucket())
+
+    table = KeyedTable(
+        deps.sparkSession,
+        f"{path}/table",
+        deps.schema,
+        ["task_id", "dep_id"],
+        list(order),
+        buckets,
+        spread=["task_id"],
+        derive=sums,
+    )
+    run_batches(deps, table.merge, path)
+    return table.read_derived()
+
+
+def run_batches(stream: DataFrame, take_in: Callable[[DataFrame, int], None], path: str) -> None:
+    """Hand each batch that the stream has now to `take_in(batch, id)`; progress is kept under `path`."""
+    writer = stream.writeStream.foreachBatch(take_in).option("checkpointLocation", f"{path}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def per_batch(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """`transform` of each batch that the stream has now, read back from files, with the `batch` it is from.
+
+    The transform is built anew for each batch, so tables that it opens are read as they are then. A batch
+    that is run again after a failure replaces its files; only complete ones are read.
+    """
+    spark = stream.sparkSession
+    schema = transform(spark.createDataFrame([], stream.schema)).schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    run_batches(stream, write, path)
+    folder = Folder(spark, path)
+    done = [n for n in folder.names("rows") if "_SUCCESS" in folder.names(f"rows/{n}")]
+    if not done:
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
+    number = F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1).cast("long")
+    rows = spark.read.schema(schema).parquet(*[f"{path}/rows/{n}" for n in done])
+    return rows.select("*", number.alias("batch"))

@@ -24,7 +24,7 @@ def run(spark):
         ("merge_shuffle_reads_all_tasks", 15_000),
         ("take_fraction", 7120),
         ("take_fraction_as_coded", 14_998),
-        ("executors_on_host", 25),
+        ("executors_on_host", 42),
         ("hosts_alive", 20),
         ("racks_alive", 3),
         ("executors_alive", 48),

@@ -143,7 +143,7 @@ def test_latest_table_of_nothing_and_over_runs(spark):
         arrive(spark, source, [one])
         latest = live.latest_table(tables.stream_heartbeats(spark, source), target)
     assert {r.executor_id: r.processed for r in latest.collect()} == {1: 5, 2: 0}
-    assert len(latest.inputFiles()) <= 4 and "merged=" in latest.inputFiles()[0]
+    assert len(latest.inputFiles()) <= 2 and "/data/batch=" in latest.inputFiles()[0]
 
 
 def test_every_load_has_a_stream(spark):
