@@ -44,7 +44,9 @@ RATIO = 5
 #: The contract of `op12`: one run in so many loses a letter.
 SLIP_EVERY = 199
 #: Distinct words that a task counts before it hands them on.
-_FLUSH = 1 << 19
+_FLUSH = 1 << 17
+#: Letters of words whose places are made at a time.
+_DICTIONARY_LETTERS = 1 << 16
 #: Characters of a text that are cut into words at a time.
 _BLOCK = 1 << 20
 
@@ -132,20 +134,30 @@ def pair_dictionary(numbered: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                word, number, n = (batch.column(c)[row].as_py() for c in ("word", "id", "n"))
-                before, after = (batch.column(c)[row].values.to_numpy() for c in ("prefixes", "suffixes"))
-                size, letters = len(word), np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)
-                kind = np.full(2 * size + 1, _WHOLE)
-                kind[:size] = np.where(np.diff(letters, prepend=0) != 0, _SKIPS_FIRST, _SKIPS)
+            for few in chunks([batch], "word", _DICTIONARY_LETTERS):
+                before, after = few.column("prefixes").flatten().to_numpy(), few.column("suffixes").flatten().to_numpy()
+                # Places per word: one for each letter and one at the end.
+                places = np.diff(few.column("prefixes").offsets.to_numpy()).astype(np.int64)
+                ends = np.cumsum(places)
+                of = np.repeat(np.arange(len(places)), places)
+                at = np.arange(len(of)) - (ends - places)[of]
+                # What follows place i has the other letters; the suffixes begin with the shortest.
+                follows = after[ends[of] - 1 - at]
+                inner = np.flatnonzero(at < places[of] - 1)
+                letters = np.zeros(len(of), dtype=np.uint32)
+                letters[inner] = np.frombuffer("".join(few.column("word").to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+                first = (at[inner] == 0) | (letters[inner] != letters[inner - 1])
+                kinds = np.concatenate([np.where(first, _SKIPS_FIRST, _SKIPS), np.full(len(of), _WHOLE)])
+                rows = np.concatenate([of[inner], of])
+                ids, n = (few.column(c).to_numpy() for c in ("id", "n"))
                 yield to_batch(
                     schema,
                     [
-                        np.concatenate([before[:-1], before]),
-                        np.concatenate([after[-2::-1], after[::-1]]),
-                        kind,
-                        np.full(2 * size + 1, number),
-                        np.full(2 * size + 1, n),
+                        np.concatenate([before[inner], before]),
+                        np.concatenate([follows[inner + 1], follows]),
+                        kinds,
+                        ids[rows],
+                        n[rows],
                     ],
                 )
 
