@@ -19,17 +19,21 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.search import with_rank_among
+from evenkeel.session import stored
 
 # An input no larger than what one scan task reads anyway may put any one key into one task.
 ONE_TASK_BYTES = 128 << 20
 ROWS_PER_BLOCK = 1_000_000
 MAX_BLOCKS = 65_536
 SAMPLES_PER_BLOCK = 20
+# Ranges of a whole table, and sampled rows from which the bounds of each are chosen.
+FANOUT = 1024
+SAMPLES_PER_RANGE = 200
 # A key in at most this many bounds (that is, of about as many blocks) is left to one task.
 COOL_BOUNDS = 4
 
@@ -57,22 +61,10 @@ def _constant_array(table: DataFrame) -> Column:
 
 @dataclass(frozen=True)
 class _Cut:
-    """Rows with their block. Without `bounds` everything is in one block.
-
-    `value` is what the entries of the array `constant`, the bounds, are compared with: block b has the
-    rows from bound b-1 on and below bound b. `numbers` are the bounds where they are whole numbers.
-    """
+    """Rows with their block. Without `bounds` everything is in one block."""
 
     rows: DataFrame
-    count: int
     bounds: DataFrame | None = None
-    constant: Column | None = None
-    value: Column | None = None
-    numbers: list[int] | None = None
-
-    def bound(self, i: int) -> Column:
-        """One bound; a plain number reaches the scan as a filter."""
-        return F.lit(self.numbers[i]) if self.numbers else F.get(self.constant, F.lit(i))
 
     def has_hot_key(self, keys: Sequence[str]) -> bool:
         if self.bounds is None:
@@ -80,12 +72,12 @@ class _Cut:
         return not self.bounds.groupBy(*keys).count().where(F.col("count") > COOL_BOUNDS).isEmpty()
 
 
-def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int, at_least: int = 1) -> _Cut:
+def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int) -> _Cut:
     spark = df.sparkSession
     count = df.count()
-    blocks = min(MAX_BLOCKS, max(-(-count // rows_per_block), min(at_least, count // 1000)))
+    blocks = min(MAX_BLOCKS, -(-count // rows_per_block))
     if blocks <= 1:
-        return _Cut(df.withColumn(_BLOCK, F.lit(0)), count)
+        return _Cut(df.withColumn(_BLOCK, F.lit(0)))
     fraction = min(1.0, SAMPLES_PER_BLOCK * blocks / count)
     # About SAMPLES_PER_BLOCK * MAX_BLOCKS rows of a few columns reach the driver at the very most.
     sample = df.select(*columns).sample(fraction, seed=7)
@@ -94,7 +86,7 @@ def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int, at_least: i
     sample = sample.orderBy(*columns).toArrow()
     picks = sorted({i * sample.num_rows // blocks for i in range(1, blocks)})
     if not sample.num_rows:
-        return _Cut(df.withColumn(_BLOCK, F.lit(0)), count)
+        return _Cut(df.withColumn(_BLOCK, F.lit(0)))
     sample = sample.take(picks)
     bounds = spark.createDataFrame(sample, df.select(*columns).schema)
     rows, value = df, F.col(columns[0])
@@ -107,10 +99,7 @@ def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int, at_least: i
         probe = F.struct(*columns).cast(kind)
         rows, value = df.withColumn("_probe", probe), F.col("_probe")
     rows = with_rank_among(rows, _BLOCK, value, constant, len(picks))
-    numbers = None
-    if len(columns) == 1 and pa.types.is_int64(sample.field(0).type):
-        numbers = sample.column(0).to_pylist()
-    return _Cut(rows.select(*df.columns, _BLOCK), count, bounds, constant, probe, numbers)
+    return _Cut(rows.select(*df.columns, _BLOCK), bounds)
 
 
 def running_totals(
@@ -220,56 +209,144 @@ def _carried(cut: _Cut, keys, order, totals, at_last, finals) -> DataFrame:
 class GlobalOrder:
     """Dense positions over a whole table, without one task that holds all rows.
 
-    `count` is the number of rows. The counts per block (at most MAX_BLOCKS numbers) are summed up on the
-    driver and go back into the plan as one constant; the rows themselves are shuffled once, by block.
+    Rows are cut into ranges of the order, and where there are more than `fanout` blocks, each range again
+    into blocks. The bounds of the ranges are a constant in the plan; those of the blocks are a table with a
+    row per range, joined by range. Numbers of rows per range come to the driver (at most `fanout`), those
+    per block stay a table.
+
+    The order columns are read twice here: once for the sample, with a count on the way, and once for the
+    sizes of the blocks, which make the positions exact. The rows themselves are read once, by what is asked
+    for, and shuffled once, by block. `count` is the number of rows.
     """
 
-    def __init__(self, df: DataFrame, order: Sequence[str], rows_per_block: int | None = None):
-        if rows_per_block:
-            self._cut = _cut(df, order, rows_per_block)
-        else:
-            parallelism = df.sparkSession.sparkContext.defaultParallelism
-            self._cut = _cut(df, order, ROWS_PER_BLOCK, parallelism)
-        self.count = self._cut.count
-        self._columns = df.columns
-        self._order = list(order)
-        self._starts = [0]
-        if self._cut.bounds is not None:
-            per_block = dict(self._cut.rows.groupBy(_BLOCK).count().collect())
-            for block in range(max(per_block)):
-                self._starts.append(self._starts[-1] + per_block.get(block, 0))
+    def __init__(
+        self, df: DataFrame, order: Sequence[str], rows_per_block: int | None = None, fanout: int = FANOUT
+    ):
+        self._spark, self._columns, self._order = df.sparkSession, df.columns, list(order)
+        per_block = rows_per_block or ROWS_PER_BLOCK
+        seen = Observation()
+        watched = df.select(*order).observe(seen, F.count(F.lit(1)).alias("n"))
+        fraction = min(1.0, SAMPLES_PER_RANGE / per_block)
+        sample = stored(watched.sample(fraction, seed=7), "order-sample")
+        if len(order) == 1:
+            sample = sample.dropna()  # a null is below every bound; inside a struct it compares by itself
+        about = seen.get["n"]  # recomputed tasks may count twice, so it chooses the number of blocks only
+        blocks = -(-about // per_block)
+        if not rows_per_block:
+            blocks = max(blocks, min(df.sparkSession.sparkContext.defaultParallelism, about // 1000))
+        self._place = F.col(order[0])
+        if len(order) > 1:
+            # One record per row, nullable like the bounds.
+            kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.select(*order).schema])
+            df, self._place = df.withColumn("_probe", F.struct(*order).cast(kind)), F.col("_probe")
+        self._bounds, self._numbers = None, None
+        ranges = min(blocks, fanout)
+        top = self._picked(sample, min(1.0, SAMPLES_PER_RANGE * fanout / max(about * fraction, 1)), ranges)
+        rows = df.withColumn("_range", F.lit(0))
+        if top is not None:
+            bounds = self._spark.createDataFrame(top, df.select(*order).schema)
+            self._bounds = _constant_array(bounds)
+            if len(order) == 1 and pa.types.is_int64(top.field(0).type):
+                self._numbers = top.column(0).to_pylist()
+            rows = with_rank_among(df, "_range", self._place, self._bounds, top.num_rows)
+        self._nested = top is not None and blocks > fanout
+        rows = rows.withColumn(_BLOCK, F.lit(0))
+        if self._nested:
+            rows = self._blocks(rows, sample, top.num_rows, -(-blocks // ranges))
+        self._rows = rows.select(*df.columns, "_range", _BLOCK)
+        self._starts, self._inner = [0], None
+        sizes = self._rows.groupBy("_range", _BLOCK).agg(F.count(F.lit(1)).alias("size"))
+        if self._nested:
+            sizes = stored(sizes, "block-sizes")
+            earlier = Window.partitionBy("_range").orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+            before = F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before")
+            self._inner = sizes.select("_range", _BLOCK, before, "size")
+        of_range = dict(sizes.groupBy("_range").agg(F.sum("size").alias("n")).collect())
+        for number in range(max(of_range, default=0) + 1):
+            self._starts.append(self._starts[-1] + of_range.get(number, 0))
+        self.count = self._starts.pop()
+
+    def _picked(self, sample: DataFrame, share: float, parts: int) -> pa.Table | None:
+        """Bounds that cut the sample into so many parts of about one size; at most SAMPLES_PER_RANGE rows
+        for each part are looked at."""
+        if parts <= 1:
+            return None
+        some = (sample if share >= 1 else sample.sample(share, seed=11)).orderBy(*self._order).toArrow()
+        picks = sorted({i * some.num_rows // parts for i in range(1, parts)})
+        return some.take(picks) if some.num_rows else None
+
+    def _blocks(self, rows: DataFrame, sample: DataFrame, ranges: int, parts: int) -> DataFrame:
+        """Rows with their block within the range: every range's bounds are an array in a row of a table."""
+        place = self._place
+        if len(self._order) > 1:
+            sample = sample.withColumn("_probe", F.struct(*self._order).cast(rows.schema["_probe"].dataType))
+        dealt = with_rank_among(sample, "_range", place, self._bounds, ranges)
+        in_order = Window.partitionBy("_range").orderBy(*self._order)
+        step = F.greatest(F.ceil(F.count("*").over(Window.partitionBy("_range")) / parts), F.lit(1))
+        chosen = (
+            dealt.select("_range", place.alias("_bound"), F.row_number().over(in_order).alias("_n"), step.alias("_step"))
+            .where("_n % _step = 0")
+            .groupBy("_range")
+            .agg(F.array_sort(F.collect_list("_bound")).alias("_within"))
+        )
+        inner = stored(chosen, "block-bounds")
+        widest = inner.agg(F.max(F.size("_within"))).first()[0] or 0
+        joined = rows.join(inner, "_range", "left")
+        return with_rank_among(joined, _BLOCK, place, F.col("_within"), widest)
 
     def numbered(self, name: str, low: int = 0, high: int | None = None) -> DataFrame:
-        """The rows with positions in `[low, high)`; blocks outside are left out at the scan."""
+        """The rows with positions in `[low, high)`; ranges outside are left out at the scan."""
         high = self.count if high is None else high
-        rows, base = self._within(low, high), F.lit(0)
+        rows = self._within(low, high)
+        base = F.lit(0)
         if len(self._starts) > 1:
-            starts = rows.sparkSession.createDataFrame(
+            starts = self._spark.createDataFrame(
                 pa.table({"start": pa.array(self._starts, pa.int64())}), "start long"
             )
-            base = F.get(_constant_array(starts), F.col(_BLOCK))
-        in_block = Window.partitionBy(_BLOCK).orderBy(*self._order)
-        position = F.row_number().over(in_block) - 1 + base
+            base = F.get(_constant_array(starts), F.col("_range"))
+        keys = ["_range", _BLOCK]
+        if self._inner is not None:
+            begin = base + F.col("before")
+            wanted = self._inner.where((begin < high) & (begin + F.col("size") > low))
+            rows, base = rows.join(wanted.select(*keys, "before"), keys), begin
+        position = F.row_number().over(Window.partitionBy(*keys).orderBy(*self._order)) - 1 + base
         rows = rows.withColumn(name, position.cast("long"))
         if low > 0 or high < self.count:
             rows = rows.where((F.col(name) >= low) & (F.col(name) < high))
         return rows.select(*self._columns, name)
 
+    def beyond(self, low: int) -> DataFrame:
+        """The rows with positions from `low` on. Those of later ranges are not shuffled."""
+        if low >= self.count:
+            return self._rows.limit(0).select(*self._columns)
+        if low <= 0:
+            return self._rows.select(*self._columns)
+        later = [i for i, start in enumerate(self._starts) if start >= low and i > 0]
+        if not later:
+            return self.numbered("_ord", low).drop("_ord")
+        rest = self._rows.where(self._place >= self._bound(later[0] - 1)).select(*self._columns)
+        first = self._starts[later[0]]
+        return self.numbered("_ord", low, first).drop("_ord").union(rest) if first > low else rest
+
+    def _bound(self, i: int) -> Column:
+        """One bound; a plain number reaches the scan as a filter."""
+        return F.lit(self._numbers[i]) if self._numbers else F.get(self._bounds, F.lit(i))
+
     def _within(self, low: int, high: int) -> DataFrame:
-        """The blocks with positions in `[low, high)`, by comparing the order columns with two bounds.
+        """The ranges with positions in `[low, high)`, by comparing the order columns with two bounds.
 
-        A filter on the block itself would be pushed below the search and repeat all of it.
+        A filter on the range itself would be pushed below the search and repeat all of it.
         """
-        rows, ends = self._cut.rows, [*self._starts[1:], self.count]
+        rows, ends = self._rows, [*self._starts[1:], self.count]
         inside = [b for b, (s, e) in enumerate(zip(self._starts, ends)) if s < high and e > low]
         if not inside:
             return rows.limit(0)
         first, last = inside[0], inside[-1]
         if first > 0:
-            rows = rows.where(self._cut.value >= self._cut.bound(first - 1))
+            rows = rows.where(self._place >= self._bound(first - 1))
         if last < len(self._starts) - 1:
-            below = self._cut.value < self._cut.bound(last)
-            rows = rows.where(below if first > 0 else below | self._cut.value.isNull())
+            below = self._place < self._bound(last)
+            rows = rows.where(below if first > 0 else below | self._place.isNull())
         return rows
 
 

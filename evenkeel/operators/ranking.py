@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.operators.ordinals import assign_ids
+
 
 def with_work_left(latest: DataFrame) -> DataFrame:
     return latest.where(F.col("remaining") > 0)
@@ -35,3 +37,29 @@ def pick_victim(latest: DataFrame, k: int = 2) -> DataFrame:
     second = F.get(best, F.lit(1)).getField("executor_id")
     victim = F.when(first != F.col("executor_id"), first).otherwise(second)
     return latest.select("executor_id", "remaining", victim.alias("victim"))
+
+
+def match_by_rank(
+    latest: DataFrame, is_thief: Column, gave: DataFrame | None = None, rows_per_block: int | None = None
+) -> DataFrame:
+    """Pair those who ask for work with those who have most of it, each at most once: a round of moves.
+
+    `latest(executor_id, remaining)` has a row per executor; `is_thief` says who asks. The others with work
+    left can be robbed. The thief with least left takes from the victim with most, the second from the
+    second, and so on; equal ones rank by id, and whoever is over on either side waits. Executors in
+    `gave(executor_id)` have just handed work over and don't take now, nor are they robbed as long as they
+    ask. Columns: victim_id, thief_id, rank (from 1).
+
+    Both sides are numbered in their order and joined on the number: no executor is compared with all
+    others, and none comes twice.
+    """
+    rows = latest.select("executor_id", "remaining", F.coalesce(is_thief, F.lit(False)).alias("_asks"))
+    asks = rows.where("_asks")
+    if gave is not None:
+        asks = asks.join(gave.select("executor_id").distinct(), "executor_id", "left_anti")
+    has = with_work_left(rows.where("NOT _asks")).withColumn("_most", -F.col("remaining"))
+    thieves = assign_ids(asks, ["remaining", "executor_id"], 1, "rank", rows_per_block)
+    victims = assign_ids(has, ["_most", "executor_id"], 1, "rank", rows_per_block)
+    return victims.select(F.col("executor_id").alias("victim_id"), "rank").join(
+        thieves.select(F.col("executor_id").alias("thief_id"), "rank"), "rank"
+    ).select("victim_id", "thief_id", "rank")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.search import rank_among
+from evenkeel.functions.search import rank_among, with_rank_among
 from evenkeel.functions.sizing import split_size
 from evenkeel.operators.ordinals import GlobalOrder, running_totals
 
@@ -147,16 +147,16 @@ def guided_chunks(pool: DataFrame, skip: int = 0, rows_per_block: int | None = N
     The first `skip` items are gone already (dealt) and left out.
     """
     order = GlobalOrder(pool, ["item_id"], rows_per_block)
-    return _chunked(order, skip, skip).select(*pool.columns, "chunk_id", "batch_pos")
+    return chunked(order, skip, skip).select(*pool.columns, "chunk_id", "batch_pos")
 
 
-def _chunked(order: GlobalOrder, skip: int, low: int) -> DataFrame:
-    """Items from position `low` on with their chunk; those before `skip` are in chunk 0."""
+def chunked(order: GlobalOrder, skip: int, low: int, high: int | None = None) -> DataFrame:
+    """Items with positions in `[low, high)` and their chunk; those before `skip` are in chunk 0."""
     starts = [skip + start for start in chunk_starts(max(order.count - skip, 0))]
     chunk_id = F.when(F.col("_ord") < skip, F.lit(0)).otherwise(rank_among(F.col("_ord"), starts))
-    chunked = order.numbered("_ord", low=low).withColumn("chunk_id", chunk_id.cast("long"))
+    cut = order.numbered("_ord", low, high).withColumn("chunk_id", chunk_id.cast("long"))
     end = F.get(F.lit(np.array(starts, "int64")), F.col("chunk_id").cast("int"))
-    return chunked.withColumn("batch_pos", F.when(F.col("chunk_id") > 0, end - F.col("_ord")))
+    return cut.withColumn("batch_pos", F.when(F.col("chunk_id") > 0, end - F.col("_ord")))
 
 
 def deal_initial(
@@ -164,10 +164,20 @@ def deal_initial(
 ) -> DataFrame:
     """Deal the first `executors * k` items in blocks of k: `executor_id` from 1, null for the rest.
 
-    Items are dealt by place, so items with equal ids stay separate items.
+    Only the ids of the first items are looked up, in one pass; all items stay where they are, without a
+    shuffle. Items are dealt by place, so items with equal ids stay separate items: if there are such among
+    the first ones, the pool is numbered.
     """
-    numbered = GlobalOrder(pool, ["item_id"], rows_per_block).numbered("_ord")
-    return numbered.select(*pool.columns, _dealt_to(executors, k).alias("executor_id"))
+    n = executors * k
+    ids = [r[0] for r in pool.select("item_id").orderBy("item_id").limit(n + 1).collect()]
+    if None in ids or len(set(ids)) < len(ids):
+        numbered = GlobalOrder(pool, ["item_id"], rows_per_block).numbered("_ord")
+        return numbered.select(*pool.columns, _dealt_to(executors, k).alias("executor_id"))
+    ranked = with_rank_among(pool, "_ord", F.col("item_id"), F.array(*[F.lit(i) for i in ids]), len(ids))
+    # The rank counts the item itself, and is n + 1 beyond the first n.
+    dealt = ranked.withColumn("_ord", F.col("_ord") - 1)
+    dealt = dealt.withColumn("_ord", F.when(F.col("_ord") < len(ids[:n]), F.col("_ord")))
+    return dealt.select(*pool.columns, _dealt_to(executors, k).cast("long").alias("executor_id"))
 
 
 def _dealt_to(executors: int, k: int) -> Column:
@@ -182,7 +192,7 @@ def deal_and_chunk(
     Dealt items have `chunk_id` 0 and no `batch_pos`.
     """
     order = GlobalOrder(pool, ["item_id"], rows_per_block)
-    return _chunked(order, executors * k, 0).select(
+    return chunked(order, executors * k, 0).select(
         *pool.columns, _dealt_to(executors, k).alias("executor_id"), "chunk_id", "batch_pos"
     )
 

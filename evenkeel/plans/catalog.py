@@ -700,22 +700,11 @@ def merge_shuffle_reads_all_tasks(t: Tables) -> DataFrame:
     return shuffle_metrics.merge_shuffle_reads(t.shuffle_deps(), t.tasks())
 
 
-@_query(
-    f"""
-WITH {_DEPS_SQL}
-SELECT task_id, dep_id, fetch_wait_ms + 1 AS fetch_wait_ms, local_blocks + 2 AS local_blocks,
-  remote_blocks + 3 AS remote_blocks, remote_bytes + 4 AS remote_bytes,
-  greatest(shuffle_finish_ms, 9000) AS shuffle_finish_ms
-FROM deps
-"""
-)
+@_query(f"WITH {_DEPS_SQL}, {_MERGED_SQL} SELECT * FROM merged")
 def merge_shuffle_reads_nested(t: Tables) -> DataFrame:
-    """Each line as a task with an array of two dependencies."""
-    names = ("fetch_wait_ms", "local_blocks", "remote_blocks", "remote_bytes", "shuffle_finish_ms")
-    fixed = F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(names, (1, 2, 3, 4, 9000))])
-    nested = t.shuffle_deps().select(
-        "task_id", "dep_id", F.array(F.struct(*names), fixed).alias("deps")
-    )
+    """Each order as a task with its lines in an array: the rows of `merge_shuffle_reads`."""
+    record = F.struct(*[c for c in t.shuffle_deps().columns if c not in ("task_id", "dep_id")])
+    nested = t.shuffle_deps().groupBy("task_id").agg(F.collect_list(record).alias("deps"))
     return shuffle_metrics.merge_shuffle_reads_nested(nested).drop("deps")
 
 
@@ -899,6 +888,40 @@ def steal_round(t: Tables) -> DataFrame:
     return queues.select("item_id", "queue_id", "pos")
 
 
+# Thieves have less than half of the average left. Needs `latest`.
+_MATCHED_SQL = """,
+asked AS (SELECT executor_id, remaining, remaining * 2 < (SELECT avg(remaining) FROM latest) AS asks FROM latest),
+matched AS (
+  SELECT v.executor_id AS victim_id, t.executor_id AS thief_id, v.rank
+  FROM (SELECT *, row_number() OVER (ORDER BY remaining DESC, executor_id) AS rank FROM asked
+    WHERE NOT asks AND remaining > 0) v
+  JOIN (SELECT *, row_number() OVER (ORDER BY remaining, executor_id) AS rank FROM asked WHERE asks) t
+    ON t.rank = v.rank)"""
+
+
+@_query(f"{_SNAPSHOT_SQL}{_MATCHED_SQL} SELECT * FROM matched")
+def match_by_rank(t: Tables) -> DataFrame:
+    latest = _latest(t, "remaining", store=True)
+    average = latest.agg(F.avg("remaining").alias("a")).scalar()
+    return ranking.match_by_rank(latest, F.col("remaining") * 2 < average)
+
+
+@_query(
+    f"""{_SNAPSHOT_SQL}{_MATCHED_SQL},
+items AS (
+  SELECT event_id AS item_id, user_id AS queue_id FROM events WHERE event_type = 'view'),
+moves AS (SELECT victim_id, thief_id FROM matched){_STEAL_SQL}
+SELECT item_id, queue_id, pos FROM after
+"""
+)
+def steal_round_by_rank(t: Tables) -> DataFrame:
+    """The items open at the end of the log, after a round in which each thief has a victim of its own."""
+    latest = _latest(t, "remaining", store=True)
+    average = latest.agg(F.avg("remaining").alias("a")).scalar()
+    queues, _ = flows.steal_rounds(latest, t.open_items(), F.col("remaining") * 2 < average, rounds=1)
+    return queues.select("item_id", "queue_id", "pos")
+
+
 # Sources ---------------------------------------------------------------------------------------------
 
 
@@ -1077,8 +1100,10 @@ def stream_enriched_metrics(t: Tables) -> DataFrame:
 @_query(f"WITH {_DEPS_SQL}, {_MERGED_SQL} SELECT * FROM merged")
 def stream_merged_reads(t: Tables) -> DataFrame:
     """Every third record comes with wrong counters first and is corrected later, or before."""
-    deps = t.shuffle_deps().withColumn("update_seq", F.lit(2).cast("long"))
-    wrong = deps.where("(task_id + dep_id) % 3 = 0").withColumns(
+    # Lines of an order share numbers; with the price and the other counters they are told apart.
+    number = F.xxhash64("dep_id", "fetch_wait_ms", "local_blocks", "remote_bytes", "shuffle_finish_ms")
+    deps = t.shuffle_deps().withColumns({"dep_id": number, "update_seq": F.lit(2).cast("long")})
+    wrong = deps.where("abs(task_id + dep_id % 7) % 3 = 0").withColumns(
         {"remote_bytes": F.lit(10**9).cast("long"), "update_seq": F.lit(1).cast("long")}
     )
     path = _written(t, deps.unionByName(wrong).repartition(3, "task_id", "dep_id", "update_seq"), "deps")

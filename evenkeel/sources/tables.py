@@ -14,12 +14,16 @@ _OPTIONAL = {"remaining_ids", "processed_ids"}
 
 
 def _load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Read with the fixed schema, after checking that the files have its columns."""
-    there = {c.lower() for c in spark.read.parquet(path).columns}
+    """Read with the fixed schema, after checking that the files have its columns.
+
+    The footers are read once: the schema is applied to the opened table.
+    """
+    table = spark.read.parquet(path)
+    there = {c.lower() for c in table.columns}
     missing = [c for c in schema.fieldNames() if c not in there and c not in _OPTIONAL]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
-    return spark.read.schema(schema).parquet(path)
+    return table.to(schema)
 
 
 def _stream(spark: SparkSession, path: str, schema: StructType, options: dict) -> DataFrame:

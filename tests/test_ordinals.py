@@ -101,6 +101,40 @@ def test_numbered_range_reads_only_its_blocks(spark):
     assert order.numbered("ord", 5, 5).count() == 0
 
 
+@pytest.mark.parametrize("fanout", [2, 4, 30])
+@pytest.mark.parametrize("order", [["seq"], ["time", "seq"], ["name", "time", "seq"]])
+def test_nested_blocks(spark, order, fanout):
+    """More blocks than ranges: every range is cut again, and positions stay dense and in order."""
+    df = spark.createDataFrame(table(400), SCHEMA).repartition(3)
+    cut = ordinals.GlobalOrder(df, order, rows_per_block=9, fanout=fanout)
+    assert cut._nested and len(cut._starts) <= fanout and cut.count == 400
+    assert cut._inner.count() > fanout
+    rows = sorted(cut.numbered("ord").collect(), key=lambda r: r.ord)
+    assert [r.ord for r in rows] == list(range(400))
+    place = [[(r[c] is not None, r[c]) if r[c] is not None else (False,) for c in order] for r in rows]
+    assert place == sorted(place)
+    seqs = [r.seq for r in rows]
+    for low, high in ((0, 1), (37, 222), (399, 400), (10, 10)):
+        assert sorted(r.seq for r in cut.numbered("ord", low, high).collect()) == sorted(seqs[low:high])
+        assert sorted(r.seq for r in cut.beyond(low).collect()) == sorted(seqs[low:])
+
+
+@pytest.mark.parametrize("rows_per_block", [None, 9, 100])
+def test_beyond(spark, rows_per_block):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("x"))
+    cut = ordinals.GlobalOrder(df, ["x"], rows_per_block)
+    for low in (0, 1, 99, 100, 101, 499, 500):
+        assert sorted(r.x for r in cut.beyond(low).collect()) == list(range(low, 500))
+
+
+def test_equal_order_values_and_nulls_in_nested_blocks(spark):
+    rows = [(None,)] * 30 + [(5,)] * 300 + [(k,) for k in range(100)]
+    cut = ordinals.GlobalOrder(spark.createDataFrame(rows, "x long"), ["x"], rows_per_block=10, fanout=3)
+    got = sorted((r.ord, r.x) for r in cut.numbered("ord").collect())
+    assert [o for o, _ in got] == list(range(430))
+    assert [x for _, x in got] == [None] * 30 + sorted(x for x, in rows[30:])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert ordinals.assign_ids(df, ["seq"]).collect() == []
