@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm._frames import map_arrow, stored
+from evenkeel.llm._frames import join_counted, map_arrow, stored
 from evenkeel.llm._golay import codewords
 from evenkeel.llm._text import chunks, to_batch
 from evenkeel.llm.components import connected
@@ -53,8 +53,6 @@ _DENSE = 1024
 _SMALL = 16
 #: Rows that a task gathers before it compares them.
 _GATHER = 1 << 17
-#: A fingerprint that is in this share of the rows, or more, is joined apart: at most so many are.
-_HOT_KEYS = 10_000
 #: Four masks of 16 bits for each of three cuts.
 _QUARTERS = [
     [sum(1 << b for b in range(64) if b // 4**depth % 4 == part) for part in range(4)] for depth in range(3)
@@ -277,12 +275,7 @@ def near_duplicates(
     classes = classes.select("fp", "n", "smallest", F.coalesce("label", "fp").alias("label"))
     roots = classes.groupBy("label").agg(F.min("smallest").alias("component_id"))
     named = stored(classes.join(roots, "label").select("fp", "n", "component_id"), "classes")
-    # A fingerprint of very many rows would fill one task of the join. There are _HOT_KEYS of them at most.
-    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hot = F.col("n") * _HOT_KEYS >= total
-    hot = F.broadcast(named.where(is_hot).select("fp", "component_id"))
-    rest = members.join(hot.select("fp"), "fp", "left_anti").join(named.where(~is_hot).select("fp", "component_id"), "fp")
-    return members.join(hot, "fp").union(rest.select("fp", "doc_id", "component_id")).select("doc_id", "fp", "component_id")
+    return join_counted(members, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
