@@ -1,13 +1,16 @@
 """Shards along a Hilbert curve through several metadata columns.
 
-Each column is quantised at its quantiles, so that every step holds about as many rows; the point of a
-row in this grid gives its index on the curve. Rows are sorted by the index and the order is cut into
+Each column is quantised at its quantiles, exact over all rows and by whole values, so that every step holds
+about as many rows; the point of a row in this grid gives its index on the curve. Rows are sorted by the index and the order is cut into
 runs. Neighbours on the curve are neighbours in every column, so each shard covers a small range of each,
 and a filter on any of the columns skips most files.
 
-Only the metadata is shuffled. The sort is by range, so that no task has all rows; positions come from the
+The distinct values of a column are counted, sorted by range and summed up to find its quantiles, so a value
+of very many rows is one row there. Only the metadata is shuffled. The sort is by range, so that no task has all rows; positions come from the
 counts of the sorted, written parts. Equal texts with equal metadata stay together as far as the cuts let
-them. Nulls are the first step of their column; a null text has no bytes. Repeated rows each get a place.
+them. Nulls are the first step of their column; a null text has no bytes. Repeated rows each get a place, and
+ties of all of the order any. A very long text counts by its bytes like any other, and an empty table gives no
+rows. Only the named columns are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm._frames import map_arrow, stored
@@ -59,34 +62,58 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A column as a number in the same order; strings by their first seven bytes."""
-    kind = dict(df.dtypes)[name]
-    if kind == "string":
-        code = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)), 14, "0"), 16, 10)
-        return code.cast("double")
-    return F.col(name).cast("double")
+def _comparable(df: DataFrame, name: str) -> Column:
+    """A column as what its steps compare: whole strings, else a number in the same order."""
+    return F.col(name) if dict(df.dtypes)[name] == "string" else F.col(name).cast("double")
+
+
+def in_parts(df: DataFrame, *order: str) -> DataFrame:
+    """`df` sorted by range and stored, with `part` and `at`, the place in the part, counted from 0."""
+    by_range = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows = stored(by_range.withColumn("at", F.monotonically_increasing_id()), "sorted")
+    # The number's high bits are the part, its low 33 bits the place in the part.
+    return sorted_rows.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)})
+
+
+def offsets(per_part: DataFrame) -> tuple[DataFrame, int]:
+    """(part, before): sums of `per_part(part, n)` before each part, a row for each; and the whole sum."""
+    total, before = 0, []
+    for part, n in sorted(per_part.collect()):
+        before.append((part, total))
+        total += n
+    return F.broadcast(per_part.sparkSession.createDataFrame(before, "part long, before long")), total
+
+
+def quantiles(values: DataFrame, steps: int) -> list:
+    """The distinct values of `values(v)` at which its order is cut into `steps` parts of about one size."""
+    counted = in_parts(values.dropna().groupBy("v").agg(F.count("*").alias("n")), "v")
+    before, total = offsets(counted.groupBy("part").agg(F.sum("n").alias("n")))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("at"))
+    step = F.expr(f"(upto * {steps}) div {max(total, 1)}")
+    ranked = counted.join(before, "part").withColumn("upto", upto)
+    # A cut is the first value that reaches the next step; values up to a cut are in its step.
+    passed = ranked.where(step > F.expr(f"((upto - n) * {steps}) div {max(total, 1)}"))
+    return sorted(r[0] for r in passed.where(F.col("upto") < total).select("v").collect())
 
 
 def curve(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, out: str = "curve") -> DataFrame:
-    """`df` with the curve index of each row. The steps of each column are found in one job."""
-    steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    numbers = df.select(*[_number(df, d).alias(f"d{i}") for i, d in enumerate(dimensions)])
-    bounds = numbers.agg(
-        *[F.percentile_approx(f"d{i}", steps, 10_000).alias(f"d{i}") for i in range(len(dimensions))]
-    ).first()
-    cuts = [np.unique(np.array(b or [], dtype=np.float64)) for b in bounds]
+    """`df` with the curve index of each row."""
+    cuts = [quantiles(df.select(_comparable(df, d).alias("v")), 1 << bits) for d in dimensions]
+    kinds = [object if dict(df.dtypes)[d] == "string" else np.float64 for d in dimensions]
+    ordered = [np.array(c, dtype=kind) for c, kind in zip(cuts, kinds)]
 
     @F.pandas_udf("long")
     def place(*columns: pd.Series) -> pd.Series:
         points = []
-        for c, cut in zip(columns, cuts):
-            step = np.searchsorted(cut, c.fillna(0).to_numpy(dtype=np.float64), side="left") + 1
+        for c, cut in zip(columns, ordered):
+            there = c.notna().to_numpy()
+            step = np.zeros(len(c), dtype=np.int64)
+            step[there] = np.searchsorted(cut, c[there].to_numpy(dtype=cut.dtype), side="left") + 1
             # Few distinct values are spread over the whole axis.
-            points.append((np.where(c.isna(), 0, step) << bits) // (len(cut) + 2))
+            points.append((step << bits) // (len(cut) + 2))
         return pd.Series(hilbert_index(np.stack(points, axis=1), bits))
 
-    return df.withColumn(out, place(*[_number(df, d) for d in dimensions]))
+    return df.withColumn(out, place(*[_comparable(df, d) for d in dimensions]))
 
 
 def _described(docs: DataFrame, doc_id: str, text: str, dimensions: tuple[str, ...]) -> DataFrame:
@@ -125,18 +152,9 @@ def assign(
     placed = curve(described, names, bits).select(*order)
     # Equal values of all of the order would otherwise go to one part.
     placed = placed.withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
-    by_range = placed.repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie")
-    numbered = stored(by_range.withColumn("at", F.monotonically_increasing_id()), "sorted")
-    # The number's high bits are the part, its low 33 bits the place in the part.
-    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    counts = {r[0]: r[1] for r in numbered.groupBy(part.alias("p")).count().collect()}
-    total, before = 0, []
-    for p in sorted(counts):
-        before.append((p, total))
-        total += counts[p]
-    spark = docs.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(before, "p long, before long"))  # a row for each part
-    ranked = numbered.withColumn("p", part).join(offsets, "p").withColumn("rank", F.col("before") + within)
+    numbered = in_parts(placed, *order, "tie")
+    before, total = offsets(numbered.groupBy("part").agg(F.count("*").alias("n")))
+    ranked = numbered.join(before, "part").withColumn("rank", F.col("before") + F.col("at"))
     # Shard s has the ranks from ceil(s * total / shards) on.
     shard = F.expr(f"(rank * {shards}) div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
