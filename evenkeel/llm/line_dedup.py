@@ -6,14 +6,15 @@ estimate is near the threshold get an exact distinct count, so the sketch decide
 cannot matter.
 
 Occurrences are then looked up in the table of boilerplate lines. A line may stand in a third of all
-documents, so both sides of that join are spread over `SALTS` parts of each line.
+documents, so the lines with much of all occurrences are broadcast (`join_counted`) and not shuffled.
 
 A line is told by a 64-bit hash of its exact text; lines without a word are never boilerplate. A document
 with no line of its own (every line with a word is boilerplate) is a copy of others rather than a page; it
 stays whole, for the near-duplicate step. Every other document loses its boilerplate, however much of it
-that is. With `max_share`, documents of which it would be more than so many hundredths (of the characters in
-lines with words) stay whole instead; the query's SQL fixes that rule, so `digest` asks for it. A null site
-counts as none, a null text has no lines. Repeated rows are each cleaned alike.
+that is. A null site counts as none, a null or empty text has no lines. Repeated rows are each cleaned alike,
+and a line counts once for a site however often it stands there; ties can't arise. A very long text is one
+row with all its lines. An empty table gives no rows. Columns of `docs` keep their names; added ones take
+free names.
 """
 
 from __future__ import annotations
@@ -21,17 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm._frames import fresh, row_key
+from evenkeel.llm._frames import fresh, join_counted, row_key, stored
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
-#: The rule of `SQL` only; see above.
-MAX_SHARE = 50
 #: Estimates within so many hundredths of the threshold are counted exactly; about eight standard errors.
 NEAR = 25
 _LG_K = 10
-#: Parts that the occurrences of a line are dealt into where they are joined.
-SALTS = 32
 _HAS_WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -47,14 +44,14 @@ def site_lines(docs: DataFrame, text: str = "text", site: str = "source") -> Dat
 
 
 def widespread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Hashes of the lines with at least `min_sites` distinct sites."""
+    """(line, n): the lines with at least `min_sites` distinct sites, and their occurrences with a site."""
     sketched = (
         lines.where("site IS NOT NULL")
         .groupBy("line")
         .agg(F.hll_sketch_agg("site", F.lit(_LG_K)).alias("sketch"), F.count("*").alias("n"))
         # No line can have more sites than occurrences.
         .where(F.col("n") >= min_sites)
-        .select("line", F.hll_sketch_estimate("sketch").alias("sites"))
+        .select("line", "n", F.hll_sketch_estimate("sketch").alias("sites"))
     )
     low, high = min_sites * (100 - NEAR) / 100, min_sites * (100 + NEAR) / 100
     near = sketched.where(F.col("sites").between(low, high)).select("line")
@@ -65,40 +62,32 @@ def widespread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         .agg(F.count_distinct("site").alias("sites"))
         .where(F.col("sites") >= min_sites)
     )
-    return sketched.where(F.col("sites") > high).select("line").union(exact.select("line"))
+    exact = sketched.select("line", "n").join(exact.select("line"), "line")
+    return sketched.where(F.col("sites") > high).select("line", "n").union(exact)
 
 
 def remove_boilerplate(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    max_share: int | None = None,
     text: str = "text",
     site: str = "source",
 ) -> DataFrame:
     """`docs` with cleaned texts, and `n_lines` (with a word) and `n_removed`, under free names."""
     n_lines, n_removed, key, hits, kept = fresh(docs, "n_lines", "n_removed", "key", "hits", "kept")
-    lines = site_lines(docs, text, site)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    wide = widespread(lines, min_sites).select("line", salts.alias("salt"))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
+    lines = stored(site_lines(docs, text, site), "lines")
+    wide = stored(widespread(lines, min_sites), "widespread")
     found = (
-        salted.join(wide, ["line", "salt"], "left_semi")
+        join_counted(lines.select("key", "pos", "line"), wide, "line", "n")
         .groupBy(F.col("key").alias(key))
         .agg(F.collect_set("pos").alias(hits))
     )
     rows = docs.withColumn(key, row_key(*docs.columns)).join(found, key, "left")
 
-    def characters(positions: Column, every: Column) -> Column:
-        return F.aggregate(positions, F.lit(0).cast("long"), lambda a, i: a + F.char_length(F.get(every, i)))
-
     def clean(every: Column) -> Column:
         here = F.coalesce(F.col(hits), F.array().cast("array<int>"))
         places = F.sequence(F.lit(0), F.size(every) - 1)
         worded = F.filter(places, lambda i: F.get(every, i).rlike(_HAS_WORD))
-        if max_share is None:
-            takes = F.size(here) < F.size(worded)
-        else:
-            takes = characters(here, every) * 100 <= characters(worded, every) * max_share
+        takes = F.size(here) < F.size(worded)
         rest = F.transform(F.array_except(places, here), lambda i: F.get(every, i))
         return F.struct(
             F.size(worded).cast("long").alias("n_lines"),
@@ -112,7 +101,7 @@ def remove_boilerplate(
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    rows = remove_boilerplate(docs.select("doc_id", "text", "source"), max_share=MAX_SHARE)
+    rows = remove_boilerplate(docs.select("doc_id", "text", "source"))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -125,8 +114,7 @@ wide AS (SELECT line FROM worded WHERE has GROUP BY line HAVING count(DISTINCT s
 marked AS (SELECT w.*, wide.line IS NOT NULL AS hit FROM worded w LEFT JOIN wide ON wide.line = w.line),
 counted AS (
   SELECT doc_id, count(*) FILTER (has) AS n_lines, count(*) FILTER (hit) AS n_hit,
-    coalesce(sum(length(line)) FILTER (hit), 0) * 100 <= coalesce(sum(length(line)) FILTER (has), 0) * {MAX_SHARE}
-      AS takes,
+    count(*) FILTER (hit) < count(*) FILTER (has) AS takes,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest
   FROM marked GROUP BY doc_id)
 SELECT c.doc_id, n_lines, CASE WHEN takes THEN n_hit ELSE 0 END AS n_removed,

@@ -110,6 +110,46 @@ def test_sharding(docs, rows_in):
     assert [c for _, c in runs] == sorted(c for _, c in runs)
 
 
+def plain_curve(rows: list[tuple], bits: int) -> list[int]:
+    """Curve indices of rows by quantiles counted over sorted values."""
+    steps = []
+    for values in zip(*rows):
+        known = sorted(v for v in values if v is not None)
+        count, upto, cuts = Counter(known), 0, []
+        for v in sorted(count):
+            before, upto = upto, upto + count[v]
+            if (upto << bits) // len(known) > (before << bits) // len(known) and upto < len(known):
+                cuts.append(v)
+        steps.append([0 if v is None else ((sum(c < v for c in cuts) + 1) << bits) // (len(cuts) + 2) for v in values])
+    return sharding.hilbert_index(np.array(steps).T, bits).tolist()
+
+
+def test_curve_of_a_table(spark):
+    rng = random.Random(12)
+    rows = [
+        (i, rng.choice([None, "de", "en", "é"]), rng.choice(["same", f"https://www.site{rng.randrange(40)}", f"u{i}"]),
+         rng.choice([None, rng.randrange(50), rng.randrange(10**6)]), None)
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(rows, "id long, lang string, source string, n_chars long, nothing string").repartition(5)
+    got = sharding.curve(df, ("lang", "source", "n_chars", "nothing"), bits=4)
+    expected = plain_curve([r[1:4] + (None,) for r in rows], 4)
+    assert dict(got.select("id", "curve").collect()) == dict(zip((r[0] for r in rows), expected))
+
+
+def test_long_common_beginnings_are_told_apart(spark):
+    """Sources that differ late only lie as those with short names do: a shard has a part of them."""
+    shards = []
+    for name in ("https://www.site{:02}.example.org", "{:02}"):
+        rows = [(i, "t" * (i % 7 + 1), "en", name.format(i % 60), i % 7 + 1) for i in range(6000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        placed = sharding.assign(docs).join(docs.select("doc_id", "source"), "doc_id")
+        counted = placed.groupBy("shard").agg(F.count_distinct("source").alias("n"))
+        shards.append(sorted((r.shard, r.n) for r in counted.collect()))
+    assert shards[0] == shards[1]
+    assert len(shards[0]) == 16 and max(n for _, n in shards[0]) < 30
+
+
 def test_shard_files(spark, tmp_path):
     docs = read(spark, SMALL, "documents")
     path = os.path.join(tmp_path, "shards")
@@ -178,7 +218,56 @@ def test_secrets(spark, same):
     verdicts = {r.doc_id: (r.n_live, r.n_shared) for r in got.where("doc_id = 9 OR doc_id >= 500").collect() if r.doc_id != 9}
     assert set(verdicts.values()) == {(0, 1)}
     mine = [s for r in found.where("doc_id = 9").collect() for s in r.secrets if s.n_owners == 1 and s.kind == "assign"]
-    assert [s.live for s in mine if s.end - s.start == 22] == [True, True]
+    assert [s.verdict for s in mine if s.end - s.start == 22] == ["live", "live"]
+
+
+def plain_verdicts(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, kind, start, end, n_repositories, n_owners, verdict) of all kinds, by counting."""
+    found, repositories, owners = [], defaultdict(set), defaultdict(set)
+    unowned = defaultdict(set)
+    with_owner = {str(doc) for doc, _, owner in rows if doc is not None and owner is not None}
+    for doc, text, owner in rows:
+        for kind, start, end, value in secrets.find_spans(text or "", secrets.compiled()):
+            found.append((doc, kind, start, end, value))
+            repositories[value].add(doc)
+            owners[value].add(owner)
+            unowned[value].add((doc, owner))
+    out = []
+    for doc, kind, start, end, value in found:
+        n_repositories = len(repositories[value] - {None})
+        n_owners = len(owners[value] - {None})
+        owned = {d for d, o in unowned[value] if o is not None}
+        loose = {d for d, o in unowned[value] if d not in owned}
+        verdict = "shared" if n_owners > 2 or n_repositories > 50 else "unknown" if not n_owners or loose else "live"
+        out.append((doc, kind, start, end, n_repositories, n_owners, verdict))
+    return out
+
+
+def test_secret_verdicts_by_both_counts(spark):
+    rng = random.Random(16)
+    values = [f"{'abcdef0123456789' * 2}{k:02}" for k in range(30)]
+    rows = []
+    for i in range(300):
+        owner = rng.choice([None, "s0", "s1", "s2", "s3"]) if rng.random() < 0.5 else "s0"
+        picked = [v for k, v in enumerate(values) if rng.random() < 0.3 ** (k % 6) and (k % 5 or owner in ("s0", "s1"))]
+        rows.append((rng.choice([i, i // 2, None]), f"x bearer {'Z' * 22}{rng.randrange(9)} " + " ".join(picked), owner))
+    rows += [(1000 + k, "token=half-owned-secret", "s1" if k % 2 else None) for k in range(40)]
+    rows += [(2000 + k, "token=one-owner-in-many", "s1") for k in range(60)] + [(3000, "token=mine-and-only-mine", "s9")] * 3
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = Counter((r.doc_id, *s) for r in found.collect() for s in r.secrets)
+    expected = plain_verdicts(rows)
+    assert got == Counter(expected)
+    assert Counter(r[-1] for r in expected).keys() == {"live", "shared", "unknown"}
+    assert {r[-1] for r in expected if r[0] and 1000 <= r[0] < 2000} == {"unknown"}
+
+
+def test_very_many_secrets_in_one_text(spark):
+    rows = [(1, " ".join(f"{k:016x}" for k in range(200_000)), "a"), (2, f"{7:016x}", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    started = time.perf_counter()
+    got = {r.doc_id: (r.n_hex, r.n_live) for r in secrets.digest(secrets.find_secrets(docs)).collect()}
+    assert time.perf_counter() - started < 30
+    assert got == {1: (200_000, 200_000), 2: (1, 1)}
 
 
 def test_licence_rules(spark):
