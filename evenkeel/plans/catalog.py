@@ -12,6 +12,7 @@ from evenkeel.plans import flows
 from evenkeel.plans.bindings import Tables
 from evenkeel.session import scratch_dir, stored
 from evenkeel.sources import costs, tables
+from evenkeel.streaming import batches, progress
 from evenkeel.streaming import heartbeats as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1120,8 +1121,7 @@ def stream_progress(t: Tables) -> DataFrame:
     twice = F.explode(F.sequence(F.lit(1), F.when(F.col("hb_seq") % 3 == 0, 2).otherwise(1)))
     log = _progress(t).select("*", twice.alias("_copy")).drop("_copy")
     stream = tables.stream_heartbeats(t.spark, _written(t, log, "heartbeats"), maxFilesPerTrigger=4)
-    path = scratch_dir(t.spark, "progress")
-    return live.run_available(live.stream_progress(stream), path).drop("hb_ts")
+    return progress.progress_table(stream, scratch_dir(t.spark, "progress"), buckets=8).drop("hb_ts")
 
 
 @_query(
@@ -1137,4 +1137,4 @@ def stream_refill_alerts(t: Tables) -> DataFrame:
         }
     )
     alerts = live.stream_refill_alerts(stream).select("executor_id", "hb_seq", "remaining")
-    return live.run_available(alerts, scratch_dir(t.spark, "alerts"))
+    return batches.run_available(alerts, scratch_dir(t.spark, "alerts"))

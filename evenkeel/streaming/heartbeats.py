@@ -1,39 +1,18 @@
-"""Streams of heartbeats and metrics: latest state, progress, alerts, and tables kept up to date."""
+"""Streams of heartbeats and metrics: latest state, alerts, and tables kept up to date."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evenkeel.operators.ranking import top_remaining, with_work_left
 from evenkeel.operators.shuffle_metrics import enrich_task_metrics, merge_shuffle_reads
 from evenkeel.operators.telemetry import latest_heartbeat, refill_due
 from evenkeel.operators.topology import unknown_executors
-from evenkeel.streaming.keyed_table import Folder, KeyedTable
-
-# The state function travels with the query, so the workers need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-# Heartbeats of one executor that share a state entry.
-SEQ_PER_STATE = 1000
-# So many heartbeats at the edge of a run are also sent to its neighbour, where gaps are closed.
-EDGE = 100
-
-_OUT = "executor_id long, hb_seq long, hb_us long, processed long, delta long, avg_rate double, gap boolean"
-_STATE = (
-    "done string, next_begun boolean, "
-    "seqs array<long>, processed array<long>, times array<long>, open array<boolean>"
-)
-# What a row is to the run that gets it.
-_OWN, _SEED, _NOTICE = range(3)
-
+from evenkeel.streaming.batches import per_batch, run_batches
+from evenkeel.streaming.keyed_table import KeyedTable
 
 def stream_latest(heartbeats: DataFrame) -> DataFrame:
     """The latest record per executor, kept up to date. Use output mode `update` or `complete`."""
@@ -45,155 +24,6 @@ def stream_refill_alerts(heartbeats: DataFrame, rule: str = "sqrt") -> DataFrame
     return refill_due(heartbeats, rule, "_due").where("_due").drop("_due")
 
 
-def stream_progress(heartbeats: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Items done since the previous heartbeat, and the average per heartbeat, over a heartbeat stream.
-
-    Needs `executor_id, hb_seq, hb_ts, processed`, with `hb_seq` counting an executor's heartbeats from 1.
-    State is kept per executor and run of SEQ_PER_STATE sequence numbers, so a very busy executor is
-    spread over many groups and no group grows with the log. The last heartbeat of a run also goes to the
-    next one, as its predecessor.
-
-    Heartbeats may come late, out of order and repeatedly: each is reported once, when it and its
-    predecessor are both in. The state has a bit for each number of its run that was reported; when all
-    are set, only a finished mark stays.
-
-    With a `watermark` delay (e.g. "10 minutes"), a heartbeat whose predecessor was lost is reported when
-    the delay has passed, against the nearest earlier one known among the EDGE last ones of the run before
-    (else with a null `delta`), with `gap` true. Finished runs are forgotten then, and so are runs with
-    lost heartbeats once the next run has begun.
-    """
-    run = F.call_function("div", F.col("hb_seq") - 1, F.lit(SEQ_PER_STATE))
-    place = F.col("hb_seq") - run * SEQ_PER_STATE
-
-    def copy(to: Column, part: int) -> Column:
-        return F.struct(to.alias("run"), F.lit(part).alias("part"))
-
-    rows = heartbeats.select("executor_id", "hb_seq", "hb_ts", "processed")
-    timeout, edge = GroupStateTimeout.NoTimeout, 1
-    if watermark is not None:
-        rows = rows.withWatermark("hb_ts", watermark)
-        timeout, edge = GroupStateTimeout.EventTimeTimeout, min(EDGE, SEQ_PER_STATE)
-    seed = F.when(place > SEQ_PER_STATE - edge, copy(run + 1, _SEED))
-    copies = [copy(run, _OWN), seed]
-    if watermark is not None:
-        copies.append(F.when((place <= edge) & (run > 0), copy(run - 1, _NOTICE)))
-    to = F.filter(F.array(*copies), lambda x: x.isNotNull())
-    spread = rows.select("*", F.unix_micros("hb_ts").alias("hb_us"), F.inline(to))
-    update = _advance_timed if watermark is not None else _advance
-    reports = spread.groupBy("executor_id", "run").applyInPandasWithState(
-        update, _OUT, _STATE, "append", timeout
-    )
-    time = F.timestamp_micros("hb_us").alias("hb_ts")
-    return reports.select("executor_id", "hb_seq", time, "processed", "delta", "avg_rate", "gap")
-
-
-_KNOWN = {"hb_seq": "int64", "processed": "int64", "hb_us": "int64", "open": "bool"}
-
-
-def _recall(state: GroupState) -> tuple[int, bool, pd.DataFrame]:
-    """Bits of the reported numbers, whether the next run has begun, and the rows still needed."""
-    done, begun, *columns = state.get if state.exists else ("0", False, [], [], [], [])
-    known = {name: np.array(c, kind) for (name, kind), c in zip(_KNOWN.items(), columns)}
-    return int(done, 16), bool(begun), pd.DataFrame(known)
-
-
-def _remember(state: GroupState, done: int, begun: bool, rows: pd.DataFrame) -> None:
-    state.update((f"{done:x}", begun, *[rows[name].tolist() for name in _KNOWN]))
-
-
-def _bits(seqs, first: int) -> int:
-    bits = 0
-    for seq in seqs:
-        bits |= 1 << int(seq - first)
-    return bits
-
-
-def _report(executor_id: int, rows: pd.DataFrame, delta, gap: bool) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "executor_id": executor_id,
-            "hb_seq": rows["hb_seq"],
-            "hb_us": rows["hb_us"],
-            "processed": rows["processed"],
-            "delta": pd.array(delta, dtype="Int64"),
-            "avg_rate": rows["processed"] / rows["hb_seq"],
-            "gap": gap,
-        }
-    )
-
-
-def _advance(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timed: bool = False
-) -> Iterator[pd.DataFrame]:
-    """Report rows whose predecessor is in; remember those that are still open or still needed."""
-    done, begun, known = _recall(state)
-    first, finished = key[1] * SEQ_PER_STATE + 1, (1 << SEQ_PER_STATE) - 1
-    came = pd.concat(batches)
-    begun = begun or bool((came["part"] == _NOTICE).any())
-    came = came[came["part"] != _NOTICE]
-    came = came.assign(open=came["part"] == _OWN)
-    newest = int(came["hb_us"].max()) if len(came) else 0
-    # Numbers reported before are repeats; what comes before the run is needed for its first number only.
-    new = [not done >> max(int(seq - first), 0) & 1 for seq in came["hb_seq"]]
-    came = came[np.array(new, dtype=bool)]
-    rows = pd.concat([known, came[list(_KNOWN)].astype(_KNOWN)]) if len(came) else known
-    rows = rows.drop_duplicates("hb_seq").sort_values("hb_seq", ignore_index=True)
-    before = int((rows["hb_seq"] < first).sum())
-    rows = rows[max(before - 1, 0) :].reset_index(drop=True)  # the nearest earlier one is enough
-    seq, processed = rows["hb_seq"].to_numpy(), rows["processed"].to_numpy()
-    follows = np.r_[False, np.diff(seq) == 1][: len(seq)]
-    ready = rows["open"].to_numpy(dtype=bool) & (follows | (seq == 1))
-    delta = processed - np.where(follows, np.r_[0, processed[:-1]][: len(seq)], 0)
-    done |= _bits(seq[ready], first)
-    rows["open"] &= ~ready
-    followed = np.r_[follows[1:], False][: len(seq)]
-    needed = rows["open"] | ~followed
-    if done == finished:
-        needed &= False
-    if state.exists or len(rows) or done:
-        _remember(state, done, begun, rows[needed])
-        if timed:
-            state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs() + 1))
-    if ready.any():
-        yield _report(key[0], rows[ready], delta[ready], gap=False)
-
-
-def _advance_timed(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    return _close_gaps(key, state) if state.hasTimedOut else _advance(key, batches, state, timed=True)
-
-
-def _close_gaps(key: tuple, state: GroupState) -> Iterator[pd.DataFrame]:
-    """Report what waits for a lost predecessor; the newest row stays, for a heartbeat still to come.
-
-    Repeats of what was reported are older than the watermark now and do not come through.
-    """
-    done, begun, rows = _recall(state)
-    late = rows["open"].to_numpy(dtype=bool)
-    delta = rows["processed"].astype("Int64").diff()
-    first = key[1] * SEQ_PER_STATE + 1
-    done |= _bits(rows["hb_seq"][late], first)
-    if begun or done == (1 << SEQ_PER_STATE) - 1:
-        state.remove()
-    else:
-        _remember(state, done, begun, rows.tail(1).assign(open=False))
-    if late.any():
-        yield _report(key[0], rows[late], delta[late], gap=True)
-
-
-def run_available(stream: DataFrame, path: str) -> DataFrame:
-    """Write what an append-mode stream has now to files under `path`, and read it back."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True)
-        .start(f"{path}/rows")
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
-
-
 def latest_table(heartbeats: DataFrame, path: str, buckets: int = 64) -> DataFrame:
     """Take in what the stream has now, and read the latest record per executor so far.
 
@@ -283,31 +113,3 @@ def merged_reads_table(deps: DataFrame, path: str, order: Sequence[str] = ("upda
     )
     run_batches(deps, table.merge, path)
     return table.read_derived()
-
-
-def run_batches(stream: DataFrame, take_in: Callable[[DataFrame, int], None], path: str) -> None:
-    """Hand each batch that the stream has now to `take_in(batch, id)`; progress is kept under `path`."""
-    writer = stream.writeStream.foreachBatch(take_in).option("checkpointLocation", f"{path}/progress")
-    writer.trigger(availableNow=True).start().awaitTermination()
-
-
-def per_batch(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """`transform` of each batch that the stream has now, read back from files, with the `batch` it is from.
-
-    The transform is built anew for each batch, so tables that it opens are read as they are then. A batch
-    that is run again after a failure replaces its files; only complete ones are read.
-    """
-    spark = stream.sparkSession
-    schema = transform(spark.createDataFrame([], stream.schema)).schema
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-
-    run_batches(stream, write, path)
-    folder = Folder(spark, path)
-    done = [n for n in folder.names("rows") if "_SUCCESS" in folder.names(f"rows/{n}")]
-    if not done:
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
-    number = F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1).cast("long")
-    rows = spark.read.schema(schema).parquet(*[f"{path}/rows/{n}" for n in done])
-    return rows.select("*", number.alias("batch"))

@@ -7,7 +7,7 @@ to be in and a repetition does nothing. Readers take the newest list and see who
 
     path/data/batch=<id>/bucket=<k>/…     the buckets that this batch rewrote
     path/derived/batch=<id>/bucket=<k>/…  what is derived from each of them
-    path/lists/<id>.json                  {"batch": id, "data": {bucket: batch of its folder}, "derived": {…}}
+    path/lists/<id>.json                  {"batch": id, "data": {bucket: batch of its folder}, "derived": {…}, "note": …}
 
 Batch ids must grow, so a table belongs to one stream and its checkpoint.
 """
@@ -99,12 +99,12 @@ class KeyedTable:
         """The newest list: the last batch that is in, and the folder of each bucket."""
         published = [int(n.removesuffix(".json")) for n in self._folder().names("lists") if n.endswith(".json")]
         if not published:
-            return {"batch": -1, "data": {}, "derived": {}}
+            return {"batch": -1, "data": {}, "derived": {}, "note": None}
         return json.loads(self._folder().read(f"lists/{max(published)}.json"))
 
-    def _publish(self, batch: int, folders: dict[str, dict]) -> None:
+    def _publish(self, batch: int, content: dict) -> None:
         folder = self._folder()
-        folder.write_aside(f"lists/{batch}.json.part", json.dumps({"batch": batch} | folders))
+        folder.write_aside(f"lists/{batch}.json.part", json.dumps({"batch": batch} | content))
         folder.rename(f"lists/{batch}.json.part", f"lists/{batch}.json")
 
     def _clean(self) -> None:
@@ -154,8 +154,8 @@ class KeyedTable:
         chosen = rows.groupBy(*self.keys).agg(F.max(F.struct(*self.order, *rest)).alias("_newest"))
         return chosen.select(*self.keys, "_newest.*").select(*names)
 
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Take in a batch; if it is in already, nothing happens."""
+    def merge(self, batch: DataFrame, batch_id: int, note: object = None) -> None:
+        """Take in a batch; if it is in already, nothing happens. A short `note` is published with it."""
         now = self.current()
         if now["batch"] >= batch_id:
             return
@@ -172,7 +172,7 @@ class KeyedTable:
             # A bucket may have nothing to derive, and then has no folder.
             there = self._folder().names(f"derived/batch={batch_id}")
             derived |= {k: batch_id for k in changed if f"{_BUCKET}={k}" in there}
-        self._publish(batch_id, {"data": now["data"] | changed, "derived": derived})
+        self._publish(batch_id, {"data": now["data"] | changed, "derived": derived, "note": note})
         self._clean()
 
     def _write(self, kind: str, rows: DataFrame, batch_id: int) -> None:

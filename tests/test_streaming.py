@@ -7,6 +7,7 @@ from evenkeel import schemas
 from evenkeel.operators import telemetry
 from evenkeel.session import scratch_dir
 from evenkeel.sources import tables
+from evenkeel.streaming import batches, progress
 from evenkeel.streaming import heartbeats as live
 
 LOG = "executor_id long, hb_ts timestamp, hb_seq long, remaining long, processed long"
@@ -33,10 +34,9 @@ def reported(rows):
     return {(r.executor_id, r.hb_seq): (r.delta, r.avg_rate) for r in rows}
 
 
-@pytest.mark.parametrize("seq_per_state", [3, 1000])
+@pytest.mark.parametrize("run", [3, 1000])
 @pytest.mark.parametrize("order", ["in order", "mixed", "reversed"])
-def test_progress_is_exact_in_any_order(spark, monkeypatch, order, seq_per_state):
-    monkeypatch.setattr(live, "SEQ_PER_STATE", seq_per_state)
+def test_progress_is_exact_in_any_order(spark, order, run):
     beats = [beat(e, seq, seq * seq + e) for e in (1, 2) for seq in range(1, 9)]
     if order == "mixed":
         beats = beats[::3] + beats[1::3] + beats[2::3]
@@ -46,7 +46,7 @@ def test_progress_is_exact_in_any_order(spark, monkeypatch, order, seq_per_state
     for i in range(0, len(beats), 8):
         arrive(spark, source, beats[i : i + 8])
         stream = tables.stream_heartbeats(spark, source, maxFilesPerTrigger=1)
-        rows = live.run_available(live.stream_progress(stream), target)
+        rows = progress.progress_table(stream, target, run=run)
     rows = rows.collect()
     assert len(rows) == len(beats)
     assert reported(rows) == expected(beats)
@@ -59,7 +59,7 @@ def test_lost_heartbeat_is_reported_after_the_watermark(spark):
     def run(beats):
         arrive(spark, source, beats)
         stream = tables.stream_heartbeats(spark, source)
-        return live.run_available(live.stream_progress(stream, "5 minutes"), target).collect()
+        return progress.progress_table(stream, target, "5 minutes").collect()
 
     assert reported(run([beat(1, 1, 4), beat(1, 3, 9)])) == {(1, 1): (4, 4.0)}
     run([beat(2, 1, 0, minute=60)])
@@ -89,16 +89,16 @@ def test_refill_alerts(spark):
     stream = tables.stream_heartbeats(spark, source).withColumns(
         {"batch_size": F.lit(9), "pool_size": F.lit(1)}
     )
-    alerts = live.run_available(live.stream_refill_alerts(stream), scratch_dir(spark, "out"))
+    alerts = batches.run_available(live.stream_refill_alerts(stream), scratch_dir(spark, "out"))
     assert [r.executor_id for r in alerts.collect()] == [1]
 
 
-def progress_of(spark, *batches, watermark=None):
+def progress_of(spark, *parts, watermark=None, run=progress.RUN):
     source, target = scratch_dir(spark, "in"), scratch_dir(spark, "out")
-    for beats in batches:
+    for beats in parts:
         arrive(spark, source, beats)
         stream = tables.stream_heartbeats(spark, source, maxFilesPerTrigger=1)
-        rows = live.run_available(live.stream_progress(stream, watermark), target)
+        rows = progress.progress_table(stream, target, watermark, run=run)
     return rows.collect()
 
 
@@ -115,8 +115,7 @@ def test_repeats_do_not_finish_a_run(spark):
     assert not any(r.gap for r in rows)
 
 
-def test_lost_end_of_a_run(spark, monkeypatch):
-    monkeypatch.setattr(live, "SEQ_PER_STATE", 4)
+def test_lost_end_of_a_run(spark):
     beats = [beat(1, seq, 10 * seq) for seq in (1, 2, 3, 5, 6)]
     rows = progress_of(
         spark,
@@ -125,6 +124,7 @@ def test_lost_end_of_a_run(spark, monkeypatch):
         [beat(2, 2, 0, minute=61)],
         [beat(2, 3, 0, minute=62), beat(1, 7, 70, minute=62)],
         watermark="5 minutes",
+        run=4,
     )
     got = {(r.executor_id, r.hb_seq): (r.delta, r.gap) for r in rows if r.executor_id == 1}
     assert len(rows) == len(got) + 3
@@ -152,12 +152,12 @@ def test_every_load_has_a_stream(spark):
     source = scratch_dir(spark, "completions")
     log = spark.createDataFrame([(5, 1, START), (6, 2, START)], "item_id long, executor_id long, finish_ts timestamp")
     log.write.parquet(source)
-    got = live.run_available(tables.stream_completions(spark, source), scratch_dir(spark, "out"))
+    got = batches.run_available(tables.stream_completions(spark, source), scratch_dir(spark, "out"))
     assert sorted(r.item_id for r in got.collect()) == [5, 6]
     source = scratch_dir(spark, "task-metrics")
     metrics = spark.range(3).select(
         F.col("id").alias("task_id"), F.struct(F.lit("Disk").alias("read_method"), F.col("id").alias("bytes_read")).alias("input")
     )
     metrics.write.parquet(source)
-    got = live.run_available(tables.stream_task_metrics(spark, source), scratch_dir(spark, "out"))
+    got = batches.run_available(tables.stream_task_metrics(spark, source), scratch_dir(spark, "out"))
     assert sorted(r.input.bytes_read for r in got.collect()) == [0, 1, 2]
