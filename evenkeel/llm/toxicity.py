@@ -12,8 +12,9 @@ document's evidence, and a logistic curve fitted on labelled documents makes it
 Labels are learnt from at most `MAX_LABELLED` labelled rows (chosen by a hash of the id), never from those
 held out (crc32 of the id as text divisible by 5). The counts behind the prior are over all documents.
 Null and empty texts have no words and no evidence. Rows with equal ids are scored each; labels of an id
-count for all of its rows. Only ids and texts are read, and labels for learning. Without labelled rows of
-both kinds every score is that of no evidence.
+count for all of its rows. Only ids and texts are read, and labels for learning, so clashing names do no harm.
+Without labelled rows of both kinds every score is that of no evidence; an empty table gives no rows. A very
+long text is scored whole, in linear time. Of equally good passages the first and shortest counts.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ _BEGINNINGS = (4, 5, 6, 0)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    """A null id has no checksum and is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def features(w: Words) -> list[np.ndarray]:
@@ -144,9 +146,11 @@ def log_odds(toxic: DataFrame, harmless: DataFrame, docs: DataFrame) -> Model:
     a, b, c = (np.array([d.get(k, 0) for k in keys], dtype=np.float64) for d in (y1, y0, every))
     strength = 0.1 * (n0 + n1)
     prior = strength * np.maximum(c, 1) / total
-    odds = np.log((a + prior) / (n1 + strength - a - prior)) - np.log((b + prior) / (n0 + strength - b - prior))
+    # A feature that every document has leaves nothing on the other side.
+    rest1, rest0, rest = (np.maximum(x, 1e-9) for x in (n1 + strength - a - prior, n0 + strength - b - prior, n0 + strength - prior))
+    odds = np.log((a + prior) / rest1) - np.log((b + prior) / rest0)
     z = odds / np.sqrt(1 / (a + prior) + 1 / (b + prior))
-    reachable = np.log((a + prior) / (n1 + strength - a - prior)) - np.log(prior / (n0 + strength - prior))
+    reachable = np.log((a + prior) / rest1) - np.log(prior / rest)
     floor = np.minimum(MIN_ODDS, REACH * reachable)
     return Model(known, np.where((z >= MIN_Z) & (odds >= floor), odds, BACKGROUND))
 
