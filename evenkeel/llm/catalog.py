@@ -37,8 +37,8 @@ def query(build: Query) -> Query:
 
 @query
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontamination.find_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
-    return decontamination.digest(found)
+    docs, items = read(spark, folder, "documents"), read(spark, folder, "benchmark")
+    return decontamination.digest(decontamination.find_items(docs, items, near=decontamination.NEAR))
 
 
 @query

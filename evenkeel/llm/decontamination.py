@@ -6,9 +6,14 @@ segment the lists of a window's terms, each less the term's offset, are intersec
 is rarest in the whole corpus. Positions run on over the documents of a segment; a match that would
 cross from one document into the next does not count.
 
+Proximity matches are found on the same lists in the same pass: runs of so many words that hold all words
+of a window in any order, and hold them no more if shortened on either side.
+
 Terms are kept as 64-bit hashes. Null or empty texts have no words: they stand in the index with
-`n_words` 0 and match nothing. Repeated rows and ids stay separate documents of the index. Columns other
-than the id and the text are not read.
+`n_words` 0 and match nothing. Repeated rows and ids stay separate documents of the index. Of equally rare
+terms the first is looked up first, which changes no result. A very long text is a segment of its own. An
+empty table gives no rows, and no items match nothing. Columns other than the id and the text are not read,
+so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm._frames import map_arrow, stored
@@ -33,6 +38,8 @@ from evenkeel.llm._text import (
 
 #: Words in a window.
 WINDOW = 10
+#: Words within which the query looks for the words of a window in any order.
+NEAR = 15
 #: Windows that one pass over the index takes; a larger benchmark takes several passes.
 BLOCK_WINDOWS = 200_000
 #: Text of a segment. Rows stay small for the Parquet writer.
@@ -56,11 +63,14 @@ _MATCH = pa.schema(
         ("n_words", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ("windows", pa.list_(pa.int64())),
+        ("near_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ("near_windows", pa.list_(pa.int64())),
     ]
 )
 _MATCH_DDL = (
     "segment long, ordinal int, doc_id long, n_words long, "
-    "spans array<struct<start: long, end: long>>, windows array<long>"
+    "spans array<struct<start: long, end: long>>, windows array<long>, "
+    "near_spans array<struct<start: long, end: long>>, near_windows array<long>"
 )
 
 
@@ -188,45 +198,50 @@ def _phrase(segment: _Segment, terms: list[int], order: list[int]) -> tuple[np.n
 
 
 def _near(segment: _Segment, terms: list[int], order: list[int], within: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shortest runs of at most `within` words that hold all terms, as often as the window has them.
-
-    One run for each place of the rarest term that has one: the run that ends first.
-    """
-    need = {t: terms.count(t) for t in terms}
+    """All minimal runs of at most `within` words that hold all terms, as often as the window has them."""
+    need = {terms[i]: terms.count(terms[i]) for i in order}
     anchors = segment.positions(terms[order[0]])
     for term, times in need.items():
+        if len(anchors) == 0:
+            return anchors, anchors
         near = segment.positions(term)
         low = np.searchsorted(near, anchors - within + 1)
         high = np.searchsorted(near, anchors + within - 1, side="right")
         anchors = anchors[high - low >= times]
+    if len(anchors) == 0:
+        return anchors, anchors
+    # A run holds the rarest term, so it lies in the words around one of its places; regions that meet are one.
+    doc = segment.doc(anchors)
+    low = np.maximum(anchors - within + 1, segment.first[doc])
+    high = np.minimum(anchors + within, segment.first[doc + 1])
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (low[1:] > high[:-1])]
     starts, ends = [], []
-    for anchor in anchors:
-        doc = segment.doc(np.array([anchor]))[0]
-        low = max(anchor - within + 1, segment.first[doc])
-        high = min(anchor + within, segment.first[doc + 1])
+    for begin, end in zip(low[new].tolist(), high[np.r_[new[1:], True]].tolist()):
         around = []
         for term in need:
             p = segment.positions(term)
-            around += [(int(x), term) for x in p[np.searchsorted(p, low) : np.searchsorted(p, high)]]
+            around += [(x, term) for x in p[np.searchsorted(p, begin) : np.searchsorted(p, end)].tolist()]
         around.sort()
-        have, missing, left, best = dict.fromkeys(need, 0), len(terms), 0, None
+        have, missing, left, last = dict.fromkeys(need, 0), len(terms), 0, -1
         for at, term in around:
             missing -= have[term] < need[term]
             have[term] += 1
             while have[around[left][1]] > need[around[left][1]]:
                 have[around[left][1]] -= 1
                 left += 1
-            begin = around[left][0]
-            if missing == 0 and at - begin < within and begin <= anchor <= at:
-                if best is None or at - begin < best[1] - best[0] - 1:
-                    best = (begin, at + 1)
-        if best:
-            starts.append(best[0])
-            ends.append(best[1])
+            first = around[left][0]
+            # With the same beginning as the run before, that one would be within this one.
+            if missing == 0 and first > last:
+                last = first
+                if at - first < within:
+                    starts.append(first)
+                    ends.append(at + 1)
     return np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
 
 
-def _block_matches(index: DataFrame, block: list[tuple[int, list[int]]], counts: dict[int, int], within: int | None):
+def _block_matches(
+    index: DataFrame, block: list[tuple[int, list[int]]], counts: dict[int, int], within: int | None, near: int | None
+) -> DataFrame:
     """Matches of one block of windows (number, terms), for every document of the index."""
     by_anchor: dict[int, list[tuple[int, list[int], list[int]]]] = {}
     for number, terms in block:
@@ -242,42 +257,56 @@ def _block_matches(index: DataFrame, block: list[tuple[int, list[int]]], counts:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 segment = _Segment(row)
-                all_starts, all_ends, numbers = [], [], []
+                found, around = _Found(segment), _Found(segment)
                 for anchor in known[_among(known, segment.terms)]:
                     for number, terms, order in anchors[int(anchor)]:
                         if within is None:
-                            starts, ends = _phrase(segment, terms, order)
+                            found.add(number, *_phrase(segment, terms, order))
                         else:
-                            starts, ends = _near(segment, terms, order, within)
-                        if len(starts):
-                            all_starts.append(starts)
-                            all_ends.append(ends)
-                            numbers.append(np.full(len(starts), number))
-                yield _matches_by_doc(row, segment, all_starts, all_ends, numbers)
+                            found.add(number, *_near(segment, terms, order, within))
+                        if near is not None:
+                            around.add(number, *_near(segment, terms, order, near))
+                n = len(segment.n_words)
+                columns = [row["segment"]] * n, np.arange(n, dtype=np.int32), row["doc_ids"], segment.n_words
+                yield to_batch(_MATCH, [*columns, *found.by_doc(), *around.by_doc()])
 
     return map_arrow(index, work, _MATCH_DDL)
 
 
-def _matches_by_doc(row: dict, segment: _Segment, starts: list, ends: list, numbers: list) -> pa.RecordBatch:
-    n = len(segment.n_words)
-    spans: list[list] = [[] for _ in range(n)]
-    found: list[list] = [[] for _ in range(n)]
-    if starts:
-        s, e, k = np.concatenate(starts), np.concatenate(ends), np.concatenate(numbers)
-        order = np.argsort(s, kind="stable")
-        s, e, k = s[order], e[order], k[order]
-        docs = segment.doc(s)
-        for d, begin, end in zip(docs, s - segment.first[docs], e - segment.first[docs]):
-            merged = spans[d]
-            if merged and begin <= merged[-1]["end"]:
-                merged[-1]["end"] = max(merged[-1]["end"], int(end))
-            else:
-                merged.append({"start": int(begin), "end": int(end)})
-        for d, number in np.unique(np.stack([docs, k]), axis=1).T:
-            found[d].append(int(number))
-    return to_batch(
-        _MATCH, [[row["segment"]] * n, np.arange(n, dtype=np.int32), row["doc_ids"], segment.n_words, spans, found]
-    )
+class _Found:
+    """Matches in one segment."""
+
+    def __init__(self, segment: _Segment):
+        self.segment = segment
+        self.starts: list[np.ndarray] = []
+        self.ends: list[np.ndarray] = []
+        self.numbers: list[np.ndarray] = []
+
+    def add(self, number: int, starts: np.ndarray, ends: np.ndarray) -> None:
+        if len(starts):
+            self.starts.append(starts)
+            self.ends.append(ends)
+            self.numbers.append(np.full(len(starts), number))
+
+    def by_doc(self) -> tuple[list[list], list[list]]:
+        """Per document: the spans that matches cover, and the windows that match."""
+        segment, n = self.segment, len(self.segment.n_words)
+        spans: list[list] = [[] for _ in range(n)]
+        found: list[list] = [[] for _ in range(n)]
+        if self.starts:
+            s, e, k = (np.concatenate(x) for x in (self.starts, self.ends, self.numbers))
+            order = np.argsort(s, kind="stable")
+            s, e, k = s[order], e[order], k[order]
+            docs = segment.doc(s)
+            for d, begin, end in zip(docs, s - segment.first[docs], e - segment.first[docs]):
+                merged = spans[d]
+                if merged and begin <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], int(end))
+                else:
+                    merged.append({"start": int(begin), "end": int(end)})
+            for d, number in np.unique(np.stack([docs, k]), axis=1).T:
+                found[d].append(int(number))
+        return spans, found
 
 
 # Operator ------------------------------------------------------------------------------------------
@@ -288,6 +317,7 @@ def find_items(
     items: DataFrame,
     n: int = WINDOW,
     within: int | None = None,
+    near: int | None = None,
     block_windows: int = BLOCK_WINDOWS,
     doc_id: str = "doc_id",
     item_id: str = "item_id",
@@ -297,7 +327,8 @@ def find_items(
 
     `spans` are word ranges (start, end exclusive, not overlapping) covered by matches, `n_hit` their
     words, `items` the ids (as strings) of items with an occurring window. Exact phrases by default;
-    with `within`, a window's words in any order inside so many words.
+    with `within`, a window's words in any order inside so many words. With `near`, such runs are told beside
+    the matches, as `near_spans`, `n_near` and `near_items`; without it these are empty.
 
     The windows go to the driver and to the tasks in blocks of about `block_windows`, one pass over the
     index each. Items without words, or no items at all, match nothing; a null item id counts as an item
@@ -322,39 +353,52 @@ def find_items(
         rows = [(r[0], list(r[1])) for r in mine.select("number", "terms").collect()]
         asked = mine.select(F.explode("terms").alias("term")).distinct()
         counts = {r[0]: r[1] for r in term_counts(index).join(asked, "term", "left_semi").collect()}
-        parts.append(_block_matches(index, rows, counts, within))
+        parts.append(_block_matches(index, rows, counts, within, near))
     matches = parts[0]
     for part in parts[1:]:
         matches = matches.unionByName(part)
     matches = stored(matches, "matches")
 
-    # Window numbers become item ids; only documents with matches take part.
-    pairs = matches.select("segment", "ordinal", F.explode("windows").alias("number"))
-    hit_items = (
-        pairs.join(names, "number")
-        .select("segment", "ordinal", "item")
-        .distinct()
-        .groupBy("segment", "ordinal")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-    )
     keys = ["segment", "ordinal"]
     if n_blocks > 1:
+        pairs = (("spans", "windows"), ("near_spans", "near_windows"))
         matches = matches.groupBy(*keys).agg(
             F.first("doc_id").alias("doc_id"),
             F.first("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+            *[F.array_sort(F.flatten(F.collect_list(spans))).alias(spans) for spans, _ in pairs],
+            *[F.array_sort(F.flatten(F.collect_list(found))).alias(found) for _, found in pairs],
         )
-        matches = matches.withColumn("spans", _merged("spans"))
-    none = F.array().cast("array<string>")
-    return matches.join(hit_items, keys, "left").select(
+        matches = matches.withColumns({spans: _merged(spans) for spans, _ in pairs})
+    out = _with_items(_with_items(matches, "windows", "items", names), "near_windows", "near_items", names)
+    return out.select(
         "doc_id",
         "n_words",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"),
+        _length("spans").alias("n_hit"),
         "spans",
-        F.coalesce("items", none).alias("items"),
+        "items",
+        _length("near_spans").alias("n_near"),
+        "near_spans",
+        "near_items",
     )
 
 
+def _with_items(matches: DataFrame, windows: str, out: str, names: DataFrame) -> DataFrame:
+    """The ids of the items that a document's windows are of, as `out`.
+
+    Copies of a passage have the same windows, so each distinct set of windows is looked up once, however
+    many documents have it.
+    """
+    sets = matches.where(F.size(windows) > 0).select(windows).distinct()
+    each = sets.select(windows, F.explode(windows).alias("number")).join(names, "number").select(windows, "item")
+    of_set = each.distinct().groupBy(windows).agg(F.array_sort(F.collect_list("item")).alias(out))
+    none = F.array().cast("array<string>")
+    return matches.join(of_set, windows, "left").withColumn(out, F.coalesce(out, none))
+
+
+def _length(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
+
 def _merged(spans: str):
     """Sorted spans with overlapping and touching ones made one."""
     empty = F.array().cast("array<struct<start: long, end: long>>")
@@ -382,4 +426,6 @@ def digest(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
+        F.size("near_items").cast("long").alias("n_near_items"),
     )

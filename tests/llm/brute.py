@@ -96,3 +96,27 @@ def secrets(docs: list[tuple]) -> list[tuple]:
         named = ",".join(f"{SECRETS[k][0]}:{s}:{e}" for s, k, e in found)
         out.append((doc, *(sum(k == j for _, k, _ in found) for j in range(3)), sha(named)))
     return out
+
+def near_words(docs, items, within, n=10):
+    """(doc_id, words in minimal runs that hold a window's words, items with one), by trying every run."""
+    windows = defaultdict(set)
+    for item, text in items:
+        w = ALNUM.findall(lower(text))
+        for k in range(max(1, len(w) - n + 1) if w else 0):
+            windows[tuple(sorted(w[k : k + n]))].add(item)
+    out = []
+    for doc, text in docs:
+        w, hit, found = ALNUM.findall(lower(text)), set(), set()
+        for window, names in windows.items():
+            need = Counter(window)
+            for i in range(len(w)):
+                for j in range(i + 1, min(len(w), i + within) + 1):
+                    here = Counter(w[i:j])
+                    if not need - here:
+                        # Minimal: neither end can go.
+                        if need - Counter(w[i + 1 : j]) and need - Counter(w[i : j - 1]):
+                            hit.update(range(i, j))
+                            found |= names
+                        break
+        out.append((doc, len(hit), len({x for x in found if x is not None})))
+    return out

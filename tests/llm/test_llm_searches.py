@@ -1,5 +1,7 @@
 """Operators 1, 2 and 9 against brute force."""
 
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -48,6 +50,30 @@ def test_proximity(spark):
     ]
 
 
+@pytest.mark.parametrize("block_windows", [3, 100_000])
+def test_proximity_beside_phrases(spark, same, block_windows):
+    """Shuffled and stretched passages, repeated words, shared windows, and copies of all of it."""
+    rng = random.Random(block_windows)
+    items = [(k, " ".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))) for k in range(12)] + [(3, "a b a"), (None, "c c"), (5, None)]
+    docs = []
+    for k in range(60):
+        w = rng.choices("abcdefghxyz", k=rng.randint(0, 30))
+        docs.append((k, " ".join(w)))
+        if k % 4 == 0:
+            docs += [(100 + k, docs[-1][1])] * 2
+    docs += [(None, "a b a"), (900, None), (901, "")]
+    found = decontamination.find_items(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+        n=4, near=7, block_windows=block_windows,
+    )
+    got = decontamination.digest(found)
+    same(got, brute.near_words(docs, items, 7, 4), "doc_id", "n_near", "n_near_items")
+    expected = brute.contamination(docs, items, 4)
+    assert sum(r[2] > 0 for r in expected) > 10
+    same(got, expected, *HITS)
+
+
 def test_substring_dedup(docs, pairs, same):
     expected = brute.repeats(pairs)
     assert sum(r[2] > 0 for r in expected) > 30 and sum(0 < r[2] < r[1] for r in expected) > 10
