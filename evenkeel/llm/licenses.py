@@ -8,7 +8,9 @@ an ordered run of identifiers that must follow each other, with nothing known in
 come first and a rule inside a matched longer one does not count by itself.
 
 Only known sentences leave the scan, so little is shuffled. The known sentences are one fixed pattern.
-A null or empty text has no sentences. Repeated rows are matched each.
+A null or empty text has no sentences. Repeated rows are matched each. A very long text is one string of its
+task, with a row for each known sentence only. Of rules with equally many sentences the earlier one counts. An
+empty table gives no rows. Columns other than the text are not looked at, so clashing names do no harm.
 """
 
 from __future__ import annotations

@@ -18,8 +18,11 @@ bounds the symmetric difference from below; only pairs of different components t
 All pairs are verified on the sets themselves.
 
 Shingles are 64-bit hashes, sets of equal hashes are one set. Documents without words have an empty set
-and are linked with nothing. Rows with the same id stay separate rows; a null id is never a
-`component_id` unless it stands alone.
+and are linked with nothing. Rows with the same id stay separate rows, repeated rows too; a null id is never
+a `component_id` unless it stands alone. A very long text is a chunk of its own and read whole. Of sets that
+are equally near the middle of a group the one with the smaller id is tested first, which changes no result.
+An empty table gives no rows. Columns other than the id and the text are not read, so clashing names do no
+harm.
 """
 
 from __future__ import annotations

@@ -3,7 +3,9 @@
 Every measure is a column expression over the whole text; no user function runs. A text is split into
 words and lines once and the measures are read off these arrays. A null or empty text has no words and
 fails the length rule. Rows stay rows: repeated ids and texts each get their verdict. Columns of the
-input are kept where asked for, under their names; measures come in one struct column.
+input are kept where asked for, under their names; measures come in one struct column, under a free name. A
+very long text is measured whole, in one row of its task. A measure equal to its threshold passes. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

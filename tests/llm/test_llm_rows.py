@@ -305,6 +305,22 @@ def test_wrapped_licences(spark, leader):
     assert {r.doc_id: r.licenses for r in got} == {r[0]: r[2] for r in rows}
 
 
+def test_very_long_texts(spark):
+    """Texts of a few megabytes, with what is looked for at both ends."""
+    menu = "home | about | contact"
+    middle = "\n".join(f"line {k} of a very long text" for k in range(120_000))
+    long = f"{menu}\nReleased under the MIT License.\n{middle}\nLicensed under CC BY-NC 4.0.\n{menu}"
+    rows = [(0, long, "site0")] + [(k, f"{menu}\nown {k}", f"site{k}") for k in range(1, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned = line_dedup.remove_boilerplate(docs).where("doc_id = 0").first()
+    assert cleaned.n_removed == 2 and cleaned.n_lines == 120_004
+    assert cleaned.text == long.removeprefix(menu + "\n").removesuffix("\n" + menu)
+    assert licenses.digest(docs).where("doc_id = 0").first().licenses == "MIT,CC-BY-NC-4.0"
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    scored = {r.doc_id: r.score for r in toxicity.digest(toxicity.score(docs, toxicity.fit(docs, labels))).collect()}
+    assert len(scored) == 12 and all(0 <= x <= 1 for x in scored.values())
+
+
 def test_maximal_segments_against_all_segments():
     rng = random.Random(7)
 
