@@ -92,8 +92,8 @@ class Bands:
         return self._distance(size + size * 100 // self.percent)
 
 
-def _sets(texts: pa.Array, n: int, bands: Bands) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, id, sorted shingles) of every text with words. The id is 56 bits of hash and the size step."""
+def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, id, sorted shingles) of every text with words. The id is a 64-bit hash of all of them."""
     w = words(texts, lower=True)
     hashes = word_hashes(w)
     starts, ends, _ = ngram_ranges(w.first, n, short=True)
@@ -104,8 +104,7 @@ def _sets(texts: pa.Array, n: int, bands: Bands) -> Iterator[tuple[int, int, np.
     for row in np.flatnonzero(counts):
         found = np.unique(shingles[at[row] : at[row + 1]])
         both = np.array([found.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found))], dtype=np.uint64)
-        total = int(mix(mix(both[:1]) * np.uint64(3) + both[1:])[0])
-        yield int(row), (total & ~0xFF | bands.step(len(found))), found
+        yield int(row), int(mix(mix(both[:1]) * np.uint64(3) + both[1:])[0]), found
 
 
 def _signed(x: int) -> int:
@@ -134,13 +133,12 @@ def parity_sketch(found: np.ndarray) -> np.ndarray:
 def shingle_sets(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, sid) of every row; `sid` stands for the set and is null for an empty one."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64())])
-    bands = Bands(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             sizes = [0] * chunk.num_rows
             ids: list[int | None] = [None] * chunk.num_rows
-            for row, sid, found in _sets(chunk.column("text"), n, bands):
+            for row, sid, found in _sets(chunk.column("text"), n):
                 sizes[row], ids[row] = len(found), _signed(sid)
             yield to_batch(schema, [chunk.column("doc_id"), sizes, ids])
 
@@ -148,42 +146,43 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> D
 
 
 def _packed_words(docs: DataFrame, n: int, percent: int, slices: int) -> DataFrame:
-    """Sketch words of all sets by slice: 32 bits of the word, the set, the band."""
+    """Sketch words of all sets by slice: 32 bits of the word, the set, the band and the size step."""
     bands = Bands(percent)
-    schema = pa.schema([("slice", pa.int32()), ("words", pa.binary()), ("sids", pa.binary()), ("bands", pa.binary())])
+    schema = pa.schema([("slice", pa.int32())] + [(c, pa.binary()) for c in ("words", "sids", "bands", "steps")])
 
     def pack(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        flat = [(sid, band, k) for sid, pairs in held.items() for band, k in pairs]
+        flat = [(sid, band, step, k) for sid, pairs in held.items() for band, step, k in pairs]
         keys = np.concatenate([k for *_, k in flat])
         lengths = [len(k) for *_, k in flat]
         sids = np.repeat(np.array([s for s, *_ in flat], dtype=np.uint64), lengths)
-        in_band = np.repeat(np.array([b for _, b, _ in flat], dtype=np.uint8), lengths)
+        in_band, steps = (np.repeat(np.array([x[i] for x in flat], dtype=np.uint8), lengths) for i in (1, 2))
         place = ((keys >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
-        rows = list(by_slice(place, keys.astype(np.uint32), sids, in_band))
+        rows = list(by_slice(place, keys.astype(np.uint32), sids, in_band, steps))
         yield to_batch(schema, [list(c) for c in zip(*rows)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         gathered = 0
         for chunk in chunks(batches):
-            for _, sid, found in _sets(chunk.column("text"), n, bands):
+            for _, sid, found in _sets(chunk.column("text"), n):
                 if sid not in held:
-                    held[sid] = [(b, sketch_words(found, b, int(bands.parts[b]))) for b in bands.of(len(found))]
-                    gathered += sum(len(k) for _, k in held[sid])
+                    step = bands.step(len(found))
+                    held[sid] = [(b, step, sketch_words(found, b, int(bands.parts[b]))) for b in bands.of(len(found))]
+                    gathered += sum(len(k) for *_, k in held[sid])
             if gathered >= _FLUSH:
                 yield from pack(held)
                 held, gathered = {}, 0
         if held:
             yield from pack(held)
 
-    return map_arrow(docs, work, "slice int, words binary, sids binary, bands binary")
+    return map_arrow(docs, work, "slice int, words binary, sids binary, bands binary, steps binary")
 
 
 def _repeated_words(packed: DataFrame, slices: int) -> DataFrame:
     """Words that two or more sets have, with the number of these sets, packed by set."""
     schema = pa.schema(
         [("part", pa.int32()), ("slice", pa.int32())]
-        + [(c, pa.binary()) for c in ("words", "sids", "bands", "counts")]
+        + [(c, pa.binary()) for c in ("words", "sids", "bands", "steps", "counts")]
     )
 
     def work(table: pa.Table) -> pa.Table:
@@ -191,22 +190,22 @@ def _repeated_words(packed: DataFrame, slices: int) -> DataFrame:
             return schema.empty_table()
         number = table.column("slice")[0].as_py()
         keys, sids = unpack(table.column("words"), np.uint32), unpack(table.column("sids"), np.uint64)
-        in_band = unpack(table.column("bands"), np.uint8)
+        in_band, steps = (unpack(table.column(c), np.uint8) for c in ("bands", "steps"))
         order = np.lexsort((sids, keys))
-        keys, sids, in_band = keys[order], sids[order], in_band[order]
+        keys, sids, in_band, steps = keys[order], sids[order], in_band[order], steps[order]
         new_key = np.diff(keys, prepend=~keys[:1]) != 0
         first = new_key | (np.diff(sids, prepend=~sids[:1]) != 0)
-        keys, sids, in_band, new_key = keys[first], sids[first], in_band[first], new_key[first]
+        keys, sids, in_band, steps, new_key = keys[first], sids[first], in_band[first], steps[first], new_key[first]
         begins = np.flatnonzero(new_key)
         counts = np.diff(np.append(begins, len(keys)))
         counts = np.repeat(counts, counts).astype(np.uint32)
         often = counts > 1
-        keys, sids, in_band, counts = keys[often], sids[often], in_band[often], counts[often]
-        place = ((sids >> np.uint64(8)) % np.uint64(slices)).astype(np.int64)
-        rows = [(p, number, *c) for p, *c in by_slice(place, keys, sids, in_band, counts)]
+        keys, sids, in_band, steps, counts = keys[often], sids[often], in_band[often], steps[often], counts[often]
+        place = (sids % np.uint64(slices)).astype(np.int64)
+        rows = [(p, number, *c) for p, *c in by_slice(place, keys, sids, in_band, steps, counts)]
         return pa.Table.from_batches([to_batch(schema, [list(c) for c in zip(*rows)])] if rows else [], schema)
 
-    ddl = "part int, slice int, words binary, sids binary, bands binary, counts binary"
+    ddl = "part int, slice int, words binary, sids binary, bands binary, steps binary, counts binary"
     return packed.groupBy("slice").applyInArrow(work, ddl)
 
 
@@ -219,16 +218,17 @@ def _joined_words(repeated: DataFrame, percent: int) -> DataFrame:
         if table.num_rows == 0:
             return schema.empty_table()
         low, sids = unpack(table.column("words"), np.uint32), unpack(table.column("sids"), np.uint64)
-        in_band, counts = unpack(table.column("bands"), np.uint8), unpack(table.column("counts"), np.uint32)
+        in_band, steps = (unpack(table.column(c), np.uint8) for c in ("bands", "steps"))
+        counts = unpack(table.column("counts"), np.uint32)
         lengths = [len(x.as_py()) // 4 for x in table.column("words")]
         high = np.repeat(np.array(table.column("slice").to_pylist(), dtype=np.uint64), lengths)
         keys = (high << np.uint64(32)) | low
         order = np.lexsort((keys, counts, in_band, sids))
-        keys, sids, in_band = keys[order], sids[order], in_band[order]
+        keys, sids, in_band, steps = keys[order], sids[order], in_band[order], steps[order]
         new = (np.diff(sids, prepend=~sids[:1]) != 0) | (np.diff(in_band.astype(np.int16), prepend=-1) != 0)
         begins = np.flatnonzero(new)
         found = np.diff(np.append(begins, len(keys)))
-        band, step = in_band[begins].astype(np.int64), (sids[begins] & np.uint64(0xFF)).astype(np.int64)
+        band, step = in_band[begins].astype(np.int64), steps[begins].astype(np.int64)
         prefix = np.minimum(bands.reach(step), bands.distance[band]) + 1
         own = bands.parts[band] - found
         take = np.maximum(prefix - own, 0)
@@ -267,14 +267,13 @@ def candidate_sets(docs: DataFrame, groups: DataFrame, n: int = SHINGLE, percent
 
     maps = _sketch.merge(map_arrow(sids, cells, _sketch.SPARSE_DDL), bits, 1, 1)
     shared = docs.sparkSession.sparkContext.broadcast(maps)
-    bands = Bands(percent)
     schema = pa.schema(
         [("sid", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("shingles", pa.binary())]
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            found = {sid: s for _, sid, s in _sets(chunk.column("text"), n, bands)}
+            found = {sid: s for _, sid, s in _sets(chunk.column("text"), n)}
             ids = np.fromiter(found, dtype=np.uint64, count=len(found))
             chosen = ids[_sketch.holds(shared.value, mix(ids), bits)]
             sets = [found[int(i)] for i in chosen]
