@@ -889,9 +889,9 @@ def steal_round(t: Tables) -> DataFrame:
     return queues.select("item_id", "queue_id", "pos")
 
 
-# Thieves have less than half of the average left. Needs `latest`.
+# Thieves have less than the average left. Needs `latest`.
 _MATCHED_SQL = """,
-asked AS (SELECT executor_id, remaining, remaining * 2 < (SELECT avg(remaining) FROM latest) AS asks FROM latest),
+asked AS (SELECT executor_id, remaining, remaining < (SELECT avg(remaining) FROM latest) AS asks FROM latest),
 matched AS (
   SELECT v.executor_id AS victim_id, t.executor_id AS thief_id, v.rank
   FROM (SELECT *, row_number() OVER (ORDER BY remaining DESC, executor_id) AS rank FROM asked
@@ -904,7 +904,7 @@ matched AS (
 def match_by_rank(t: Tables) -> DataFrame:
     latest = _latest(t, "remaining", store=True)
     average = latest.agg(F.avg("remaining").alias("a")).scalar()
-    return ranking.match_by_rank(latest, F.col("remaining") * 2 < average)
+    return ranking.match_by_rank(latest, F.col("remaining") < average)
 
 
 @_query(
@@ -919,7 +919,7 @@ def steal_round_by_rank(t: Tables) -> DataFrame:
     """The items open at the end of the log, after a round in which each thief has a victim of its own."""
     latest = _latest(t, "remaining", store=True)
     average = latest.agg(F.avg("remaining").alias("a")).scalar()
-    queues, _ = flows.steal_rounds(latest, t.open_items(), F.col("remaining") * 2 < average, rounds=1)
+    queues, _ = flows.steal_rounds(latest, t.open_items(), F.col("remaining") < average, rounds=1)
     return queues.select("item_id", "queue_id", "pos")
 
 
