@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet to the
 shared folder and read again as the next stage's `docs`. All stages but the last return the columns of
-their input. Null ids, empty texts and repeated rows pass through as each operator says; rows that are
-equal in id and text are one document from the near-duplicate stage on.
+their input. Null ids, empty and very long texts and ties pass through as each operator says; rows that are
+equal in id and text are one document from the near-duplicate stage on. An empty table gives no rows. Names of
+columns that the stages add for a while are chosen free of those of `documents`.
 """
 
 from __future__ import annotations
