@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm._frames import map_arrow, stored
+from evenkeel.llm._frames import join_counted, map_arrow, stored
 from evenkeel.llm._text import (
     LETTER_OR_DIGIT,
     chunks,
@@ -386,13 +386,18 @@ def _with_items(matches: DataFrame, windows: str, out: str, names: DataFrame) ->
     """The ids of the items that a document's windows are of, as `out`.
 
     Copies of a passage have the same windows, so each distinct set of windows is looked up once, however
-    many documents have it.
+    many documents have it. Documents without windows take no part, and sets that very many have are
+    broadcast.
     """
-    sets = matches.where(F.size(windows) > 0).select(windows).distinct()
+    has = matches.where(F.size(windows) > 0)
+    sets = has.groupBy(windows).agg(F.count("*").alias("n"))
     each = sets.select(windows, F.explode(windows).alias("number")).join(names, "number").select(windows, "item")
     of_set = each.distinct().groupBy(windows).agg(F.array_sort(F.collect_list("item")).alias(out))
     none = F.array().cast("array<string>")
-    return matches.join(of_set, windows, "left").withColumn(out, F.coalesce(out, none))
+    # A set whose items have no names is among them too.
+    table = stored(sets.join(of_set, windows, "left").withColumn(out, F.coalesce(out, none)), "window-sets")
+    rest = matches.where(F.size(windows) == 0).withColumn(out, none)
+    return join_counted(has, table, windows, "n").unionByName(rest)
 
 
 def _length(spans: str) -> Column:
