@@ -303,6 +303,78 @@ def test_wrapped_licences(spark, leader):
     rows.append((len(rows), f"{leader}Licensed under the Apache License, Version 2.0\n{leader}and more", "Apache-2.0"))
     got = licenses.digest(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert {r.doc_id: r.licenses for r in got} == {r[0]: r[2] for r in rows}
+    assert {(r.doc_id, r.n_sentences, r.licenses) for r in got} == set(licences_by_sql([r[:2] for r in rows]))
+
+
+def licences_by_sql(rows):
+    import pandas as pd
+
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"text": "object"}))
+    return [tuple(r) for r in db.sql(licenses.SQL).fetchall()]
+
+
+def test_every_licence_rule_on_wrapped_text(spark):
+    """Each rule's sentences, in a file of their own, between other text."""
+    rng = random.Random(3)
+    rows, expected = [], {}
+    for i, rule in enumerate(licenses.ALL_RULES):
+        leader, width = rng.choice(["", " * ", "# ", "// ", "    "]), rng.choice([40, 60, 72, 80])
+        paragraphs = ["Copyright 2020 A", *(licenses.ALL_SENTENCES[k] + "." for k in rule.sentences), "int main() {}"]
+        lines = [x for p in paragraphs for x in [*textwrap.wrap(p, width, break_on_hyphens=False, break_long_words=False), ""]]
+        rows.append((i, "".join(f"{leader}{x}\n" for x in lines)))
+        expected[i] = (len(rule.sentences), rule.licence)
+    got = {
+        r.doc_id: (r.n_sentences, r.licenses)
+        for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    assert got == expected
+    assert {k: (n, names) for k, n, names in licences_by_sql(rows)} == expected
+    assert len({r.licence for r in licenses.ALL_RULES}) >= 40
+
+
+def test_licence_sentences_against_every_run_of_words(spark):
+    """Short sentences that overlap and hold each other, against all runs of words of random texts."""
+    rng = random.Random(8)
+    known = {1: "a b", 2: "a b c", 3: "b c", 4: "c a", 5: "a b c a", 6: "b"}
+    gaps = [" ", " ", " ", "\n", "\n * ", ". ", ".", "!\n", "  ", ", ", "\n\n", "?\t", " .x "]
+    rows = [(i, "".join(rng.choice("aAbBcC") + rng.choice(gaps) for _ in range(rng.randint(0, 30)))) for i in range(400)]
+    rows += [(400, None), (401, ""), (402, " . "), (403, "a b\u00e9c"), (404, "\u212a a\nb c")]
+
+    def plain(text):
+        import re
+
+        found, words, gap, at = [], [], [""], 0
+        for m in re.finditer("[a-zA-Z0-9]+", text or ""):
+            gap[-1] = text[at : m.start()]
+            words.append(m.group().lower())
+            gap.append("")
+            at = m.end()
+        n = len(words)
+        mark = [re.search(r"[.!?][\x20\x09-\x0d]", g) is not None for g in gap]
+        edge = [i in (0, n) or mark[i] or "\n" in gap[i] for i in range(n + 1)]
+        contents = {v: k for k, v in known.items()}
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                k = contents.get(" ".join(words[i:j]))
+                if k and edge[i] and edge[j] and not any(mark[i + 1 : j]):
+                    found.append((k, i, j))
+        return [x for x in found if not any(y != x and y[1] <= x[1] and y[2] >= x[2] for y in found)]
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rules = (licenses.Rule("both", (2, 6)), licenses.Rule("one", (5,)))
+    got = {r.doc_id: ([tuple(x) for x in r.found], r.licenses) for r in licenses.find_licenses(docs, known, rules).collect()}
+    for i, text in rows:
+        expected = plain(text)
+        assert got[i] == (expected, licenses.match_rules([k for k, _, _ in expected], rules)), text
+    assert sum(len(x) > 1 for x, _ in got.values()) > 100
+    assert {n for _, names in got.values() for n in names} == {"both", "one"}
+
+
+def test_licence_rules_take_longer_runs_out():
+    rules = (licenses.Rule("short", (1,)), licenses.Rule("long", (1, 2)), licenses.Rule("short", (3,)))
+    cases = {(1, 2): ["long"], (1, 2, 1): ["long", "short"], (2, 1): ["short"], (3, 1): ["short"], (): [], (1, 9, 2): ["short"]}
+    assert {k: licenses.match_rules(k, rules) for k in cases} == cases
 
 
 def test_very_long_texts(spark):
