@@ -9,7 +9,10 @@ solved from the harmless tokens and its scale from the harmless documents, which
 expected number of chance passages as good. Passages below `EXPECTED` are toxic ones; their sum is the
 document's evidence, and a logistic curve fitted on labelled documents makes it a probability.
 
-Labels are learnt from at most `MAX_LABELLED` labelled rows (chosen by a hash of the id), never from those
+How significant log-odds must be is chosen among `SETTINGS` without the rows that are held out: models of three
+quarters of the learnable rows judge the last quarter, and the setting with the fewest errors there, each kind
+weighing the same, is taken for the model of all of them (equal errors: the smallest logistic loss, then the
+first). Labels are learnt from at most `MAX_LABELLED` labelled rows (chosen by a hash of the id), never from those
 held out (crc32 of the id as text divisible by 5). The counts behind the prior are over all documents.
 Null and empty texts have no words and no evidence. Rows with equal ids are scored each; labels of an id
 count for all of its rows. Only ids and texts are read, and labels for learning, so clashing names do no harm.
@@ -32,18 +35,21 @@ from evenkeel.llm._text import LETTER_OR_DIGIT, Words, beginning_hashes, chunks,
 
 #: Labelled rows that a model is fitted on, about.
 MAX_LABELLED = 200_000
-#: Labelled toxic documents that a feature needs, its z-score and its log-odds. Smaller log-odds come from
-#: languages and topics that are unevenly labelled.
+#: Labelled toxic documents that a feature needs.
 MIN_COUNT = 5
-MIN_Z = 2.0
-MIN_ODDS = 3.0
+#: The smallest z-score and log-odds of a feature. Smaller log-odds come from languages and topics that are unevenly
+#: labelled. The first is taken where too few rows are labelled to choose.
+SETTINGS = ((2.0, 3.0), (2.0, 2.0), (2.0, 2.5), (2.0, 3.5), (4.0, 2.5), (4.0, 3.0))
 #: The prior caps log-odds, the more so the more documents are toxic. So this share of what a feature would
-#: have without harmless documents is enough, where that is less than `MIN_ODDS`.
+#: have without harmless documents is enough, where that is less than the setting's.
 REACH = 0.8
 #: Score of a token without significant log-odds.
 BACKGROUND = -0.1
 #: Chance passages in a text of this length, at most, for a passage to count as toxic.
 EXPECTED = 0.05
+#: Kinds of rows: without a label, harmless and toxic ones to learn from, and those that judge settings.
+UNKNOWN, HARMLESS, TOXIC, HARMLESS_JUDGE, TOXIC_JUDGE = range(5)
+_KINDS = 5
 #: Bytes of the beginnings that stand in for rare words; 0 is the whole word.
 _BEGINNINGS = (4, 5, 6, 0)
 
@@ -82,38 +88,48 @@ def _text_words(chunk: pa.RecordBatch) -> Words:
 
 
 def feature_counts(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """(feature, n): documents that have a feature, for all features or the `known` ones.
+    """(feature, n0 to n4): documents of each `kind` that have a feature, for all features or the `known` ones.
 
     A document counts once for a feature, so that no text gains weight by repeating itself. A row with
     feature null has the number of documents with words.
     """
-    schema = pa.schema([("feature", pa.int64()), ("n", pa.int64())])
+    names = [f"n{k}" for k in range(_KINDS)]
+    schema = pa.schema([(c, pa.int64()) for c in ["feature", *names]])
     shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if shared is None else shared.value
         table = None if wanted is None else _table(wanted)
-        totals = None if wanted is None else np.zeros(len(wanted), dtype=np.int64)
-        n_docs = 0
+        totals = None if wanted is None else np.zeros((len(wanted), _KINDS), dtype=np.int64)
+        n_docs = np.zeros(_KINDS, dtype=np.int64)
         for chunk in chunks(batches):
             w = _text_words(chunk)
-            n_docs += int((np.diff(w.first) > 0).sum())
+            kind = chunk.column("kind").to_numpy()
+            n_docs += np.bincount(kind[np.diff(w.first) > 0], minlength=_KINDS)
             doc = np.repeat(np.arange(chunk.num_rows), np.diff(w.first))
             if wanted is None:
                 hashes = features(w)
-                rows = np.unique(np.stack([np.concatenate(hashes), np.tile(doc, len(hashes)).astype(np.uint64)]), axis=1)
-                unique, counts = np.unique(rows[0], return_counts=True)
-                yield to_batch(schema, [unique.view(np.int64), counts])
+                all_hashes, all_docs = np.concatenate(hashes), np.tile(doc, len(hashes))
+                order = np.lexsort((all_docs, all_hashes))
+                all_hashes, all_docs = all_hashes[order], all_docs[order]
+                new = np.diff(all_hashes, prepend=~all_hashes[:1]) != 0
+                once = new | (np.diff(all_docs, prepend=-1) != 0)
+                number = np.cumsum(new)[once] - 1
+                counts = np.bincount(number * _KINDS + kind[all_docs[once]], minlength=int(new.sum()) * _KINDS)
+                yield to_batch(schema, [all_hashes[new].view(np.int64), *counts.reshape(-1, _KINDS).T])
             elif len(wanted):
                 for hashes in features(w):
                     at, place = _find(wanted, hashes, table)
                     pairs = np.unique(doc[at] * len(wanted) + place)
-                    totals += np.bincount(pairs % len(wanted), minlength=len(wanted))
-        yield to_batch(schema, [[None], [n_docs]])
+                    cells = pairs % len(wanted) * _KINDS + kind[pairs // len(wanted)]
+                    totals += np.bincount(cells, minlength=totals.size).reshape(-1, _KINDS)
+        yield to_batch(schema, [[None], *([n] for n in n_docs)])
         if wanted is not None:
-            yield to_batch(schema, [wanted[totals > 0].view(np.int64), totals[totals > 0]])
+            met = totals.sum(axis=1) > 0
+            yield to_batch(schema, [wanted[met].view(np.int64), *totals[met].T])
 
-    return map_arrow(docs, work, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = map_arrow(docs.select("text", "kind"), work, ", ".join(f"{c} long" for c in schema.names))
+    return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names])
 
 
 @dataclass
@@ -128,44 +144,51 @@ class Model:
     middle: float = -3.0
 
 
-def _collected(counts: DataFrame) -> tuple[dict[int, int], int]:
-    found = {r[0]: r[1] for r in counts.collect()}
-    return found, found.pop(None, 0)
+def log_odds(a, b, every, n1: int, n0: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds of features that `a` of n1 toxic, `b` of n0 harmless and `every` of all documents have.
 
-
-def log_odds(toxic: DataFrame, harmless: DataFrame, docs: DataFrame) -> Model:
-    """Significant log-odds of the features of labelled toxic text."""
-    often = feature_counts(toxic).where(f"feature IS NULL OR n >= {MIN_COUNT}")
-    y1, n1 = _collected(often)
-    known = np.sort(np.fromiter(y1, dtype=np.int64, count=len(y1)).view(np.uint64))
-    y0, n0 = _collected(feature_counts(harmless, known))
-    every, total = _collected(feature_counts(docs, known))
-    if not n0 or not n1 or not len(known):
-        return Model(known[:0], np.zeros(0))
-    keys = known.view(np.int64).tolist()
-    a, b, c = (np.array([d.get(k, 0) for k in keys], dtype=np.float64) for d in (y1, y0, every))
+    Also their z-scores, and the log-odds that they would have without harmless documents.
+    """
     strength = 0.1 * (n0 + n1)
-    prior = strength * np.maximum(c, 1) / total
+    prior = strength * np.maximum(every, 1) / total
     # A feature that every document has leaves nothing on the other side.
     rest1, rest0, rest = (np.maximum(x, 1e-9) for x in (n1 + strength - a - prior, n0 + strength - b - prior, n0 + strength - prior))
     odds = np.log((a + prior) / rest1) - np.log((b + prior) / rest0)
     z = odds / np.sqrt(1 / (a + prior) + 1 / (b + prior))
-    reachable = np.log((a + prior) / rest1) - np.log(prior / rest)
-    floor = np.minimum(MIN_ODDS, REACH * reachable)
-    return Model(known, np.where((z >= MIN_Z) & (odds >= floor), odds, BACKGROUND))
+    return odds, z, np.log((a + prior) / rest1) - np.log(prior / rest)
+
+
+def _weights(counts: np.ndarray, n: np.ndarray, kinds: tuple[list[int], list[int]]) -> list[np.ndarray]:
+    """The weights of features in each setting, learnt from rows of these harmless and toxic kinds.
+
+    Features that too few of these toxic rows have get no number: they are not known.
+    """
+    harmless, toxic = kinds
+    a, b = counts[:, toxic].sum(axis=1).astype(float), counts[:, harmless].sum(axis=1).astype(float)
+    n1, n0 = int(n[toxic].sum()), int(n[harmless].sum())
+    if not n0 or not n1:
+        return [np.full(len(counts), np.nan) for _ in SETTINGS]
+    odds, z, reachable = log_odds(a, b, counts.sum(axis=1).astype(float), n1, n0, int(n.sum()))
+    out = []
+    for min_z, min_odds in SETTINGS:
+        telling = (z >= min_z) & (odds >= np.minimum(min_odds, REACH * reachable))
+        out.append(np.where(a < MIN_COUNT, np.nan, np.where(telling, odds, BACKGROUND)))
+    return out
 
 
 # Scoring -------------------------------------------------------------------------------------------
 
 
-def token_scores(w: Words, known: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The score of each word: by the longest of its features that the model knows."""
-    scores = np.full(len(w.starts), BACKGROUND)
+def longest_known(w: Words, known: np.ndarray, table: np.ndarray, own: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each word, the place in `known` of its longest feature that is in it, or -1, for each of the `own` masks."""
+    best = [np.full(len(w.starts), -1) for _ in own]
     if len(known):
         for hashes in features(w):
             at, place = _find(known, hashes, table)
-            scores[at] = weights[place]
-    return scores
+            for mask, out in zip(own, best):
+                chosen = mask[place]
+                out[at[chosen]] = place[chosen]
+    return best
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -195,29 +218,50 @@ _SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("sc
 _SEGMENTS_DDL = "array<struct<start: long, end: long, score: double>>"
 
 
-def segments(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, all maximal segments (word ranges), and how many words scored what."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.weights))
+def segments(docs: DataFrame, known: np.ndarray, weights: list[np.ndarray]) -> DataFrame:
+    """Per row and model: doc_id, kind, model, n_words, all maximal segments (word ranges), scores above zero.
+
+    A model is an array of `weights` of the known features; those without a number are not known to it.
+    """
+    # Models of the same rows know the same features.
+    masks, group = [], []
+    for each in weights:
+        mask = ~np.isnan(each)
+        same = [k for k, other in enumerate(masks) if np.array_equal(mask, other)]
+        group.append(same[0] if same else len(masks))
+        if not same:
+            masks.append(mask)
+    padded = [np.append(np.nan_to_num(x, nan=BACKGROUND), BACKGROUND) for x in weights]
+    shared = docs.sparkSession.sparkContext.broadcast((known, masks, group, padded))
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("segments", _SEGMENTS), ("scores", pa.list_(pa.float64()))]
+        [("doc_id", pa.int64()), ("kind", pa.int32()), ("model", pa.int32()), ("n_words", pa.int64())]
+        + [("segments", _SEGMENTS), ("scores", pa.list_(pa.float64()))]
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = shared.value
+        known, masks, group, padded = shared.value
         table = _table(known)
         for chunk in chunks(batches):
             w = _text_words(chunk)
-            scores = token_scores(w, known, weights, table)
-            positive = np.searchsorted(np.flatnonzero(scores > 0), w.first)
-            found, scored = [], []
-            for i in range(chunk.num_rows):
-                own = scores[w.first[i] : w.first[i + 1]]
-                has = positive[i + 1] > positive[i]
-                found.append([dict(zip(("start", "end", "score"), s)) for s in maximal_segments(own)] if has else [])
-                scored.append(own[own > 0] if has else [])
-            yield to_batch(schema, [chunk.column("doc_id"), np.diff(w.first), found, scored])
-
-    return map_arrow(docs, work, f"doc_id long, n_words long, segments {_SEGMENTS_DDL}, scores array<double>")
+            best = longest_known(w, known, table, masks)
+            for model, (which, values) in enumerate(zip(group, padded)):
+                scores = values[best[which]]
+                positive = np.searchsorted(np.flatnonzero(scores > 0), w.first)
+                found, scored = [], []
+                for i in range(chunk.num_rows):
+                    if positive[i + 1] > positive[i]:
+                        own = scores[w.first[i] : w.first[i + 1]]
+                        found.append([dict(zip(("start", "end", "score"), s)) for s in maximal_segments(own)])
+                        scored.append(own[own > 0])
+                    else:
+                        found.append([])
+                        scored.append([])
+                number = np.full(chunk.num_rows, model, dtype=np.int32)
+                columns = [chunk.column("doc_id"), chunk.column("kind"), number, np.diff(w.first), found, scored]
+                yield to_batch(schema, columns)
+
+    columns = f"doc_id long, kind int, model int, n_words long, segments {_SEGMENTS_DDL}, scores array<double>"
+    return map_arrow(docs.select("doc_id", "text", "kind"), work, columns)
 
 
 def _rate(levels: np.ndarray, counts: np.ndarray, n_words: int, weights: np.ndarray) -> float:
@@ -237,12 +281,12 @@ def _rate(levels: np.ndarray, counts: np.ndarray, n_words: int, weights: np.ndar
     return low
 
 
-def evidence(found: DataFrame, model: Model) -> DataFrame:
+def evidence(found: DataFrame, rate: Column, scale: Column) -> DataFrame:
     """Adds `passages` (the segments that chance would not give) and `evidence` (their summed -ln E)."""
     length = F.greatest(F.col("n_words"), F.lit(1))
 
     def surprise(s: Column) -> Column:
-        return s["score"] * model.rate - F.log(length * model.scale)
+        return s["score"] * rate - F.log(length * scale)
 
     sure = -float(np.log(EXPECTED))
     passages = F.filter("segments", lambda s: surprise(s) >= sure)
@@ -253,9 +297,9 @@ def evidence(found: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of a logistic curve, both kinds weighing the same, slightly held back."""
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and middle of a logistic curve for n rows at each point, both kinds weighing the same, slightly held back."""
+    weight = n * np.where(y == 1, 0.5 / max(n[y == 1].sum(), 1), 0.5 / max(n[y == 0].sum(), 1))
     a, b = 0.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -270,46 +314,103 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 _CAP = 30.0
+#: Evidence is told to this many decimals where curves are fitted, so that the points have a bound.
+_DECIMALS = 3
+
+
+def _capped(evidence: str = "evidence") -> Column:
+    return F.least(F.greatest(F.col(evidence), F.lit(-_CAP)), F.lit(_CAP))
+
+
+def calibrate(found: DataFrame, known: np.ndarray, weights: list[np.ndarray]) -> tuple[list[Model], list[tuple]]:
+    """Each model calibrated on its rows of column `learn`, and what it makes of the others.
+
+    The latter is the balanced error and logistic loss, infinite if a kind is missing.
+    """
+    models = [Model(known, w) for w in weights]
+    toxic = F.col("kind").isin(TOXIC, TOXIC_JUDGE)
+    null = found.where(~toxic & F.col("learn"))
+    levels = null.select("model", F.explode("scores").alias("s")).groupBy("model", "s").count().collect()
+    n_words = dict(null.groupBy("model").agg(F.sum("n_words")).collect())
+    for k, model in enumerate(models):
+        own = [r for r in levels if r[0] == k]
+        counts = np.array([r[2] for r in own], dtype=float)
+        model.rate = _rate(np.array([r[1] for r in own]), counts, n_words.get(k) or 1, model.weights)
+
+    def of_model(values: list[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("model") + 1)
+
+    rate = of_model([m.rate for m in models])
+    # Of Gumbel maxima with this rate, the scale is the inverse of the mean of n * exp(-rate * score).
+    best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
+    means = dict(null.groupBy("model").agg(F.avg(F.col("n_words") * F.exp(-best * rate))).collect())
+    for k, model in enumerate(models):
+        model.scale = 1 / max(means.get(k) or 1.0, 1.0)
+    points = evidence(found, rate, of_model([m.scale for m in models])).select(
+        "model", "learn", toxic.cast("int").alias("y"), F.round(_capped(), _DECIMALS).alias("x")
+    )
+    rows = np.array([tuple(r) for r in points.groupBy("model", "learn", "y", "x").count().collect()], dtype=float)
+    rows = rows.reshape(-1, 5)
+    judged = []
+    for k, model in enumerate(models):
+        own = rows[rows[:, 0] == k]
+        y, x, n = own[own[:, 1] == 1, 2:].T
+        model.slope, model.middle = _logistic(x, y, n)
+        y, x, n = own[own[:, 1] == 0, 2:].T
+        sizes = [n[y == kind].sum() for kind in (0, 1)]
+        if min(sizes) == 0:
+            judged.append((np.inf, np.inf))
+            continue
+        weight = n * np.where(y == 1, 0.5 / sizes[1], 0.5 / sizes[0])
+        p = 1 / (1 + np.exp(-(x * model.slope + model.middle)))
+        loss = -np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-12))
+        judged.append((float(weight[(p >= 0.5) != (y == 1)].sum()), float((weight * loss).sum())))
+    return models, judged
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, doc_id: str = "doc_id", text: str = "text"
 ) -> Model:
     """A model from the labelled rows that are not held out."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out())
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = own.count()
     if count > max_labelled:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(count)) < max_labelled)
-    own = stored(own, "labelled")  # at most about `max_labelled` small rows: it may be broadcast
-    toxic, harmless = (
-        docs.join(F.broadcast(own.where(F.col("toxic") == kind)), "doc_id", "left_semi") for kind in (1, 0)
-    )
-    model = log_odds(toxic, harmless, docs)
-    if not len(model.known):
-        return model
-    labelled = stored(segments(docs.join(F.broadcast(own), "doc_id", "left_semi"), model), "labelled-segments")
-    labelled = labelled.join(F.broadcast(own), "doc_id")
-    null = labelled.where("toxic = 0")
-    levels = null.select(F.explode("scores").alias("s")).groupBy("s").count().collect()
-    best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
-    n_words = null.agg(F.sum("n_words")).first()[0] or 1
-    model.rate = _rate(np.array([r[0] for r in levels]), np.array([r[1] for r in levels], dtype=float), n_words, model.weights)
-    # Of Gumbel maxima with this rate, the scale is the inverse of the mean of n * exp(-rate * score).
-    model.scale = 1 / max(null.agg(F.avg(F.col("n_words") * F.exp(best * -model.rate))).first()[0] or 1.0, 1.0)
-    rows = evidence(labelled, model).select("evidence", "toxic").collect()
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
-    model.slope, model.middle = _logistic(np.clip(x, -_CAP, _CAP), y)
-    return model
+    judge = F.pmod(F.xxhash64(F.lit("judge"), "doc_id"), F.lit(4)) == 0
+    kind = F.when(judge, F.lit(HARMLESS_JUDGE)).otherwise(F.lit(HARMLESS)) + F.col("toxic")
+    # At most about `max_labelled` small rows: it may be broadcast.
+    own = F.broadcast(stored(own.select("doc_id", kind.cast("int").alias("kind")), "labelled"))
+    toxic = docs.join(own.where(F.col("kind").isin(TOXIC, TOXIC_JUDGE)), "doc_id")
+    n_toxic = F.col(f"n{TOXIC}") + F.col(f"n{TOXIC_JUDGE}")
+    often = feature_counts(toxic).where(n_toxic >= MIN_COUNT).where("feature IS NOT NULL").select("feature").collect()
+    known = np.sort(np.array([r[0] for r in often], dtype=np.int64).view(np.uint64))
+    if not len(known):
+        return Model(known, np.zeros(0))
+    every = docs.join(own, "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit(UNKNOWN)))
+    counted = feature_counts(every, known).collect()
+    n = np.array(next(r[1:] for r in counted if r[0] is None))
+    found = np.array([r for r in counted if r[0] is not None], dtype=np.int64)
+    counts = found[np.argsort(found[:, 0].view(np.uint64)), 1:]
+    whole = _weights(counts, n, ([HARMLESS, HARMLESS_JUDGE], [TOXIC, TOXIC_JUDGE]))
+    if np.isnan(whole[0]).all():
+        return Model(known[:0], np.zeros(0))
+    part = _weights(counts, n, ([HARMLESS], [TOXIC]))
+    weights = part + whole
+    labelled = stored(segments(docs.join(own, "doc_id"), known, weights), "labelled-segments")
+    learn = (F.col("model") >= len(part)) | F.col("kind").isin(HARMLESS, TOXIC)
+    models, judged = calibrate(labelled.withColumn("learn", learn), known, weights)
+    return models[len(part) + min(range(len(part)), key=lambda k: judged[k])]
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_words, `passages` (word ranges and scores), `evidence`, `score`."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = evidence(segments(docs, model).drop("scores"), model)
-    x = F.least(F.greatest("evidence", F.lit(-_CAP)), F.lit(_CAP))
+    found = segments(docs.withColumn("kind", F.lit(UNKNOWN)), model.known, [model.weights])
+    found = evidence(found.drop("scores", "kind", "model"), F.lit(model.rate), F.lit(model.scale))
+    x = _capped()
     return found.withColumn("score", 1 / (1 + F.exp(-(x * model.slope + model.middle)))).drop("segments")
 
 

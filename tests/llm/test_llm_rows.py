@@ -459,6 +459,48 @@ def test_toxicity_with_many_toxic_labels(spark, share, copied):
         assert len(flags) > 20 and (sum(flags) >= 0.9 * len(flags) if kind else sum(flags) <= 0.02 * len(flags))
 
 
+def test_toxicity_against_plain_definitions(spark):
+    """Counts, log-odds, passages, calibration, choice of the setting and scores of 260 texts."""
+    rng = random.Random(21)
+    plain = ["".join(rng.choices("abcdefghé", k=rng.randint(2, 8))) for _ in range(300)]
+    telling, weak = [f"{c}rotx{d}" for c in "pqrs" for d in "yz"], [f"weak{c}" for c in "abcdef"]
+
+    def text(toxic):
+        w = rng.choices(plain, k=rng.randint(10, 90))
+        for _ in range(rng.randint(1, 5) if toxic else rng.random() < 0.05):
+            w.insert(rng.randrange(len(w)), rng.choice(telling))
+        for _ in range(rng.randint(0, 4 if toxic else 1)):
+            w.insert(rng.randrange(len(w)), rng.choice(weak).upper())
+        return " ".join(w)
+
+    kinds = [int(rng.random() < 0.35) for _ in range(260)]
+    rows = [(i, text(k)) for i, k in enumerate(kinds)] + [(260, None), (261, ""), (262, " - ")]
+    labels = {i: k for i, k in enumerate(kinds) if i % 7} | {260: 0, 261: 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = docs.select("doc_id", (F.pmod(F.xxhash64(F.lit("judge"), "doc_id"), F.lit(4)) == 0).alias("judge")).collect()
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+
+    def curve(x, y):
+        a, b = toxicity._logistic(np.array(x), np.array(y, dtype=float), np.ones(len(x)))
+        # The penalised, balanced likelihood is at rest there.
+        p = 1 / (1 + np.exp(-(a * np.array(x) + b)))
+        wide = np.where(np.array(y) == 1, 0.5 / sum(y), 0.5 / (len(y) - sum(y))) * (p - np.array(y))
+        assert abs((wide * np.array(x)).sum() + 1e-3 * a) < 1e-5 and abs(wide.sum()) < 1e-5
+        return a, b
+
+    setting, expected = brute.toxicity(
+        rows, labels, {r.doc_id for r in ids if r.judge}, held, toxicity.SETTINGS, toxicity.REACH, toxicity.BACKGROUND,
+        toxicity.MIN_COUNT, toxicity.EXPECTED, curve,
+    )
+    model = toxicity.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, (n_words, passages, evidence, score) in expected.items():
+        r = got[i]
+        assert (r.n_words, [(x.start, x.end) for x in r.passages]) == (n_words, passages), (i, setting)
+        assert math.isclose(r.evidence, evidence, rel_tol=1e-6, abs_tol=1e-6) and math.isclose(r.score, score, abs_tol=1e-4)
+    assert sum(bool(x[1]) for x in expected.values()) > 40
+
+
 def test_toxicity_without_labels_and_on_messy_rows(spark, docs, no_docs, rows_in):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, none)
