@@ -4,7 +4,8 @@ A window over a key runs in one task per key, so a key with a third of all rows
 input is not known to be small, the rows are cut into blocks along `(key, order)`:
 
 1. a small sample gives evenly spaced block bounds, kept as constants, so every later pass, retry or
-   recomputation after a lost executor puts a row into the same block;
+   recomputation after a lost executor puts a row into the same block. Where there are more than
+   `CUT_FANOUT` blocks, the constants cut ranges, and the blocks in each come from a stored table of bounds;
 2. the windows run per `(block, key)`;
 3. only keys that a bound falls into can reach over more than one block. There are at most as many as
    bounds, so their totals before each block are a broadcast table of proven size.
@@ -31,6 +32,8 @@ ONE_TASK_BYTES = 128 << 20
 ROWS_PER_BLOCK = 1_000_000
 MAX_BLOCKS = 65_536
 SAMPLES_PER_BLOCK = 20
+# Ranges into which `running_totals` cuts at most by constants; as many blocks in each make MAX_BLOCKS.
+CUT_FANOUT = 256
 # Ranges of a whole table, and sampled rows from which the bounds of each are chosen.
 FANOUT = 1024
 SAMPLES_PER_RANGE = 200
@@ -72,33 +75,64 @@ class _Cut:
         return not self.bounds.groupBy(*keys).count().where(F.col("count") > COOL_BOUNDS).isEmpty()
 
 
+def _picked(sample: DataFrame, order: Sequence[str], share: float, parts: int) -> pa.Table | None:
+    """Bounds that cut the sample into so many parts of about one size, by a share of its rows."""
+    if parts <= 1:
+        return None
+    some = (sample if share >= 1 else sample.sample(share, seed=11)).orderBy(*order).toArrow()
+    picks = sorted({i * some.num_rows // parts for i in range(1, parts)})
+    return some.take(picks) if some.num_rows else None
+
+
+def _inner_bounds(dealt: DataFrame, order: Sequence[str], place: Column, parts: int) -> DataFrame:
+    """(_range, _within) from sampled rows with their `_range`: the sorted bounds that cut it into parts."""
+    in_order = Window.partitionBy("_range").orderBy(*order)
+    step = F.greatest(F.ceil(F.count("*").over(Window.partitionBy("_range")) / parts), F.lit(1))
+    chosen = (
+        dealt.select("_range", place.alias("_bound"), F.row_number().over(in_order).alias("_n"), step.alias("_step"))
+        .where("_n % _step = 0")
+        .groupBy("_range")
+        .agg(F.array_sort(F.collect_list("_bound")).alias("_within"))
+    )
+    return stored(chosen, "block-bounds")
+
+
 def _cut(df: DataFrame, columns: Sequence[str], rows_per_block: int) -> _Cut:
     spark = df.sparkSession
     count = df.count()
     blocks = min(MAX_BLOCKS, -(-count // rows_per_block))
     if blocks <= 1:
         return _Cut(df.withColumn(_BLOCK, F.lit(0)))
+    ranges, nested = min(blocks, CUT_FANOUT), blocks > CUT_FANOUT
     fraction = min(1.0, SAMPLES_PER_BLOCK * blocks / count)
-    # About SAMPLES_PER_BLOCK * MAX_BLOCKS rows of a few columns reach the driver at the very most.
     sample = df.select(*columns).sample(fraction, seed=7)
     if len(columns) == 1:
         sample = sample.dropna()  # a null is below every bound; inside a struct it compares by itself
-    sample = sample.orderBy(*columns).toArrow()
-    picks = sorted({i * sample.num_rows // blocks for i in range(1, blocks)})
-    if not sample.num_rows:
+    if nested:
+        sample = stored(sample, "order-sample")
+    # About SAMPLES_PER_BLOCK rows of a few columns reach the driver for each range.
+    top = _picked(sample, columns, min(1.0, ranges / blocks), ranges)
+    if top is None:
         return _Cut(df.withColumn(_BLOCK, F.lit(0)))
-    sample = sample.take(picks)
-    bounds = spark.createDataFrame(sample, df.select(*columns).schema)
-    rows, value = df, F.col(columns[0])
+    bounds = spark.createDataFrame(top, df.select(*columns).schema)
     constant = _constant_array(bounds)
-    probe = value
+    rows, probe = df, F.col(columns[0])
     if len(columns) > 1:
         # Build the compared record once per row, nullable like the bounds, not once per halving step.
         fields = df.select(*columns).schema
         kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-        probe = F.struct(*columns).cast(kind)
-        rows, value = df.withColumn("_probe", probe), F.col("_probe")
-    rows = with_rank_among(rows, _BLOCK, value, constant, len(picks))
+        probe = F.col("_probe")
+        rows, sample = (d.withColumn("_probe", F.struct(*columns).cast(kind)) for d in (df, sample))
+    rows = with_rank_among(rows, _BLOCK, probe, constant, top.num_rows)
+    if nested:
+        dealt = with_rank_among(sample, "_range", probe, constant, top.num_rows)
+        inner = _inner_bounds(dealt, columns, probe, -(-blocks // ranges))
+        widest = inner.agg(F.max(F.size("_within"))).first()[0] or 0
+        rows = rows.withColumnRenamed(_BLOCK, "_range").join(F.broadcast(inner), "_range", "left")
+        rows = with_rank_among(rows, _BLOCK, probe, F.col("_within"), widest)
+        rows = rows.withColumn(_BLOCK, F.col("_range").cast("long") * (widest + 1) + F.col(_BLOCK))
+        each = inner.select(F.explode("_within").alias("_bound"))
+        bounds = bounds.union(each.select("_bound.*" if len(columns) > 1 else F.col("_bound").alias(columns[0])))
     return _Cut(rows.select(*df.columns, _BLOCK), bounds)
 
 
@@ -241,7 +275,9 @@ class GlobalOrder:
             df, self._place = df.withColumn("_probe", F.struct(*order).cast(kind)), F.col("_probe")
         self._bounds, self._numbers = None, None
         ranges = min(blocks, fanout)
-        top = self._picked(sample, min(1.0, SAMPLES_PER_RANGE * fanout / max(about * fraction, 1)), ranges)
+        # At most SAMPLES_PER_RANGE rows for each range are looked at.
+        share = min(1.0, SAMPLES_PER_RANGE * fanout / max(about * fraction, 1))
+        top = _picked(sample, self._order, share, ranges)
         rows = df.withColumn("_range", F.lit(0))
         if top is not None:
             bounds = self._spark.createDataFrame(top, df.select(*order).schema)
@@ -266,30 +302,13 @@ class GlobalOrder:
             self._starts.append(self._starts[-1] + of_range.get(number, 0))
         self.count = self._starts.pop()
 
-    def _picked(self, sample: DataFrame, share: float, parts: int) -> pa.Table | None:
-        """Bounds that cut the sample into so many parts of about one size; at most SAMPLES_PER_RANGE rows
-        for each part are looked at."""
-        if parts <= 1:
-            return None
-        some = (sample if share >= 1 else sample.sample(share, seed=11)).orderBy(*self._order).toArrow()
-        picks = sorted({i * some.num_rows // parts for i in range(1, parts)})
-        return some.take(picks) if some.num_rows else None
-
     def _blocks(self, rows: DataFrame, sample: DataFrame, ranges: int, parts: int) -> DataFrame:
         """Rows with their block within the range: every range's bounds are an array in a row of a table."""
         place = self._place
         if len(self._order) > 1:
             sample = sample.withColumn("_probe", F.struct(*self._order).cast(rows.schema["_probe"].dataType))
         dealt = with_rank_among(sample, "_range", place, self._bounds, ranges)
-        in_order = Window.partitionBy("_range").orderBy(*self._order)
-        step = F.greatest(F.ceil(F.count("*").over(Window.partitionBy("_range")) / parts), F.lit(1))
-        chosen = (
-            dealt.select("_range", place.alias("_bound"), F.row_number().over(in_order).alias("_n"), step.alias("_step"))
-            .where("_n % _step = 0")
-            .groupBy("_range")
-            .agg(F.array_sort(F.collect_list("_bound")).alias("_within"))
-        )
-        inner = stored(chosen, "block-bounds")
+        inner = _inner_bounds(dealt, self._order, place, parts)
         widest = inner.agg(F.max(F.size("_within"))).first()[0] or 0
         joined = rows.join(inner, "_range", "left")
         return with_rank_among(joined, _BLOCK, place, F.col("_within"), widest)

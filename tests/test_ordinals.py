@@ -67,6 +67,29 @@ def test_running_totals(spark, keys, rows_per_block):
     assert got == reference(data, keys)
 
 
+@pytest.mark.parametrize("keys", [[], ["key"], ["key", "name"]])
+def test_running_totals_in_many_blocks(spark, keys, monkeypatch):
+    """More blocks than ranges: only the bounds of the ranges are constants of the plan."""
+    constants, constant_array = [], ordinals._constant_array
+    monkeypatch.setattr(ordinals, "CUT_FANOUT", 6, raising=False)
+    monkeypatch.setattr(ordinals, "_constant_array", lambda t: constants.append(t.count()) or constant_array(t))
+    data = table(500)
+    order = ["time", "seq"] if keys else ["seq"]
+    result = ordinals.running_totals(
+        spark.createDataFrame(data, SCHEMA).repartition(5),
+        keys,
+        order,
+        totals={"count": F.lit(1), "total": F.col("step")},
+        at_last={"at_mark": ("total", F.col("mark"))},
+        finals={"size": "count"},
+        rows_per_block=7,
+    )
+    got = {r.seq: (r["count"], r.total, r.at_mark, r.size) for r in result.collect()}
+    by_seq = [(*r[:2], dt.datetime(2024, 1, 1), *r[3:]) for r in data]
+    assert got == reference(data if keys else by_seq, keys)
+    assert constants and max(constants) < 6
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.integers(0, 300), st.integers(1, 50), st.integers(0, 10**6))
 def test_running_totals_any_cut(spark, n, rows_per_block, seed):
