@@ -37,6 +37,20 @@ def _written(t: Tables, df: DataFrame, label: str) -> str:
     return path
 
 
+#: Bytes of a test table for each file of a stream made from it, about.
+_FILE_BYTES = 32 << 20
+
+
+def _stream(t: Tables, df: DataFrame, label: str, table: str, by: list[str], parts: int, per_batch: int = 1) -> DataFrame:
+    """`df`, which is derived from the rows of a test table, as a stream of so many parts.
+
+    A part of a large table has many files, so that a batch of `per_batch` parts is not one task's work.
+    """
+    files = max(1, -(-(ordinals.estimated_bytes(t.table(table)) or 0) // (parts * _FILE_BYTES)))
+    path = _written(t, df.repartition(parts * files, *by), label)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch * files).parquet(path)
+
+
 # Telemetry -------------------------------------------------------------------------------------------
 
 _PROGRESS_SQL = """
@@ -1061,8 +1075,7 @@ ORDER BY remaining DESC, executor_id LIMIT 5"""
 def stream_top(t: Tables) -> DataFrame:
     """The executors with most work left, from candidates kept up to date over several batches."""
     log = _progress(t).select("executor_id", "hb_ts", "hb_seq", "remaining")
-    path = _written(t, log.repartition(3, "hb_seq"), "heartbeats")
-    stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = _stream(t, log, "heartbeats", "events", ["hb_seq", "executor_id"], parts=3)
     return live.top_table(stream, scratch_dir(t.spark, "top"), k=5, buckets=8)[0]
 
 
@@ -1074,8 +1087,8 @@ WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)
 )
 def stream_unknown_senders(t: Tables) -> DataFrame:
     beats = t.heartbeats().union(t.completions().select("executor_id", "finish_ts", "event_id"))
-    path = _written(t, beats.select("executor_id", "event_id").repartition(3, "event_id"), "senders")
-    stream = t.spark.readStream.schema("executor_id long, event_id long").option("maxFilesPerTrigger", 2).parquet(path)
+    senders = beats.select("executor_id", "event_id")
+    stream = _stream(t, senders, "senders", "events", ["event_id"], parts=3, per_batch=2)
     # Opened once for each batch.
     registered = lambda: t.spark.read.parquet(f"{t.folder}/supplier.parquet").select(F.col("s_suppkey").alias("executor_id"))
     return live.unknown_senders(stream, registered, scratch_dir(t.spark, "unknown")).select("executor_id").distinct()
@@ -1092,8 +1105,7 @@ WHERE c_mktsegment = 'BUILDING'
 )
 def stream_enriched_metrics(t: Tables) -> DataFrame:
     metrics = t.shuffle_deps().select("task_id", "dep_id", "remote_bytes")
-    path = _written(t, metrics.repartition(2, "dep_id"), "metrics")
-    stream = t.spark.readStream.schema(metrics.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = _stream(t, metrics, "metrics", "lineitem", ["dep_id", "task_id"], parts=2)
     target = scratch_dir(t.spark, "enriched")
     return live.enriched_metrics(stream, t.tasks, t.task_sets, target).drop("batch")
 
@@ -1107,8 +1119,7 @@ def stream_merged_reads(t: Tables) -> DataFrame:
     wrong = deps.where("abs(task_id + dep_id % 7) % 3 = 0").withColumns(
         {"remote_bytes": F.lit(10**9).cast("long"), "update_seq": F.lit(1).cast("long")}
     )
-    path = _written(t, deps.unionByName(wrong).repartition(3, "task_id", "dep_id", "update_seq"), "deps")
-    stream = t.spark.readStream.schema(deps.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = _stream(t, deps.unionByName(wrong), "deps", "lineitem", ["task_id", "dep_id", "update_seq"], parts=3)
     return live.merged_reads_table(stream, scratch_dir(t.spark, "merged"), buckets=8)
 
 

@@ -176,5 +176,6 @@ class KeyedTable:
         self._clean()
 
     def _write(self, kind: str, rows: DataFrame, batch_id: int) -> None:
+        """A large bucket is written by several tasks, a file each."""
         path = f"{self.path}/{kind}/batch={batch_id}"
-        rows.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(path)
+        rows.hint("rebalance", _BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(path)

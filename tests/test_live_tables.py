@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.operators import ranking, shuffle_metrics, telemetry
+from evenkeel.plans import catalog
 from evenkeel.session import scratch_dir
 from evenkeel.streaming import heartbeats as live
 from evenkeel.streaming.keyed_table import KeyedTable
@@ -193,3 +194,28 @@ def test_nothing_has_come_yet(spark):
     deps = scratch_dir(spark, "deps")
     spark.createDataFrame([], DEPS).write.parquet(deps)
     assert live.merged_reads_table(stream(spark, deps, DEPS), scratch_dir(spark, "out")).count() == 0
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, rows):
+    table = KeyedTable(spark, str(tmp_path), spark.createDataFrame([], "k long, v long").schema, ["k"], ["v"], 1)
+    small = {"advisoryPartitionSizeInBytes": "4k", "coalescePartitions.minPartitionSize": "4k"}
+    before = {f"spark.sql.adaptive.{k}": spark.conf.get(f"spark.sql.adaptive.{k}") for k in small}
+    for name, value in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+    try:
+        table.merge(spark.range(20_000).select(F.col("id").alias("k"), F.xxhash64("id").alias("v")), 0)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(list(tmp_path.glob("data/batch=0/bucket=0/*.parquet"))) > 1
+    assert table.read().count() == table.read().distinct().count() == 20_000
+
+
+def test_a_part_of_a_large_stream_has_several_files(spark, monkeypatch, rows):
+    paths, written = [], catalog._written
+    monkeypatch.setattr(catalog, "_FILE_BYTES", 10_000, raising=False)
+    monkeypatch.setattr(catalog, "_written", lambda *args: paths.append(written(*args)) or paths[-1])
+    folder = "/root/testdata/sf0.001"
+    merged = rows(catalog.QUERIES["stream_merged_reads"](spark, folder))
+    assert merged == rows(catalog.QUERIES["merge_shuffle_reads"](spark, folder))
+    assert len(spark.read.parquet(paths[0]).inputFiles()) > 3
